@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash, toxicity
+from . import bpe, decontam, langid, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": simhash.query,
     "op4_language_id": langid.query,
+    "op5_byte_bpe": bpe.query,
+    "op7_benchmark_decontamination": decontam.query,
     "op8_toxicity": toxicity.query,
 }
 ORACLES: dict[str, str] = {}
