@@ -89,7 +89,8 @@ def similar_links(fingerprints: DataFrame, radius: int = RADIUS, block: int = BL
     buckets = stored(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = buckets.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select(F.col("a").alias("u"), F.col("b").alias("v"))
     large = buckets.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = skew_join(index, large, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # always a merge join: it can split a hot bucket, and what it shuffles grows in proportion to the fingerprints
+    own = skew_join(index, large.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     dealt = own.select("key", "fp", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # the row of two different blocks holds both, so it also compares each with itself
     rows = dealt.where("own <> other or blocks = 1")
