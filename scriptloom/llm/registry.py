@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, licenses, simhash, toxicity, urlrules
+from . import bpe, chat, decontam, langid, licenses, simhash, toxicity, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_language_id": langid.query,
     "op5_byte_bpe": bpe.query,
+    "op6_warc": warc.query,
     "op7_benchmark_decontamination": decontam.query,
     "op8_toxicity": toxicity.query,
     "op9_chat_format": chat.query,
     "op10_url_filter": urlrules.query,
 }
-ORACLES: dict[str, str] = {"op9_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE, "op9_chat_format": chat.ORACLE}
