@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, licenses, simhash, toxicity, urlrules, warc
+from . import bpe, chat, decontam, embeddings, langid, licenses, simhash, toxicity, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
+    "op2_embedding_near_dedup": embeddings.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_language_id": langid.query,
     "op5_byte_bpe": bpe.query,
