@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding (operator 5).
 
-The merges are folded over the bytes of distinct pieces only, by Spark's higher-order functions with the ranks as a
-literal; what a piece becomes is then looked up for all its places. A state is the piece's byte strings in hex, each in
+The merges are folded over the bytes of distinct pieces by Spark's higher-order functions with the ranks as a literal;
+what a piece becomes is then looked up for all its places. A state is the piece's byte strings in hex, each in
 angle brackets; one step finds the lowest rank of all neighbours and joins every pair of that rank from the left, which
 is what joining one at a time gives, as a new byte string's rank is never below those of its parts.
 """
@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import skew_join, stored, table
+from .common import stored, table
 
 #: Size of the literal's hash table.
 SLOTS = 1 << 16
-#: The dictionary of pieces is sent to all tasks up to these sizes; beyond, texts meet it in a join.
-BROADCAST_PIECES = 1_000_000
-BROADCAST_BYTES = 32 << 20
+#: Bounds of the dictionary of frequent pieces that is sent to all tasks.
+MAX_PIECES = 2_000_000
+MAX_BYTES = 96 << 20
 
 
 def java_pattern(pattern: str) -> str:
@@ -55,8 +55,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded_pieces(pieces: DataFrame, tokens: list[bytes]) -> DataFrame:
-    """Distinct ``piece string`` (not empty) to ``piece, ids array<int>``."""
+def encoder(tokens: list[bytes]) -> Callable[[Column], Column]:
+    """A function from a piece (not empty) to its ids: the fold, with the ranks as a literal."""
     ranks = _rank_literal(tokens)
 
     def rank(part: Column) -> Column:
@@ -83,11 +83,14 @@ def encoded_pieces(pieces: DataFrame, tokens: list[bytes]) -> DataFrame:
 
         return F.when(state["done"], state).otherwise(_let(parts(state["s"]), joined))
 
-    key = F.hex(F.col("piece").cast("binary"))
-    start = to(F.regexp_replace(key, "(..)", "<$1>"), False)
-    rounds = F.sequence(F.lit(1), F.greatest(F.octet_length("piece") - 1, F.lit(1)))
-    folded = F.aggregate(rounds, start, step, lambda state: F.transform(parts(state["s"]), rank))
-    return pieces.select("piece", F.when(rank(key).isNotNull(), F.array(rank(key))).otherwise(folded).alias("ids"))
+    def encode(piece: Column) -> Column:
+        key = F.hex(piece.cast("binary"))
+        start = to(F.regexp_replace(key, "(..)", "<$1>"), False)
+        rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(piece) - 1, F.lit(1)))
+        folded = F.aggregate(rounds, start, step, lambda state: F.transform(parts(state["s"]), rank))
+        return F.when(rank(key).isNotNull(), F.array(rank(key))).otherwise(folded)
+
+    return encode
 
 
 def _gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,22 +101,13 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.n
 
 
 class Dictionary:
-    """Pieces and their ids, and the tokens' bytes."""
+    """Pieces and their ids."""
 
     def __init__(self, pieces: pa.Array, ids: pa.ListArray):
         self.pieces = pieces
         self.offsets = ids.offsets.to_numpy().astype(np.int64)
         self.ids = ids.values.to_numpy().astype("<u4")
 
-    def encode(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a list array of pieces, and where each text's begin."""
-        at = pc.index_in(lists.flatten(), value_set=self.pieces)
-        if at.null_count:
-            raise ValueError("a piece is missing from the dictionary")
-        ids, begins = _gather(self.ids, self.offsets, at.to_numpy().astype(np.int64))
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        return ids, begins[ends - ends[0]]
-
 
 class Vocabulary:
     def __init__(self, tokens: list[bytes]):
@@ -129,58 +123,82 @@ RUN = 1 << 18
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(doc_ids: pa.Array, lists: pa.ListArray, words: Dictionary, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    ends = lists.offsets.to_numpy()
-    at = 0
-    while at < len(lists):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, "right")) - 1)
-        ids, begins = words.encode(lists.slice(at, to - at))
-        data, places = vocabulary.decode(ids)
-        rows = range(to - at)
-        id_digests = [hashlib.sha256(ids[begins[i] : begins[i + 1]].tobytes()).hexdigest() for i in rows]
-        digests = [hashlib.sha256(data[places[begins[i]] : places[begins[i + 1]]].tobytes()).hexdigest() for i in rows]
-        yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.array(np.diff(begins)), pa.array(id_digests), pa.array(digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        at = to
-
-
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, broadcast_pieces: int = BROADCAST_PIECES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _codes(lists: pa.ListArray, words: Dictionary) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of each text, its pieces as places in the dictionary; those that aren't in it as -1, -2, ..., and what they are."""
+    flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    at = pc.index_in(flat, value_set=words.pieces)
+    rare = at.is_null().to_numpy(zero_copy_only=False)
+    code = at.fill_null(0).to_numpy().copy()
+    before = np.concatenate(([0], np.cumsum(rare)))
+    first = np.repeat(before[ends[:-1]], np.diff(ends))
+    code[rare] = -1 - (before[:-1] - first)[rare]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code)), pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), flat.filter(pa.array(rare)))
+
+
+def _digests(doc_ids: pa.Array, codes: pa.ListArray, rare: pa.ListArray, words: Dictionary, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """rare: for each text, the ids of each piece that isn't in the dictionary."""
+    ends = codes.offsets.to_numpy().astype(np.int64)
+    at = codes.flatten().to_numpy().astype(np.int64)
+    ends -= ends[0]
+    own = rare.flatten()
+    begins = np.diff(own.offsets.to_numpy().astype(np.int64))
+    offsets = np.concatenate((words.offsets, words.offsets[-1] + np.cumsum(begins)))
+    flat = np.concatenate((words.ids, own.flatten().to_numpy().astype("<u4")))
+    base = rare.offsets.to_numpy().astype(np.int64)
+    base = len(words.offsets) - 1 + base - base[0]
+    at = np.where(at < 0, np.repeat(base[:-1], np.diff(ends)) - 1 - at, at)
+    lo = 0
+    while lo < len(codes):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + RUN, "right")) - 1)
+        ids, places = _gather(flat, offsets, at[ends[lo] : ends[hi]])
+        bounds = places[ends[lo : hi + 1] - ends[lo]]
+        data, spots = vocabulary.decode(ids)
+        rows = range(hi - lo)
+        id_digests = [hashlib.sha256(ids[bounds[i] : bounds[i + 1]].tobytes()).hexdigest() for i in rows]
+        digests = [hashlib.sha256(data[spots[bounds[i]] : spots[bounds[i + 1]]].tobytes()).hexdigest() for i in rows]
+        yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(id_digests), pa.array(digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        lo = hi
+
+
+def _least_count(counted: DataFrame, pieces: int, size: int) -> int:
+    """The smallest power of two such that the pieces that occur so often keep to both bounds."""
+    level = F.floor(F.log2("count")).cast("int")
+    rows = counted.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.octet_length("piece") + 20).alias("size")).collect()  # at most 63
+    for row in sorted(rows, reverse=True):
+        pieces, size = pieces - row.n, size - row.size
+        if pieces < 0 or size < 0:
+            return 2 ** (row.level + 1)
+    return 1
+
+
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int = MAX_PIECES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: its text encoded, and the ids decoded again.
 
+    The most frequent pieces are folded once and sent to all tasks, as many as the bounds allow; the rare ones are folded
+    where they occur. Both give the same ids, so the bounds are of speed and memory alone, and no text is shuffled.
     A null text is empty: no tokens, digests of nothing. Repeated rows give as many rows; other columns play no part.
     """
     spark = docs.sparkSession
     tokens = read_ranks(rank_file)
+    encode = encoder(tokens)
     split = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", split.alias("pieces"))
-    pieces = cut.select(F.explode("pieces").alias("piece")).distinct()
-    coded = stored(encoded_pieces(pieces, tokens))
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(tokens))
-    n, size = coded.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("piece") + 4 * F.size("ids")), F.lit(0))).first()
-    if n <= broadcast_pieces and size <= broadcast_bytes:
-        got = coded.toArrow().combine_chunks()
-        arrays = [got.column(c).combine_chunks() if n else pa.array([], got.schema.field(c).type) for c in ("piece", "ids")]
-        words = spark.sparkContext.broadcast(Dictionary(*arrays))
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield from _digests(batch.column("doc_id"), batch.column("pieces"), words.value, vocabulary.value)
-
-        return cut.select("doc_id", "pieces").mapInArrow(look_up, RESULT)
-
-    # each text's own pieces meet their ids in a join, and come back to the text as its own dictionary
-    keyed = cut.withColumn("key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    used = keyed.select("key", F.explode(F.array_distinct("pieces")).alias("piece")).distinct()
-    own = skew_join(used, coded, "piece").groupBy("key").agg(F.collect_list(F.struct("piece", "ids")).alias("own"))
-
-    def look_up_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split.alias("pieces"))
+    counted = stored(cut.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("count")))
+    frequent = counted.where(F.col("count") >= _least_count(counted, max_pieces, max_bytes)).select("piece", encode(F.col("piece")).alias("ids")).toArrow()
+    columns = [pa.concat_arrays(frequent.column(c).chunks) if frequent.num_rows else pa.array([], frequent.schema.field(c).type) for c in ("piece", "ids")]
+    words, vocabulary = spark.sparkContext.broadcast(Dictionary(*columns)), spark.sparkContext.broadcast(Vocabulary(tokens))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_codes(batch.column("pieces"), words.value)], ["doc_id", "codes", "rare"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                entries = row.column("own").flatten()
-                words = Dictionary(pa.concat_arrays([entries.field("piece")]), pa.concat_arrays([entries.field("ids")])) if len(entries) else Dictionary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
-                yield from _digests(row.column("doc_id"), row.column("pieces"), words, vocabulary.value)
+            yield from _digests(batch.column("doc_id"), batch.column("codes"), batch.column("rare"), words.value, vocabulary.value)
 
-    return skew_join(keyed, own, "key", "left").select("doc_id", "pieces", "own").mapInArrow(look_up_own, RESULT)
+    coded = cut.mapInArrow(look_up, "doc_id long, codes array<int>, rare array<string>")
+    return coded.withColumn("rare", F.transform("rare", encode)).mapInArrow(digest, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
