@@ -119,10 +119,19 @@ class Vocabulary:
 
 
 #: Texts that are worked on at once have about so many pieces.
-RUN = 1 << 18
+RUN = 1 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _runs(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about RUN pieces together; a longer row is a run of its own."""
+    ends, lo = lists.offsets.to_numpy().astype(np.int64), 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + RUN, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def _codes(lists: pa.ListArray, words: Dictionary) -> tuple[pa.ListArray, pa.ListArray]:
     """Of each text, its pieces as places in the dictionary; those that aren't in it as -1, -2, ..., and what they are."""
     flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
@@ -136,29 +145,30 @@ def _codes(lists: pa.ListArray, words: Dictionary) -> tuple[pa.ListArray, pa.Lis
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code)), pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), flat.filter(pa.array(rare)))
 
 
-def _digests(doc_ids: pa.Array, codes: pa.ListArray, rare: pa.ListArray, words: Dictionary, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+def _digests(doc_ids: pa.Array, codes: pa.ListArray, rare: pa.ListArray, words: Dictionary, vocabulary: Vocabulary) -> pa.RecordBatch:
     """rare: for each text, the ids of each piece that isn't in the dictionary."""
     ends = codes.offsets.to_numpy().astype(np.int64)
     at = codes.flatten().to_numpy().astype(np.int64)
     ends -= ends[0]
-    own = rare.flatten()
-    begins = np.diff(own.offsets.to_numpy().astype(np.int64))
-    offsets = np.concatenate((words.offsets, words.offsets[-1] + np.cumsum(begins)))
-    flat = np.concatenate((words.ids, own.flatten().to_numpy().astype("<u4")))
-    base = rare.offsets.to_numpy().astype(np.int64)
-    base = len(words.offsets) - 1 + base - base[0]
-    at = np.where(at < 0, np.repeat(base[:-1], np.diff(ends)) - 1 - at, at)
-    lo = 0
-    while lo < len(codes):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + RUN, "right")) - 1)
-        ids, places = _gather(flat, offsets, at[ends[lo] : ends[hi]])
-        bounds = places[ends[lo : hi + 1] - ends[lo]]
-        data, spots = vocabulary.decode(ids)
-        rows = range(hi - lo)
-        id_digests = [hashlib.sha256(ids[bounds[i] : bounds[i + 1]].tobytes()).hexdigest() for i in rows]
-        digests = [hashlib.sha256(data[spots[bounds[i]] : spots[bounds[i + 1]]].tobytes()).hexdigest() for i in rows]
-        yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(id_digests), pa.array(digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        lo = hi
+    own, base = rare.flatten(), rare.offsets.to_numpy().astype(np.int64)
+    own_offsets = own.offsets.to_numpy().astype(np.int64)
+    own_ids = own.flatten().to_numpy().astype("<u4")
+    # two lookups, of frequent and of rare pieces, put together in the order of the pieces
+    where = np.where(at < 0, np.repeat(base[:-1] - base[0], np.diff(ends)) - 1 - at, at)
+    is_rare = at < 0
+    size = np.where(is_rare, 0, words.offsets[np.where(is_rare, 0, where) + 1] - words.offsets[np.where(is_rare, 0, where)])
+    size[is_rare] = np.diff(own_offsets)[where[is_rare]]
+    places = np.concatenate(([0], np.cumsum(size)))
+    ids = np.empty(places[-1], "<u4")
+    known = np.repeat(~is_rare, size)
+    ids[known] = _gather(words.ids, words.offsets, where[~is_rare])[0]
+    ids[~known] = _gather(own_ids, own_offsets - own_offsets[0], where[is_rare])[0] if is_rare.any() else ids[:0]
+    bounds = places[ends]
+    data, spots = vocabulary.decode(ids)
+    rows = range(len(codes))
+    id_digests = [hashlib.sha256(ids[bounds[i] : bounds[i + 1]].tobytes()).hexdigest() for i in rows]
+    digests = [hashlib.sha256(data[spots[bounds[i]] : spots[bounds[i + 1]]].tobytes()).hexdigest() for i in rows]
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(bounds)), pa.array(id_digests), pa.array(digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _least_count(counted: DataFrame, pieces: int, size: int) -> int:
@@ -191,11 +201,14 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int =
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_codes(batch.column("pieces"), words.value)], ["doc_id", "codes", "rare"])
+            for lo, hi in _runs(batch.column("pieces")):
+                run = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([run.column("doc_id"), *_codes(run.column("pieces"), words.value)], ["doc_id", "codes", "rare"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _digests(batch.column("doc_id"), batch.column("codes"), batch.column("rare"), words.value, vocabulary.value)
+            for lo, hi in _runs(batch.column("codes")):
+                yield _digests(*(c.slice(lo, hi - lo) for c in batch.columns), words.value, vocabulary.value)
 
     coded = cut.mapInArrow(look_up, "doc_id long, codes array<int>, rare array<string>")
     return coded.withColumn("rare", F.transform("rare", encode)).mapInArrow(digest, RESULT)
