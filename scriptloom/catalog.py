@@ -199,11 +199,11 @@ _SECTION_SQL = X.SECTIONS + """, h AS (SELECT rec_id, sec_idx, start_ds // 10 AS
 b AS (SELECT rec_id, seg_idx // 5 AS sec_idx, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM s GROUP BY 1, 2)"""
 
 
-@on_segments("load_sections", _SECTION_SQL + " SELECT rec_id, sec_idx, start, ended, length(text) AS n FROM h JOIN b USING (rec_id, sec_idx) WHERE NOT regexp_matches(text, '(^| )[^ ] [^ ]( |$)|^\\d+$')")
+@on_segments("load_sections", _SECTION_SQL + " SELECT rec_id, sec_idx, start, coalesce(ended, -1) AS ended, length(text) AS n FROM h JOIN b USING (rec_id, sec_idx) WHERE NOT regexp_matches(text, '(^| )[^ ] [^ ]( |$)|^\\d+$')")
 def _(seg):
     out = SE.load_sections(X.lines(seg), repair=False)
     kept = X.sections(seg).select("rec_id", "sec_idx").join(seg.groupBy("rec_id", F.expr("cast(seg_idx div 5 as int)").alias("sec_idx")).agg(SG.joined(["seg_idx"]).alias("t")), ["rec_id", "sec_idx"]).where(~F.col("t").rlike(r"(^| )[^ ] [^ ]( |$)|^\d+$"))
-    return out.join(kept, ["rec_id", "sec_idx"]).select("rec_id", "sec_idx", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("ended"), F.length("text").cast("long").alias("n"))
+    return out.join(kept, ["rec_id", "sec_idx"]).select("rec_id", "sec_idx", F.col("start").cast("long").alias("start"), F.coalesce(F.col("end").cast("long"), F.lit(-1)).alias("ended"), F.length("text").cast("long").alias("n"))
 
 
 @on_segments("repair_times")
@@ -214,7 +214,7 @@ def _(seg):
 @on_segments(
     "merge_sections",
     X.SECTIONS
-    + """, RECURSIVE_ AS (SELECT 1), o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY sec_idx) AS k FROM c5),
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY sec_idx) AS k FROM c5),
 g AS (WITH RECURSIVE r AS (SELECT rec_id, k, start_ds AS a, end_ds AS z, 0 AS grp FROM o WHERE k = 1
   UNION ALL SELECT o.rec_id, o.k, CASE WHEN r.z IS NOT NULL AND r.z - r.a < 600 THEN r.a ELSE o.start_ds END, o.end_ds, CASE WHEN r.z IS NOT NULL AND r.z - r.a < 600 THEN r.grp ELSE r.grp + 1 END FROM r JOIN o ON o.rec_id = r.rec_id AND o.k = r.k + 1) SELECT * FROM r)
 SELECT g.rec_id, grp AS sec_idx, min(start_ds) AS start_ds, arg_max(coalesce(end_ds, -1), g.k) AS end_ds, string_agg(text, ' ' ORDER BY g.k) AS text FROM g JOIN o ON o.rec_id = g.rec_id AND o.k = g.k GROUP BY 1, 2""",
@@ -336,12 +336,12 @@ def _(seg):
 @on_segments(
     "paragraphs",
     PLAIN
-    + f""", r0 AS (SELECT rec_id, seg_idx, start_ds, end_ds, language, {_ruled("text")} AS text FROM pl), b AS (SELECT *, CASE WHEN lag(language) OVER w = language AND start_ds - lag(end_ds) OVER w <= 15 THEN 0 ELSE 1 END AS brk FROM r0 WINDOW w AS (PARTITION BY rec_id ORDER BY start_ds, seg_idx)),
+    + f""", r0 AS (SELECT rec_id, seg_idx, start_ds, end_ds, language, {_ruled("text")} AS text FROM pl), b AS (SELECT *, CASE WHEN lag(language) OVER w = language AND start_ds - lag(end_ds) OVER w <= 17 THEN 0 ELSE 1 END AS brk FROM r0 WINDOW w AS (PARTITION BY rec_id ORDER BY start_ds, seg_idx)),
 g AS (SELECT *, sum(brk) OVER (PARTITION BY rec_id ORDER BY start_ds, seg_idx) AS grp FROM b)
-SELECT rec_id, grp - 1 AS par_idx, min(start_ds) AS start_ds, max(end_ds) AS end_ds, any_value(language) AS language, string_agg(text, ' ' ORDER BY seg_idx) || CASE WHEN any_value(language) = 'ur' THEN '۔' ELSE '' END AS text FROM g GROUP BY 1, 2""",
+SELECT rec_id, (grp - 1)::BIGINT AS par_idx, min(start_ds) AS start_ds, max(end_ds) AS end_ds, any_value(language) AS language, string_agg(text, ' ' ORDER BY seg_idx) || CASE WHEN any_value(language) = 'ur' THEN '۔' ELSE '' END AS text FROM g GROUP BY 1, 2""",
 )
 def _(seg):
-    out = PA.paragraphs(plain(seg), RULES, max_words=1 << 30)
+    out = PA.paragraphs(plain(seg), RULES, pause=1.7, max_words=1 << 30)
     return out.select("rec_id", F.col("par_idx").cast("long").alias("par_idx"), ds("start").alias("start_ds"), ds("end").alias("end_ds"), "language", "text")
 
 
@@ -350,11 +350,11 @@ def _(seg):
     PLAIN
     + """, x AS (SELECT *, len(string_split(text, ' ')) AS m, row_number() OVER (PARTITION BY rec_id ORDER BY start_ds, seg_idx) AS k FROM pl),
 g AS (WITH RECURSIVE r AS (SELECT rec_id, k, m AS held, end_ds, language, 0 AS p FROM x WHERE k = 1
-  UNION ALL SELECT x.rec_id, x.k, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 15 OR r.held > 110 THEN x.m ELSE r.held + x.m END, x.end_ds, x.language, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 15 OR r.held > 110 THEN r.p + 1 ELSE r.p END FROM r JOIN x ON x.rec_id = r.rec_id AND x.k = r.k + 1) SELECT * FROM r)
+  UNION ALL SELECT x.rec_id, x.k, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 17 OR r.held > 110 THEN x.m ELSE r.held + x.m END, x.end_ds, x.language, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 17 OR r.held > 110 THEN r.p + 1 ELSE r.p END FROM r JOIN x ON x.rec_id = r.rec_id AND x.k = r.k + 1) SELECT * FROM r)
 SELECT rec_id, p AS par_idx, max(held) AS n_words FROM g GROUP BY 1, 2""",
 )
 def _(seg):
-    out = PA.paragraphs(plain(seg))
+    out = PA.paragraphs(plain(seg), pause=1.7)
     return out.select("rec_id", F.col("par_idx").cast("int").alias("par_idx"), T.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
@@ -371,12 +371,10 @@ def _recognized(seg: DataFrame) -> DataFrame:
     return seg.where("seg_idx % 4 <> 3")
 
 
-_BINS = """, m AS (SELECT rec_id, max(end_ds) AS total FROM s GROUP BY 1), v AS (SELECT rec_id, unnest(generate_series(start_ds, end_ds)) AS bin FROM s WHERE rec_id % 10 = 0),
-k AS (SELECT rec_id, unnest(generate_series(start_ds, end_ds)) AS bin FROM s WHERE rec_id % 10 = 0 AND seg_idx % 4 <> 3), u AS (SELECT DISTINCT v.rec_id, v.bin FROM v JOIN m USING (rec_id) ANTI JOIN k ON k.rec_id = v.rec_id AND k.bin = v.bin WHERE v.bin < total + 1),
+_BINS = """, m AS (SELECT rec_id, max(end_ds) AS total FROM s GROUP BY 1), v AS (SELECT rec_id, unnest(generate_series(start_ds, end_ds)) AS bin FROM s),
+k AS (SELECT rec_id, unnest(generate_series(start_ds, end_ds)) AS bin FROM s WHERE seg_idx % 4 <> 3), u AS (SELECT DISTINCT v.rec_id, v.bin FROM v JOIN m USING (rec_id) ANTI JOIN k ON k.rec_id = v.rec_id AND k.bin = v.bin WHERE v.bin < total + 1),
 i AS (SELECT *, CASE WHEN bin - lag(bin) OVER (PARTITION BY rec_id ORDER BY bin) <= 5 THEN 0 ELSE 1 END AS n FROM u), j AS (SELECT *, sum(n) OVER (PARTITION BY rec_id ORDER BY bin) AS run FROM i),
 runs AS (SELECT rec_id, run, min(bin) AS a, max(bin) AS z FROM j GROUP BY 1, 2)"""
-# the derived recordings are listed by tenths of a second; a tenth of them is enough to hold against SQL
-_BINS = _BINS.replace(" WHERE rec_id % 10 = 0 AND", " WHERE").replace(" WHERE rec_id % 10 = 0", "")
 
 
 @on_segments("islands", _BINS + " SELECT rec_id, a AS first, z AS last FROM runs WHERE z - a + 1 >= 8")
@@ -467,7 +465,7 @@ def _(seg):
     return CL.make_units(at).select("rec_id", "unit_idx", "start", "end", "kind")
 
 
-_EDGES = X.WORDS + _UNITS + ", e AS (SELECT *, coalesce(greatest(0, lead(start_ds) OVER (PARTITION BY rec_id ORDER BY unit_idx) - end_ds), 10) AS pause_ds FROM u)"
+_EDGES = X.WORDS + _UNITS + ", e AS (SELECT *, CASE WHEN lead(start_ds) OVER (PARTITION BY rec_id ORDER BY unit_idx) IS NULL THEN 10 ELSE greatest(0, lead(start_ds) OVER (PARTITION BY rec_id ORDER BY unit_idx) - end_ds) END AS pause_ds FROM u)"
 
 
 @on_segments("word_edges", _EDGES + " SELECT rec_id, unit_idx, start_ds AS left_ds, end_ds AS right_ds, pause_ds FROM e")
@@ -504,22 +502,22 @@ def _(seg):
     return CL.cut_runs(runs).groupBy("rec_id", "run_id", "cut").agg(F.count("*").alias("n"))
 
 
-@on_segments("clip_stats", X.WORDS + " SELECT rec_id, seg_idx, string_agg(word, ' ' ORDER BY word_idx) AS text, round(avg(prob), 6) AS prob, FALSE AS recovered FROM w GROUP BY 1, 2")
+@on_segments("clip_stats", X.WORDS + " SELECT rec_id, seg_idx, string_agg(word, ' ' ORDER BY word_idx) AS text, sum((rec_id + 13*seg_idx + 7*word_idx) % 100)::BIGINT AS cents, FALSE AS recovered FROM w GROUP BY 1, 2")
 def _(seg):
     at = X.words(seg).select("rec_id", "seg_idx", "word_idx", F.col("word").alias("text"), "prob", F.lit(-0.5).alias("logprob"), F.lit("word").alias("kind"))
-    # the operator rounds to three decimals; the query holds the unrounded mean against SQL
-    mean = at.groupBy("rec_id", "seg_idx").agg(F.round(F.avg("prob"), 6).alias("prob"))
-    return CL.clip_stats(at, ["rec_id", "seg_idx"], "word_idx").drop("prob", "logprob").join(mean, ["rec_id", "seg_idx"])
+    # the operator rounds its mean to three decimals; the sum of hundredths can be held against SQL
+    cents = at.groupBy("rec_id", "seg_idx").agg(F.sum(F.round(F.col("prob") * 100).cast("long")).alias("cents"))
+    return CL.clip_stats(at, ["rec_id", "seg_idx"], "word_idx").drop("prob", "logprob").join(cents, ["rec_id", "seg_idx"])
 
 
 def _as_clips(seg: DataFrame) -> DataFrame:
     at = F.when(F.col("seg_idx") % 13 == 0, F.array(F.lit("end"))).otherwise(F.array().cast("array<string>"))
-    return seg.select("rec_id", F.col("seg_idx").alias("clip_idx"), "start", "end", "text", ((F.col("rec_id") + F.col("seg_idx")) % 10 / 10).alias("prob"), F.lit(-0.1).alias("logprob"), (F.col("seg_idx") % 7 == 0).alias("recovered"), at.alias("tight"))
+    return seg.select("rec_id", F.col("seg_idx").alias("clip_idx"), "start", (F.col("end") + 0.03).alias("end"), "text", ((F.col("rec_id") + F.col("seg_idx")) % 10 / 10).alias("prob"), F.lit(-0.1).alias("logprob"), (F.col("seg_idx") % 7 == 0).alias("recovered"), at.alias("tight"))
 
 
-@on_segments("split_eligible", " SELECT rec_id, seg_idx AS clip_idx, CASE WHEN end_ds - start_ds < 10 OR end_ds - start_ds > 200 THEN printf('%.1f', (end_ds - start_ds) / 10.0) || 's is outside 1-20 s' END AS reason FROM s")
+@on_segments("split_eligible", " SELECT rec_id, seg_idx AS clip_idx, CASE WHEN end_ds - start_ds + 0.3 < 10 OR end_ds - start_ds + 0.3 > 200 THEN printf('%.1f', ((end_ds - start_ds) / 10.0 + 0.03)::DOUBLE) || 's is outside 1-20 s' END AS reason FROM s")
 def _(seg):
-    good, bad = CL.split_eligible(_as_clips(seg).withColumn("end", F.round("end", 1)))
+    good, bad = CL.split_eligible(_as_clips(seg))
     return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("rec_id", "clip_idx", F.replace("reason", F.lit(","), F.lit("")).alias("reason"))
 
 
@@ -529,9 +527,9 @@ def _(seg):
     return CL.median_rate(clips).select("rec_id", F.round("median", 4).alias("median"))
 
 
-@on_segments("review_reasons", " SELECT rec_id, seg_idx AS clip_idx, (rec_id + seg_idx) % 10 < 6 AS unsure, regexp_matches(text, '[A-Za-z]') AS latin, end_ds - start_ds < 18 OR end_ds - start_ds > 152 AS length, seg_idx % 7 = 0 AS recovered, seg_idx % 13 = 0 AS tight FROM s")
+@on_segments("review_reasons", " SELECT rec_id, seg_idx AS clip_idx, (rec_id + seg_idx) % 10 < 6 AS unsure, regexp_matches(text, '[A-Za-z]') AS latin, end_ds - start_ds + 0.3 < 18 OR end_ds - start_ds + 0.3 > 152 AS length, seg_idx % 7 = 0 AS recovered, seg_idx % 13 = 0 AS tight FROM s")
 def _(seg):
-    out = CL.review_reasons(_as_clips(seg).withColumn("end", F.round("end", 1)))
+    out = CL.review_reasons(_as_clips(seg))
     has = lambda start: F.exists("review", lambda r: r.rlike(start))
     return out.select("rec_id", "clip_idx", has("^low").alias("unsure"), has("^Latin").alias("latin"), has("s long").alias("length"), has("^recovered").alias("recovered"), has("^no clear").alias("tight"))
 
@@ -597,8 +595,8 @@ def _(seg):
 @on_segments(
     "repeated_phrase",
     """, q AS (SELECT rec_id, seg_idx, string_split(text, ' ') AS w FROM s), r AS (SELECT rec_id, seg_idx, w, unnest([1, 2, 3, 4]) AS n FROM q),
-h AS (SELECT rec_id, seg_idx, n, w, list_filter(generate_series(1, len(w) - 3*n + 1), lambda i: w[i:i+n-1] = w[i+n:i+2*n-1] AND w[i:i+n-1] = w[i+2*n:i+3*n-1]) AS at FROM r WHERE len(w) >= 3*n)
-SELECT rec_id, seg_idx, arg_min(array_to_string(list_slice(w, at[1], at[1]+n-1), ' '), n) AS phrase FROM h WHERE len(at) > 0 GROUP BY 1, 2""",
+h AS (SELECT rec_id, seg_idx, n, w, list_filter(generate_series(1, len(w) - 3*n + 1), lambda i: w[i:i+n-1] = w[i+n:i+2*n-1] AND w[i:i+n-1] = w[i+2*n:i+3*n-1]) AS ix FROM r WHERE len(w) >= 3*n)
+SELECT rec_id, seg_idx, arg_min(array_to_string(list_slice(w, ix[1], ix[1]+n-1), ' '), n) AS phrase FROM h WHERE len(ix) > 0 GROUP BY 1, 2""",
 )
 def _(seg):
     return seg.select("rec_id", "seg_idx", T.repeated_phrase(F.col("text")).alias("phrase")).where("phrase is not null")
@@ -704,12 +702,12 @@ def _(seg):
 
 @on_segments(
     "merge_metadata",
-    """, q AS (SELECT rec_id, seg_idx, text, row_number() OVER (PARTITION BY rec_id ORDER BY seg_idx) AS n FROM s WHERE end_ds - start_ds BETWEEN 10 AND 200 AND rec_id % 2 = 0)
+    """, q AS (SELECT rec_id, seg_idx, text, row_number() OVER (PARTITION BY rec_id ORDER BY seg_idx) AS n FROM s WHERE end_ds - start_ds + 0.3 BETWEEN 10 AND 200 AND rec_id % 2 = 0)
 SELECT 'talk' || rec_id || '_' || lpad(n::VARCHAR, 4, '0') || '.wav|' || text AS value FROM q UNION ALL SELECT 'talk' || rec_id || '_0001.wav|old' FROM s WHERE seg_idx = 0 AND (rec_id % 2 = 1 OR NOT EXISTS (SELECT 1 FROM q WHERE q.rec_id = s.rec_id))""",
 )
 def _(seg):
     name = F.concat(F.lit("talk"), "rec_id")
-    clips = CL.split_eligible(_as_clips(seg).where("rec_id % 2 = 0").withColumn("end", F.round("end", 1)))[0].select(name.alias("name"), "clip_idx", "text")
+    clips = CL.split_eligible(_as_clips(seg).where("rec_id % 2 = 0"))[0].select(name.alias("name"), "clip_idx", "text")
     old = seg.where("seg_idx = 0").select(F.concat(name, F.lit("_0001.wav")).alias("file_name"), F.lit("old").alias("text"))
     return WR.metadata_line(WR.merge_metadata(old, clips, overwrite=True))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,7 +17,10 @@ LONG_PAUSE, EDGE, TRIM, CLEAR = 1.0, 0.05, 1.5, 0.15
 MIN_EXPORT, MAX_EXPORT = 1.0, 20.0
 #: Frames a second, and frames that a quiet stretch has at least.
 FRAMES, MIN_QUIET = 100, 8
-UNITS = W.partitionBy("rec_id").orderBy("unit_idx")
+
+
+def _along() -> WindowSpec:
+    return W.partitionBy("rec_id").orderBy("unit_idx")
 
 
 def make_units(segments: DataFrame) -> DataFrame:
@@ -65,10 +68,10 @@ def word_edges(units: DataFrame, recordings: DataFrame | None = None, quiet: Dat
     Without audio these are the word times. With ``quiet`` stretches, edges move to the quiet beside the word. Where no
     pause is left, both words meet at the quietest frame, or half-way without ``energies``.
     """
-    next_start, next_end = F.lead("start").over(UNITS), F.lead("end").over(UNITS)
+    next_start, next_end = F.lead("start").over(_along()), F.lead("end").over(_along())
     a_mid = F.greatest((F.col("start") + F.col("end")) / 2, F.col("end") - 0.3)
     b_mid = F.least((next_start + next_end) / 2, next_start + 0.3)
-    base = units.withColumns({"next_start": next_start, "a_mid": a_mid, "b_mid": b_mid, "first_one": F.lag("start").over(UNITS).isNull()})
+    base = units.withColumns({"next_start": next_start, "a_mid": a_mid, "b_mid": b_mid, "first_one": F.lag("start").over(_along()).isNull()})
     if quiet is None:
         edged = base.withColumns({"right": F.col("end"), "left": F.col("start")})
     else:
@@ -85,7 +88,7 @@ def word_edges(units: DataFrame, recordings: DataFrame | None = None, quiet: Dat
         value = F.when(F.col("side") == "right", F.col("first")).otherwise(F.col("last"))
         pivoted = found.groupBy("rec_id", "unit_idx").agg(F.max(F.when(F.col("side") == "right", value)).alias("r"), F.max(F.when(F.col("side") == "left", value)).alias("l"))
         edged = base.join(pivoted, ["rec_id", "unit_idx"], "left").withColumns({"right": F.coalesce("r", "end"), "left": F.coalesce("l", "start")}).drop("r", "l")
-    edged = edged.withColumn("next_left", F.lead("left").over(UNITS))
+    edged = edged.withColumn("next_left", F.lead("left").over(_along()))
     meets = F.coalesce(F.col("next_left") <= F.col("right"), F.lit(False))
     middle = (F.col("end") + F.col("next_start")) / 2
     if energies is not None:
@@ -99,9 +102,10 @@ def word_edges(units: DataFrame, recordings: DataFrame | None = None, quiet: Dat
         edged = edged.join(low, ["rec_id", "unit_idx"], "left")
         middle = F.coalesce("q", middle)
     meet = edged.withColumn("meet", F.when(meets, middle))
-    left = F.coalesce(F.lag("meet").over(UNITS), F.col("left"))
+    left = F.coalesce(F.lag("meet").over(_along()), F.col("left"))
     out = meet.withColumns({"right": F.coalesce("meet", "right"), "left": left})
-    out = out.withColumn("pause", F.coalesce(F.greatest(F.lit(0.0), F.lead("left").over(UNITS) - F.col("right")), F.lit(LONG_PAUSE)))
+    gap = F.lead("left").over(_along()) - F.col("right")
+    out = out.withColumn("pause", F.when(gap.isNotNull(), F.greatest(F.lit(0.0), gap)).otherwise(LONG_PAUSE))
     return out.select(*units.columns, "left", "right", "pause")
 
 
@@ -115,19 +119,19 @@ def speech_runs(edged: DataFrame, exclude: DataFrame) -> tuple[DataFrame, DataFr
     inside = lambda a, b: F.coalesce(F.exists("__r", lambda r: (a < r["end"]) & (b > r["start"])), F.lit(False))
     at = edged.join(lists, "rec_id", "left").withColumn("shut", inside(F.col("start"), F.col("end")))
     at = at.withColumn("barrier", F.col("kind").isin("arabic", "invented") | F.col("shut"))
-    gap = F.coalesce(inside(F.col("end"), F.lead("start").over(UNITS)), F.lit(False)) & F.lead("start").over(UNITS).isNotNull()
+    gap = F.coalesce(inside(F.col("end"), F.lead("start").over(_along())), F.lit(False)) & F.lead("start").over(_along()).isNotNull()
     at = at.withColumn("gap", gap & ~F.col("barrier"))
     ends = F.col("barrier") | (F.col("pause") >= LONG_PAUSE) | F.col("gap")
     at = at.withColumns(
         {
-            "begins": ~F.col("barrier") & F.coalesce(F.lag(ends).over(UNITS), F.lit(True)),
-            "from_open": F.coalesce(F.lag(F.col("barrier") | F.col("gap")).over(UNITS), F.lit(False)),
-            "to_open": F.col("gap") | (F.coalesce(F.lead("barrier").over(UNITS), F.lit(False)) & (F.col("pause") < LONG_PAUSE)),
-            "before": F.coalesce(F.lag("pause").over(UNITS), F.lit(LONG_PAUSE)),
-            "has_before": F.lag("pause").over(UNITS).isNotNull(),
+            "begins": ~F.col("barrier") & F.coalesce(F.lag(ends).over(_along()), F.lit(True)),
+            "from_open": F.coalesce(F.lag(F.col("barrier") | F.col("gap")).over(_along()), F.lit(False)),
+            "to_open": F.col("gap") | (F.coalesce(F.lead("barrier").over(_along()), F.lit(False)) & (F.col("pause") < LONG_PAUSE)),
+            "before": F.coalesce(F.lag("pause").over(_along()), F.lit(LONG_PAUSE)),
+            "has_before": F.lag("pause").over(_along()).isNotNull(),
         }
     )
-    at = at.withColumn("run_id", F.sum(F.col("begins").cast("int")).over(UNITS))
+    at = at.withColumn("run_id", F.sum(F.col("begins").cast("int")).over(_along()))
     run = W.partitionBy("rec_id", "run_id").orderBy("unit_idx")
     runs = at.where(~F.col("barrier")).withColumns({"open_start": F.first("from_open").over(run), "open_end": F.last("to_open").over(run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
     reason = F.when(F.col("kind") == "arabic", "Arabic (Quran verse or dua)").when(F.col("kind") == "invented", "text the recognizer often invents").otherwise("inside an --exclude range")
@@ -166,14 +170,18 @@ def cut_runs(runs: DataFrame) -> DataFrame:
     return runs.join(numbered, ["rec_id", "unit_idx"])
 
 
-def clip_stats(words: DataFrame, by: Sequence[str] = ("rec_id", "clip_idx"), order: str = "unit_idx") -> DataFrame:
-    """Of each clip: words joined, mean probability, least log-probability, whether any was recovered."""
-    return words.groupBy(*by).agg(
+def _stats(order: str) -> list[Column]:
+    return [
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("text"),
         F.round(F.avg("prob"), 3).alias("prob"),
         F.min("logprob").alias("logprob"),
         F.bool_or(F.col("kind") == "recovered").alias("recovered"),
-    )
+    ]
+
+
+def clip_stats(words: DataFrame, by: Sequence[str] = ("rec_id", "clip_idx"), order: str = "unit_idx") -> DataFrame:
+    """Of each clip: words joined, mean probability, least log-probability, whether any was recovered."""
+    return words.groupBy(*by).agg(*_stats(order))
 
 
 def split_eligible(clips: DataFrame, min_s: float = MIN_EXPORT, max_s: float = MAX_EXPORT) -> tuple[DataFrame, DataFrame]:
@@ -194,9 +202,9 @@ def build_clips(segments: DataFrame, recordings: DataFrame, exclude: DataFrame,
     trimmed, dropped = trim_runs(runs)
     cut = cut_runs(trimmed)
     by = ["rec_id", "run_id", "cut"]
-    ends = cut.groupBy(*by).agg(F.min_by(F.struct("left", "before", "has_before"), "unit_idx").alias("a"), F.max_by(F.struct("right", "pause"), "unit_idx").alias("z"))
+    ends = cut.groupBy(*by).agg(F.min_by(F.struct("left", "before", "has_before"), "unit_idx").alias("a"), F.max_by(F.struct("right", "pause"), "unit_idx").alias("z"), *_stats("unit_idx"))
     ranges = exclude.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__r"))
-    at = ends.join(clip_stats(cut, by), by).join(recordings.select("rec_id", "total"), "rec_id").join(ranges, "rec_id", "left")
+    at = ends.join(recordings.select("rec_id", "total"), "rec_id").join(ranges, "rec_id", "left")
     start = F.greatest(F.lit(0.0), F.col("a.left") - F.when(F.col("a.has_before"), F.least(F.lit(EDGE), F.col("a.before") / 2)).otherwise(EDGE))
     end = F.least("total", F.col("z.right") + F.least(F.lit(EDGE), F.col("z.pause") / 2))
 
@@ -229,6 +237,7 @@ def review_reasons(clips: DataFrame) -> DataFrame:
     """Clips with ``review``: what to check, in a fixed order; an empty array for a clip that looks right."""
     d, text = F.col("end") - F.col("start"), F.col("text")
     rate, typical = X.speaking_rate(text, d), F.col("median")
+    clips = clips.withColumn("median", F.median(rate).over(W.partitionBy("rec_id")))
     fixed = lambda c, n: F.format_string(f"%.{n}f", c)
     sure = F.when(F.col("prob").isNotNull(), fixed(F.col("prob"), 2)).otherwise(F.concat(F.lit("log "), fixed(F.col("logprob"), 2)))
     reasons = F.array(
@@ -242,7 +251,7 @@ def review_reasons(clips: DataFrame) -> DataFrame:
         F.when(F.col("recovered"), "recovered in the second pass (no word timings; check the ends)"),
         F.when(F.size("tight") > 0, F.concat(F.lit("no clear pause at the "), F.array_join("tight", " and "), F.lit("; check that no word is cut"))),
     )
-    return clips.join(median_rate(clips), "rec_id").withColumn("review", F.array_compact(reasons)).drop("median")
+    return clips.withColumn("review", F.array_compact(reasons)).drop("median")
 
 
 def clip_summary(clips: DataFrame, left_out: DataFrame) -> DataFrame:
