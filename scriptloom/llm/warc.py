@@ -25,6 +25,8 @@ from .common import shared_dir, skew_join, stored, table
 
 VERSION = "WARC/1.0\r\n"
 LEAST_BYTES = 100
+#: Payloads that occur more than once are broadcast up to so many (some 80 bytes each).
+BROADCAST_ROWS = 200_000
 #: Bytes between a record's payload and the next record.
 GAP = "\r\n\r\n"
 
@@ -41,7 +43,8 @@ def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     sized = hashed.where(F.octet_length("payload") >= least_bytes)
     # only payloads that occur more than once need to meet their first copy
     firsts = stored(sized.groupBy("digest").agg(F.count("*").alias("copies"), F.min("page_id").alias("first")).where("copies > 1"))
-    joined = skew_join(hashed, firsts.hint("merge"), "digest", "left")
+    # a small table is sent to the payloads; with a large one payloads and digests meet in a shuffle
+    joined = hashed.join(F.broadcast(firsts), "digest", "left") if firsts.count() <= BROADCAST_ROWS else skew_join(hashed, firsts.hint("merge"), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id",
@@ -84,19 +87,22 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every piece from one version line to the next: ``file, at long, next long`` and what its header says.
 
     at: its place in the file; next: the place that its header gives its successor, null if it gives none. A piece as
-    long as its header says has its digest; of any other the bytes are kept. A piece's place is the sum of the sizes
-    before it: a task sums along its splits of a file, a window along the sums of a file's splits.
+    long as its header says has its digest. The bytes are kept of every piece that may lie inside a payload: a task
+    follows the chain from the start of a file, in its first split, and need not keep the whole records that it meets. A
+    piece's place is the sum of the sizes before it: a task sums along its splits, a window along those sums.
     """
     # the reader drops the version line, its separator; a file begins with one, so its first piece is empty
     rows = spark.read.option("lineSep", VERSION).text(path).select(F.col("value").cast("binary").alias("body"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone: dict[tuple[str, int], int] = {}
+        due: dict[tuple[str, int], int] = {}  # where the chain's next record begins
         for batch in batches:
             out = []
             for body, file, split in zip(batch.column("body"), batch.column("file").to_pylist(), batch.column("split").to_pylist(), strict=True):
                 body = body.as_buffer().to_pybytes()
                 inside, size = gone.get((file, split), 0), len(body) + len(VERSION)
+                met = split == 0 and inside == due.get((file, split), len(VERSION))
                 gone[file, split] = inside + size
                 end = body.find(b"\r\n\r\n")
                 fields = _fields(body[:end]) if end >= 0 else {}
@@ -104,8 +110,10 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 length = int(told) if told.isascii() and told.isdigit() and len(told) < 18 else None
                 whole = length is not None and end + 4 + length + len(GAP) == len(body)
                 digest = hashlib.sha256(body[end + 4 : end + 4 + length]).hexdigest() if whole else None
+                if met and length is not None:
+                    due[file, split] = inside + len(VERSION) + end + 4 + length + len(GAP)
                 named = [fields.get(f) for f in (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")]
-                out.append((file, split, inside, size, end + 4, length, *named, digest, None if whole else body))
+                out.append((file, split, inside, size, end + 4, length, *named, digest, None if met and whole else body))
             schema = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in CANDIDATE.split(", ")])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
