@@ -30,10 +30,10 @@ _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts: the bucket of each n-gram of a kind, and where each text's n-grams begin (and the last end).
 
-    Two zero characters follow each text, so that word-like edges count and no n-gram spans two texts' characters.
+    Two zero characters stand before each text and after the last, so that edges count and no n-gram spans two texts.
     """
     lowered = [t.lower() for t in texts]
-    codes = np.frombuffer(("\0\0".join(lowered) + "\0\0\0\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = np.frombuffer(("\0\0" + "\0\0".join(lowered) + "\0\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = len(codes) - 2
     begins = np.cumsum([0, *(len(t) + 2 for t in lowered)])
     for order in ORDERS:

@@ -147,9 +147,7 @@ def test_language(spark):
             slow[langs[i], -1] += 1
             for buckets, _ in langid._grams([t or ""]):
                 slow.update((langs[i], int(b)) for b in buckets)
-    # zero padding at the end of a run differs from that of single texts by a constant of the padding alone
-    padding = {int(b) for grams, _ in langid._grams([""]) for b in grams}
-    assert {k: v for k, v in counts.items() if k[1] not in padding} == {k: v for k, v in slow.items() if k[1] not in padding}
+    assert counts == slow
 
 
 def test_toxicity(spark):
