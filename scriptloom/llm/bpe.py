@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import short_batches, stored, table
 
 #: Size of the literal's hash table.
 SLOTS = 1 << 16
 #: Bounds of the dictionary of frequent pieces that is sent to all tasks.
-MAX_PIECES = 2_000_000
-MAX_BYTES = 96 << 20
+MAX_PIECES = 1_000_000
+MAX_BYTES = 48 << 20
 
 
 def java_pattern(pattern: str) -> str:
@@ -56,11 +56,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def encoder(tokens: list[bytes]) -> Callable[[Column], Column]:
-    """A function from a piece (not empty) to its ids: the fold, with the ranks as a literal."""
-    ranks = _rank_literal(tokens)
-
-    def rank(part: Column) -> Column:
-        return F.get(ranks, (F.crc32(part.cast("binary")) % SLOTS).cast("int"))[part]
+    """A function from a piece (not empty) to its ids: the fold, with the ranks as a literal that stands in the plan once."""
+    literal = _rank_literal(tokens)
 
     def parts(state: Column) -> Column:
         return F.regexp_extract_all(state, F.lit("[0-9A-F]+"), F.lit(0))
@@ -68,27 +65,33 @@ def encoder(tokens: list[bytes]) -> Callable[[Column], Column]:
     def to(state: Column, done: bool) -> Column:
         return F.struct(state.alias("s"), F.lit(done).alias("done"))
 
-    def step(state: Column, _: Column) -> Column:
-        def joined(p: Column) -> Column:
-            def replaced(i: Column) -> Column:
-                a, b = F.get(p, i), F.get(p, i + 1)
-                return to(F.replace(state["s"], F.concat(F.lit("<"), a, F.lit("><"), b, F.lit(">")), F.concat(F.lit("<"), a, b, F.lit(">"))), False)
+    def folded(piece: Column, rank: Callable[[Column], Column]) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            def joined(p: Column) -> Column:
+                def replaced(i: Column) -> Column:
+                    a, b = F.get(p, i), F.get(p, i + 1)
+                    return to(F.replace(state["s"], F.concat(F.lit("<"), a, F.lit("><"), b, F.lit(">")), F.concat(F.lit("<"), a, b, F.lit(">"))), False)
 
-            def lowest(found: Column) -> Column:
-                low = F.array_min(found)
-                return F.when(low.isNull(), to(state["s"], True)).otherwise(_let((F.array_position(found, low) - 1).cast("int"), replaced))
+                def lowest(found: Column) -> Column:
+                    low = F.array_min(found)
+                    return F.when(low.isNull(), to(state["s"], True)).otherwise(_let((F.array_position(found, low) - 1).cast("int"), replaced))
 
-            neighbours = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.concat(a, b))
-            return _let(F.transform(neighbours, rank), lowest)
+                neighbours = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.concat(a, b))
+                return _let(F.transform(neighbours, rank), lowest)
 
-        return F.when(state["done"], state).otherwise(_let(parts(state["s"]), joined))
+            return F.when(state["done"], state).otherwise(_let(parts(state["s"]), joined))
 
-    def encode(piece: Column) -> Column:
         key = F.hex(piece.cast("binary"))
         start = to(F.regexp_replace(key, "(..)", "<$1>"), False)
         rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(piece) - 1, F.lit(1)))
-        folded = F.aggregate(rounds, start, step, lambda state: F.transform(parts(state["s"]), rank))
-        return F.when(rank(key).isNotNull(), F.array(rank(key))).otherwise(folded)
+        merged = F.aggregate(rounds, start, step, lambda state: F.transform(parts(state["s"]), rank))
+        return _let(rank(key), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+
+    def encode(piece: Column) -> Column:
+        def ranked(ranks: Column) -> Column:
+            return folded(piece, lambda part: F.get(ranks, (F.crc32(part.cast("binary")) % SLOTS).cast("int"))[part])
+
+        return _let(literal, ranked)
 
     return encode
 
@@ -105,7 +108,7 @@ class Dictionary:
 
     def __init__(self, pieces: pa.Array, ids: pa.ListArray):
         self.pieces = pieces
-        self.offsets = ids.offsets.to_numpy().astype(np.int64)
+        self.offsets = ids.offsets.to_numpy()
         self.ids = ids.values.to_numpy().astype("<u4")
 
 
@@ -172,16 +175,23 @@ def _digests(doc_ids: pa.Array, codes: pa.ListArray, rare: pa.ListArray, words:
 
 
 def _least_count(counted: DataFrame, pieces: int, size: int) -> int:
-    """The smallest power of two such that the pieces that occur so often keep to both bounds."""
-    level = F.floor(F.log2("count")).cast("int")
-    rows = counted.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.octet_length("piece") + 20).alias("size")).collect()  # at most 63
+    """The smallest count such that the pieces that occur so often keep to both bounds; from 64 on a power of two."""
+    level = F.when(F.col("count") < 64, F.col("count")).otherwise(F.pow(F.lit(2), F.floor(F.log2("count")))).cast("long")
+    rows = counted.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.octet_length("piece") + 20).alias("size")).collect()  # at most 63 + 57
+    above = None
     for row in sorted(rows, reverse=True):
         pieces, size = pieces - row.n, size - row.size
         if pieces < 0 or size < 0:
-            return 2 ** (row.level + 1)
+            return above or 2 * row.level
+        above = row.level
     return 1
 
 
+def _dictionary(coded: DataFrame) -> Dictionary:
+    got = coded.toArrow()
+    return Dictionary(*(pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("piece", "ids")))
+
+
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int = MAX_PIECES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: its text encoded, and the ids decoded again.
 
@@ -193,11 +203,11 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int =
     tokens = read_ranks(rank_file)
     encode = encoder(tokens)
     split = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split.alias("pieces"))
+    cut = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), split.alias("pieces"))
     counted = stored(cut.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("count")))
-    frequent = counted.where(F.col("count") >= _least_count(counted, max_pieces, max_bytes)).select("piece", encode(F.col("piece")).alias("ids")).toArrow()
-    columns = [pa.concat_arrays(frequent.column(c).chunks) if frequent.num_rows else pa.array([], frequent.schema.field(c).type) for c in ("piece", "ids")]
-    words, vocabulary = spark.sparkContext.broadcast(Dictionary(*columns)), spark.sparkContext.broadcast(Vocabulary(tokens))
+    frequent = counted.where(F.col("count") >= _least_count(counted, max_pieces, max_bytes))
+    words = spark.sparkContext.broadcast(_dictionary(frequent.select("piece", encode(F.col("piece")).alias("ids"))))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(tokens))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

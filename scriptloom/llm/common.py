@@ -44,6 +44,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH_ROWS = 1000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to Python: unless the session says otherwise, in batches of BATCH_ROWS rows, as texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def fold_ascii(text: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import skew_join, stored, table
+from .common import short_batches, skew_join, stored, table
 from .wordhash import Words, chunks
 
 SHINGLE = 5
@@ -126,7 +126,7 @@ def windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, similarity:
                 norm = words.spans(words.first[has], words.first[has + 1] - 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("th").take(rows), norm, lists], ["doc_id", "th", "norm", "windows"])
 
-    return docs.mapInArrow(find, "doc_id long, th long, norm string, windows array<struct<at:int,n_words:int,fp:long>>")
+    return short_batches(docs).mapInArrow(find, "doc_id long, th long, norm string, windows array<struct<at:int,n_words:int,fp:long>>")
 
 
 def _blocks(fp: str, flipped: bool) -> Column:

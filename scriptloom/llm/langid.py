@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fifth, table
+from .common import fifth, short_batches, table
 
 #: Hash buckets, and n-gram orders; the matrix has at most MAX_LANGS rows of BUCKETS numbers (64 MB).
 BITS = 16
@@ -83,7 +83,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(np.where(at == BUCKETS, -1, at)), pa.array(total[at])], ["lang", "bucket", "n"])
 
-    return labelled.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return short_batches(labelled).select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame, smoothing: float = 0.1) -> Model:
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def judged(texts: pa.Array) -> pa.Array:
         return judge(texts)
 
-    return docs.withColumn("__judged", judged(F.col(text))).withColumns({"lang_pred": F.col("__judged.lang"), "score": F.col("__judged.score")}).drop("__judged")
+    return short_batches(docs).withColumn("__judged", judged(F.col(text))).withColumns({"lang_pred": F.col("__judged.lang"), "score": F.col("__judged.score")}).drop("__judged")
 
 
 def learned(docs: DataFrame) -> Model:

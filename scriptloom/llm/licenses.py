@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 from .wordhash import Words, chunks
 
 K = 3
@@ -86,7 +86,7 @@ def rolling_grams(docs: DataFrame) -> DataFrame:
                     yield whole.slice(i, 50_000)
 
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return taken.mapInArrow(roll, "doc_id long, th long, n_words long, p int, hash long, gram string")
+    return short_batches(taken).mapInArrow(roll, "doc_id long, th long, n_words long, p int, hash long, gram string")
 
 
 def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, texts: tuple[Template, ...] = TEXTS) -> DataFrame:

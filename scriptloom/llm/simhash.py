@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import skew_join, stored, table
+from .common import short_batches, skew_join, stored, table
 from .components import connected_components
 
 RADIUS = 3
@@ -49,11 +49,11 @@ def fingerprint(text: bytes, k: int = 3) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", k: int = 3) -> DataFrame:
     """``docs`` (any columns) with ``fp long`` added; a null or blank text has 0."""
 
-    @F.pandas_udf("long")
-    def compute(texts):
-        return texts.map(lambda t: fingerprint(t.encode("utf-8", "surrogatepass"), k) if t else 0).astype("int64")
+    @F.arrow_udf("long")
+    def compute(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t.as_py() or b"", k) for t in texts.cast(pa.binary())], pa.int64())
 
-    return docs.withColumn("fp", compute(F.col(text)))
+    return short_batches(docs).withColumn("fp", compute(F.col(text)))
 
 
 def _variants(fp: Column) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fifth, table
+from .common import fifth, short_batches, table
 from .wordhash import Words, chunks
 
 BITS = 18
@@ -87,14 +87,14 @@ def features(labelled: DataFrame) -> DataFrame:
                     swaps.append(np.array([x for b in np.intersect1d(part, terms) for o in others[int(b)] for x in (b, o)], np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(on, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.int32()))], ["toxic", "on", "swaps"])
 
-    return labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(extract, "toxic int, on array<int>, swaps array<int>")
+    return short_batches(labelled).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(extract, "toxic int, on array<int>, swaps array<int>")
 
 
 def _rows(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and values of a list column."""
     flat = lists.combine_chunks()
     lengths = np.diff(flat.offsets.to_numpy())
-    return np.repeat(np.arange(len(lengths)), lengths), flat.flatten().to_numpy()
+    return np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), flat.flatten().to_numpy()
 
 
 class Model:
@@ -122,6 +122,8 @@ def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS) ->
     toxic, clean = np.bincount(bucket, y[row], DIM) + 1, np.bincount(bucket, 1 - y[row], DIM) + 1
     odds = np.log(toxic / (y.sum() + 2)) - np.log(clean / (len(y) - y.sum() + 2))
     scale = np.maximum(np.abs(odds) / np.sqrt(1 / toxic + 1 / clean) - CHANCE, 0)
+    used = scale[bucket] > 0
+    row, bucket = row[used], bucket[used]
     v, bias = np.zeros(DIM), float(np.log(rate / (1 - rate)))
     past, past_bias, speed = np.full(DIM, 1e-6), 1e-6, 0.3
     weigh = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
@@ -165,7 +167,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         found = [sent.value.score(run) for _, run in chunks(texts)]
         return pa.array(np.concatenate(found) if found else np.empty(0))
 
-    return docs.withColumn("score", judged(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return short_batches(docs).withColumn("score", judged(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, skew_join, stored, table
+from .common import shared_dir, short_batches, skew_join, stored, table
 
 VERSION = "WARC/1.0\r\n"
 LEAST_BYTES = 100
@@ -117,7 +117,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             schema = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in CANDIDATE.split(", ")])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
-    found = stored(rows.mapInArrow(emit, CANDIDATE))
+    found = stored(short_batches(rows).mapInArrow(emit, CANDIDATE))
     sums = found.groupBy("file", "split").agg(F.sum("size").alias("total"))
     before = F.sum("total").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
     splits = sums.select("file", "split", F.coalesce(before, F.lit(0)).alias("base"))
