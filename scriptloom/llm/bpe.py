@@ -206,8 +206,10 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int =
     cut = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), split.alias("pieces"))
     counted = stored(cut.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("count")))
     frequent = counted.where(F.col("count") >= _least_count(counted, max_pieces, max_bytes))
+    # the driver keeps a file of it, not the value
     words = spark.sparkContext.broadcast(_dictionary(frequent.select("piece", encode(F.col("piece")).alias("ids"))))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(tokens))
+    pa.default_memory_pool().release_unused()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -90,11 +90,10 @@ def features(labelled: DataFrame) -> DataFrame:
     return short_batches(labelled).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(extract, "toxic int, on array<int>, swaps array<int>")
 
 
-def _rows(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and values of a list column."""
-    flat = lists.combine_chunks()
-    lengths = np.diff(flat.offsets.to_numpy())
-    return np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), flat.flatten().to_numpy()
+def _rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and values of a list array."""
+    lengths = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy()
 
 
 class Model:
@@ -115,18 +114,32 @@ def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS) ->
     y = got.column("toxic").to_numpy().astype(float)
     if not len(y):
         return Model(np.zeros(DIM), 0.0)
-    row, bucket = _rows(got.column("on"))
-    swap_row, swap = _rows(got.column("swaps"))
-    gone, come = swap[0::2], swap[1::2]
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    toxic, clean = np.bincount(bucket, y[row], DIM) + 1, np.bincount(bucket, 1 - y[row], DIM) + 1
+    # counts, then the features that stand out, a batch at a time: few are left
+    counts, batches, first = np.ones((2, DIM)), got.to_batches(), 0
+    for batch in batches:
+        row, bucket = _rows(batch.column("on"))
+        label = y[first : first + batch.num_rows][row]
+        for of in (0, 1):
+            counts[of] += np.bincount(bucket[label == of], minlength=DIM)
+        first += batch.num_rows
+    clean, toxic = counts
     odds = np.log(toxic / (y.sum() + 2)) - np.log(clean / (len(y) - y.sum() + 2))
     scale = np.maximum(np.abs(odds) / np.sqrt(1 / toxic + 1 / clean) - CHANCE, 0)
-    used = scale[bucket] > 0
-    row, bucket = row[used], bucket[used]
+    found, first = [], 0
+    for batch in batches:
+        row, bucket = _rows(batch.column("on"))
+        used = scale[bucket] > 0
+        found.append((row[used] + first, bucket[used]))
+        first += batch.num_rows
+    row, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
+    swap = np.concatenate([_rows(batch.column("swaps"))[1] for batch in batches])
+    gone, come = swap[0::2], swap[1::2]
+    weigh = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
+    del got, batches
+    pa.default_memory_pool().release_unused()
     v, bias = np.zeros(DIM), float(np.log(rate / (1 - rate)))
     past, past_bias, speed = np.full(DIM, 1e-6), 1e-6, 0.3
-    weigh = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
     for _ in range(steps):  # Adagrad
         w = v * scale
         z = bias + np.bincount(row, w[bucket], len(y))
