@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import bpe, decontam, langid, simhash, toxicity
+from scriptloom.llm import bpe, decontam, langid, neardup, toxicity
 from scriptloom.llm.common import shared_dir, table
 
 
@@ -22,8 +22,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of near copies (five-word similarity of 0.8, or 3 bits) one document stays."""
+    return neardup.drop_similar(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

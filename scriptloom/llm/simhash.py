@@ -135,8 +135,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Should it stand for several rows, the one with the smallest hash of its text stays, once. Null ids come last.
     """
-    grouped = _grouped(docs, "text", "doc_id", RADIUS)
-    best = grouped.where("doc_id <=> component_id").groupBy("root").agg(F.min(F.struct("th", "doc_id")).alias("best"))
+    return keep_least(docs, _grouped(docs, "text", "doc_id", RADIUS))
+
+
+def keep_least(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The row of each ``root`` of ``grouped(doc_id, th, root)`` with the smallest doc_id (nulls last), then th."""
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
     key = F.concat_ws(":", "doc_id", "th")
     keep = stored(best.select("best.*").select(key.alias("__key")))
     return docs.withColumn("__key", F.concat_ws(":", F.col("doc_id"), F.xxhash64("text"))).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
