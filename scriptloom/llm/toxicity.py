@@ -1,8 +1,9 @@
 """Toxicity by a classifier with counterfactual regularisation (operator 8).
 
-A logistic regression on hashed words and beginnings of words. For each labelled text that names a group, copies are made with the group's term
-swapped for others, and training penalises any change of the score: ``mean((w·(x' - x))²)``. What a text says of a group
-may still count; which group it names may not.
+A logistic regression on hashed words and beginnings of words. For each labelled text that names a group, the features of
+its copies with the group's term swapped for others are compared with its own, beginnings of the terms included, and
+training penalises any change of the score: ``mean((w·(x' - x))²)``. What a text says of a group may still count; which
+group it names may not.
 """
 
 from __future__ import annotations
@@ -67,29 +68,83 @@ def _presence(texts: list[bytes], used: np.ndarray | None = None) -> tuple[np.nd
     return both >> BITS, both & (DIM - 1)
 
 
+def _parts(terms: list[str]) -> list[np.ndarray]:
+    """The distinct buckets of each single word: its own and those of its beginnings."""
+    of, bucket = _presence([t.encode() for t in terms])
+    return np.split(bucket, np.searchsorted(of, np.arange(1, len(terms))))
+
+
+def _word_parts(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of all words and their beginnings, by word."""
+    at, bucket = [np.arange(len(hashes))], [_bucket(hashes)]
+    for size in PREFIXES:
+        places, found = words.prefixes(size)
+        at.append(places)
+        bucket.append(_bucket(found))
+    at, bucket = np.concatenate(at), np.concatenate(bucket)
+    order = np.argsort(at, kind="stable")
+    return at[order], bucket[order]
+
+
 def features(labelled: DataFrame) -> DataFrame:
     """``text, toxic`` to ``toxic, on array<int>, swaps array<int>``.
 
-    on: buckets of the words. swaps: for each identity term in the text and each other of its kind, the pair of
-    buckets (gone, come), flattened.
+    on: buckets of the words and their beginnings. swaps: for each identity term in the text and each other of its kind,
+    the number of features that go, of those that come, then these buckets, one swap after another. What other words of
+    the text keep on neither goes nor comes.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [word_buckets(list(k)) for k in IDENTITY_TERMS]
-        others = {int(b): [int(o) for o in kind if o != b] for kind in kinds for b in kind}
-        terms = np.array(sorted(others))
+        names = [t for kind in IDENTITY_TERMS for t in kind]
+        parts = dict(zip(names, _parts(names), strict=True))
+        codes = dict(zip(names, Words([t.encode() for t in names]).hashes(), strict=True))
+        others = {int(codes[t]): (parts[t], [parts[o] for o in kind if o != t]) for kind in IDENTITY_TERMS for t in kind}
+        terms = np.array(sorted(others), np.uint64)
         for batch in batches:
             on, swaps = [], []
             for _, texts in chunks(batch.column("text")):
                 of, bucket = _presence(texts)
-                for part in np.split(bucket, np.searchsorted(of, np.arange(1, len(texts)))):
+                words = Words(texts)
+                hashes = words.hashes()
+                named = np.isin(hashes, terms)
+                doc = words.doc
+                hit = np.unique(doc[named])
+                for d, part in enumerate(np.split(bucket, np.searchsorted(of, np.arange(1, len(texts))))):
                     on.append(part.astype(np.int32))
-                    swaps.append(np.array([x for b in np.intersect1d(part, terms) for o in others[int(b)] for x in (b, o)], np.int32))
+                    if d not in hit:
+                        swaps.append(np.empty(0, np.int32))
+                        continue
+                    alone = Words([texts[d]])
+                    own = alone.hashes()
+                    at, every = _word_parts(alone, own)
+                    out = []
+                    for code in np.unique(own[np.isin(own, terms)]):
+                        gone, come = others[int(code)]
+                        rest = np.unique(every[own[at] != code])
+                        for new in come:
+                            lost = np.setdiff1d(np.setdiff1d(gone, new), rest)
+                            won = np.setdiff1d(np.setdiff1d(new, gone), rest)
+                            out += [[len(lost), len(won)], lost, won]
+                    swaps.append(np.concatenate(out).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(on, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.int32()))], ["toxic", "on", "swaps"])
 
     return short_batches(labelled).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(extract, "toxic int, on array<int>, swaps array<int>")
 
 
+def _changes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of swaps as ``features`` lists them: the swap, the bucket and the sign of each change, and the number of swaps."""
+    swap, bucket, sign, i, n = [], [], [], 0, 0
+    while i < len(flat):
+        lost, won = int(flat[i]), int(flat[i + 1])
+        swap.append(np.full(lost + won, n))
+        bucket.append(flat[i + 2 : i + 2 + lost + won])
+        sign.append(np.repeat([-1.0, 1.0], [lost, won]))
+        i, n = i + 2 + lost + won, n + 1
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), 0
+    return np.concatenate(swap), np.concatenate(bucket), np.concatenate(sign), n
+
+
 def _rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and values of a list array."""
     lengths = np.diff(lists.offsets.to_numpy())
@@ -134,7 +189,7 @@ def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS) ->
         first += batch.num_rows
     row, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
     swap = np.concatenate([_rows(batch.column("swaps"))[1] for batch in batches])
-    gone, come = swap[0::2], swap[1::2]
+    of_swap, changed, sign, swaps = _changes(swap)
     weigh = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
     del got, batches
     pa.default_memory_pool().release_unused()
@@ -145,9 +200,9 @@ def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS) ->
         z = bias + np.bincount(row, w[bucket], len(y))
         slope = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weigh / len(y)
         grad = np.bincount(bucket, slope[row], DIM)
-        if len(gone):
-            change = fairness * 2 * (w[come] - w[gone]) / len(gone)
-            grad += np.bincount(come, change, DIM) - np.bincount(gone, change, DIM)
+        if swaps:
+            change = fairness * 2 * np.bincount(of_swap, sign * w[changed], swaps) / swaps
+            grad += np.bincount(changed, sign * change[of_swap], DIM)
         grad = grad * scale + RIDGE * v
         past += grad**2
         past_bias += slope.sum() ** 2
