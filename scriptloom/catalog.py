@@ -303,7 +303,11 @@ def _(seg):
 
 
 def _ascii(seg: DataFrame) -> DataFrame:
-    return seg.where(F.col("text").rlike("^[ -~]*$")).withColumn("ref", F.translate(T.normalize(F.col("text")), "esn", "xyz")).withColumn("hyp", T.normalize(F.col("text"))).where("hyp <> ''")
+    return _read(seg.where(F.col("text").rlike("^[ -~]*$")))
+
+
+def _read(seg: DataFrame) -> DataFrame:
+    return seg.withColumn("ref", F.translate(T.normalize(F.col("text")), "esn", "xyz")).withColumn("hyp", T.normalize(F.col("text"))).where("hyp <> ''")
 
 
 @on_segments("char_error", f", q AS (SELECT rec_id, seg_idx, {_NORM.format('text')} AS hyp FROM s WHERE regexp_matches(text, '^[ -~]*$')) SELECT rec_id, seg_idx, levenshtein(translate(hyp, 'esn', 'xyz'), hyp) AS edits, length(hyp) AS n FROM q WHERE hyp <> ''")
@@ -322,12 +326,12 @@ def _(seg):
 
 @on_segments("score_pairs")
 def _(seg):
-    return J.score(X.sections(seg), seg.where("seg_idx % 5 = 0"), RULES).drop("candidate")
+    return J.score(SE.load_sections(X.lines(seg)), seg.withColumn("text", F.translate("text", "s", "z")), RULES).drop("candidate")
 
 
 @on_segments("corpus_error")
 def _(seg):
-    q = SC.word_error(_ascii(seg).select("rec_id", "language", "ref", "hyp"))
+    q = SC.word_error(_read(seg).select("rec_id", "language", "ref", "hyp"))
     return SC.corpus_error(q, ["language"])
 
 
@@ -613,7 +617,7 @@ def _(seg):
 
 @on_segments("edit_ops")
 def _(seg):
-    q = _ascii(seg)
+    q = _read(seg)
     return q.select("rec_id", "seg_idx", H.edit_ops(F.split("ref", " "), F.split("hyp", " ")).alias("o")).select("rec_id", "seg_idx", "o.*")
 
 
