@@ -67,26 +67,22 @@ def join_broken_words(c: Column) -> Column:
     """Rejoin words that were split into single letters.
 
     Runs of two or more lone letters are joined, and put to the word before them if that has three letters at most and
-    no punctuation at its end.
+    no punctuation at its end. Each word's own place tells whether a blank stands before it, so time grows with the words.
     """
     lone = lambda w: (F.length(w) == 1) & ~w.isin(*C.SINGLE_LETTER_WORDS) & ~w.rlike(r"\p{Nd}")
-    empty = F.array().cast("array<string>")
-
-    def flushed(state: Column) -> Column:
-        """The words so far, with the run of lone letters that has just ended."""
-        out, run = state["out"], state["run"]
-        last = F.try_element_at(out, F.lit(-1))
-        glue = last.isNotNull() & (F.length(last) <= 3) & ~last.rlike(C.FRAGMENT_END)
-        joined = F.array_join(run, "")
-        put = F.when(glue, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(last, joined)))).otherwise(F.concat(out, F.array(joined)))
-        return F.when(F.size(run) >= 2, put).otherwise(F.concat(out, run))
-
-    def step(state: Column, word: Column) -> Column:
-        more = F.struct(state["out"].alias("out"), F.concat(state["run"], F.array(word)).alias("run"))
-        ended = F.struct(F.concat(flushed(state), F.array(word)).alias("out"), empty.alias("run"))
-        return F.when(lone(word), more).otherwise(ended)
-
-    return F.aggregate(words(c), F.struct(empty.alias("out"), empty.alias("run")), step, lambda s: F.array_join(flushed(s), " "))
+    one = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def spaced(w: Column, flags: Column) -> Column:
+        is_lone = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
+
+        def with_blank(x: Column, i: Column) -> Column:
+            last = F.get(w, i - 1)
+            tied = F.when(is_lone(i - 1), True).otherwise(is_lone(i + 1) & (F.length(last) <= 3) & ~last.rlike(C.FRAGMENT_END))
+            return F.concat(F.when((i == 0) | (is_lone(i) & tied), "").otherwise(" "), x)
+
+        return F.array_join(F.transform(w, with_blank), "")
+
+    return one(words(c), lambda w: one(F.transform(w, lone), lambda flags: spaced(w, flags)))
 
 
 def has_devanagari(c: Column) -> Column:

@@ -1,18 +1,21 @@
 """Byte-level BPE encoding and decoding (operator 5).
 
 The merges are folded over the bytes of distinct pieces by Spark's higher-order functions with the ranks as a literal;
-what a piece becomes is then looked up for all its places. A state is the piece's byte strings in hex, each in
-angle brackets; one step finds the lowest rank of all neighbours and joins every pair of that rank from the left, which
-is what joining one at a time gives, as a new byte string's rank is never below those of its parts.
+what a piece becomes is then looked up for all its places. A state is the piece's parts, as ids, and the rank that each
+part and its right neighbour would merge to; one step merges the leftmost pair of the lowest rank and looks up the two
+pairs that this makes. Pieces of over ``LONG`` bytes, for which copying the state at each step would take quadratic
+time, are merged with a heap in the task that holds them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
-import zlib
 from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import short_batches, stored, table
 
-#: Size of the literal's hash table.
-SLOTS = 1 << 16
 #: Bounds of the dictionary of frequent pieces that is sent to all tasks.
-MAX_PIECES = 1_000_000
-MAX_BYTES = 48 << 20
+MAX_PIECES = 300_000
+MAX_BYTES = 16 << 20
+#: Bytes of a piece from which it is merged with a heap.
+LONG = 256
+#: Bits of an id in a packed pair.
+ID_BITS = 20
 
 
 def java_pattern(pattern: str) -> str:
@@ -41,13 +46,35 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
-def _rank_literal(tokens: list[bytes]) -> Column:
-    """The rank map as one constant: a hash table of small maps, byte string in hex to rank."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-    for rank, token in enumerate(tokens):
-        key = token.hex().upper()
-        slots[zlib.crc32(key.encode()) % SLOTS][key] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+def merge_tables(tokens: list[bytes]) -> tuple[list[int], list[int]]:
+    """Two hash tables of all pairs of ids whose bytes together are a token, for a lookup that reads one place of each.
+
+    An entry is the pair's key and the token's id; a pair stands at its key modulo the size of one of the tables.
+    """
+    known = {t: i for i, t in enumerate(tokens)}
+    pairs = {}
+    for whole, token in enumerate(tokens):
+        for cut in range(1, len(token)):
+            left, right = known.get(token[:cut]), known.get(token[cut:])
+            if left is not None and right is not None:
+                pairs[left << ID_BITS | right] = whole
+    size = len(pairs) * 5 // 4 | 1
+    while True:
+        tables = [[-1] * size, [-1] * (size + 2)]
+        if all(_placed(tables, key << ID_BITS | whole) for key, whole in pairs.items()):
+            return tables[0], tables[1]
+        size += 64
+
+
+def _placed(tables: list[list[int]], entry: int) -> bool:
+    """Put an entry into the first table; what stood there moves to the other one, and so on."""
+    for turn in range(200):
+        table = tables[turn % 2]
+        at = (entry >> ID_BITS) % len(table)
+        entry, table[at] = table[at], entry
+        if entry < 0:
+            return True
+    return False
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -56,44 +83,82 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def encoder(tokens: list[bytes]) -> Callable[[Column], Column]:
-    """A function from a piece (not empty) to its ids: the fold, with the ranks as a literal that stands in the plan once."""
-    literal = _rank_literal(tokens)
-
-    def parts(state: Column) -> Column:
-        return F.regexp_extract_all(state, F.lit("[0-9A-F]+"), F.lit(0))
+    """A function from a piece (not empty, no token as a whole) to its ids: the fold, with the ranks as literals that stand in the plan once."""
+    one, two = merge_tables(tokens)
+    known = {t: i for i, t in enumerate(tokens)}
+    letters = [known[bytes([b])] for b in range(256)]
+    literal = F.from_json(F.lit(json.dumps({"one": one, "two": two, "letters": letters})), "one array<bigint>, two array<bigint>, letters array<int>")
 
-    def to(state: Column, done: bool) -> Column:
-        return F.struct(state.alias("s"), F.lit(done).alias("done"))
+    def folded(piece: Column, tables: Column) -> Column:
+        def merged(left: Column, right: Column) -> Column:
+            """The id that a pair of parts makes, else null."""
 
-    def folded(piece: Column, rank: Callable[[Column], Column]) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            def joined(p: Column) -> Column:
-                def replaced(i: Column) -> Column:
-                    a, b = F.get(p, i), F.get(p, i + 1)
-                    return to(F.replace(state["s"], F.concat(F.lit("<"), a, F.lit("><"), b, F.lit(">")), F.concat(F.lit("<"), a, b, F.lit(">"))), False)
+            def found(key: Column) -> Column:
+                a = F.get(tables["one"], (key % len(one)).cast("int"))
+                b = F.get(tables["two"], (key % len(two)).cast("int"))
+                low = (1 << ID_BITS) - 1
+                return F.when(F.shiftright(a, ID_BITS) == key, a.bitwiseAND(F.lit(low))).when(F.shiftright(b, ID_BITS) == key, b.bitwiseAND(F.lit(low))).cast("int")
 
-                def lowest(found: Column) -> Column:
-                    low = F.array_min(found)
-                    return F.when(low.isNull(), to(state["s"], True)).otherwise(_let((F.array_position(found, low) - 1).cast("int"), replaced))
+            return _let(F.shiftleft(left.cast("bigint"), ID_BITS).bitwiseOR(right.cast("bigint")), found)
 
-                neighbours = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.concat(a, b))
-                return _let(F.transform(neighbours, rank), lowest)
+        def to(parts: Column, ranks: Column) -> Column:
+            return F.struct(parts.alias("parts"), ranks.alias("ranks"))
 
-            return F.when(state["done"], state).otherwise(_let(parts(state["s"]), joined))
+        def step(state: Column, _: Column) -> Column:
+            parts, ranks = state["parts"], state["ranks"]
 
-        key = F.hex(piece.cast("binary"))
-        start = to(F.regexp_replace(key, "(..)", "<$1>"), False)
-        rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(piece) - 1, F.lit(1)))
-        merged = F.aggregate(rounds, start, step, lambda state: F.transform(parts(state["s"]), rank))
-        return _let(rank(key), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+            def joined(low: Column) -> Column:
+                def at(i: Column) -> Column:  # the place of the pair, from 1; parts i and i + 1 become one
+                    none = F.array().cast("array<int>")
+                    before = F.when(i > 1, F.concat(F.slice(ranks, 1, i - 2), F.array(merged(F.get(parts, i - 2), low)))).otherwise(none)
+                    after = F.when(i < F.size(ranks), F.concat(F.array(merged(low, F.get(parts, i + 1))), F.slice(ranks, i + 2, F.size(ranks)))).otherwise(none)
+                    return to(F.concat(F.slice(parts, 1, i - 1), F.array(low), F.slice(parts, i + 2, F.size(parts))), F.concat(before, after))
 
-    def encode(piece: Column) -> Column:
-        def ranked(ranks: Column) -> Column:
-            return folded(piece, lambda part: F.get(ranks, (F.crc32(part.cast("binary")) % SLOTS).cast("int"))[part])
+                return F.when(low.isNull(), state).otherwise(_let(F.array_position(ranks, low).cast("int"), at))
 
-        return _let(literal, ranked)
+            return _let(F.array_min(ranks), joined)
 
-    return encode
+        # a byte as a character of its own
+        start = F.transform(F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(tables["letters"], F.ascii(c)))
+        neighbours = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), merged)
+        rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(piece) - 1, F.lit(1)))
+        return F.aggregate(rounds, _let(start, lambda p: to(p, neighbours(p))), step, lambda state: state["parts"])
+
+    return lambda piece: _let(literal, lambda tables: folded(piece, tables))
+
+
+def heap_merged(piece: bytes, known: dict[bytes, int]) -> list[int]:
+    """The ids of a piece, by a heap of the pairs that merge: the lowest rank first, from the left."""
+    ends = list(range(1, len(piece) + 1))  # of the part that begins at each place; 0 if none does
+    left = list(range(-1, len(piece)))  # where the part before it begins
+    rank = [known.get(piece[i : i + 2], -1) for i in range(len(piece) - 1)] + [-1]
+    heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
+    heapq.heapify(heap)
+
+    def look_up(i: int) -> None:
+        """Of the part at i and its right neighbour."""
+        end = ends[i]
+        rank[i] = known.get(piece[i : ends[end]], -1) if end < len(piece) else -1
+        if rank[i] >= 0:
+            heapq.heappush(heap, rank[i] << 32 | i)
+
+    while heap:
+        top = heapq.heappop(heap)
+        i = top & 0xFFFFFFFF
+        if not ends[i] or rank[i] != top >> 32:
+            continue  # no longer so
+        gone = ends[i]
+        ends[i], ends[gone] = ends[gone], 0
+        if ends[i] < len(piece):
+            left[ends[i]] = i
+        look_up(i)
+        if left[i] >= 0:
+            look_up(left[i])
+    ids, i = [], 0
+    while i < len(piece):
+        ids.append(known[piece[i : ends[i]]])
+        i = ends[i]
+    return ids
 
 
 def _gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,22 +169,36 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.n
 
 
 class Dictionary:
-    """Pieces and their ids."""
-
-    def __init__(self, pieces: pa.Array, ids: pa.ListArray):
-        self.pieces = pieces
-        self.offsets = ids.offsets.to_numpy()
-        self.ids = ids.values.to_numpy().astype("<u4")
+    """Pieces and their ids: the tokens that are text, then ``pieces`` that are none; after them each id by itself."""
+
+    def __init__(self, pieces: pa.Array, ids: pa.ListArray, tokens: list[bytes]):
+        text, whole = [], []
+        for i, token in enumerate(tokens):
+            with suppress(UnicodeDecodeError):
+                text.append(token.decode())
+                whole.append(i)
+        known = pa.array(text, pieces.type)
+        other = pc.invert(pc.is_in(pieces, value_set=known))
+        ids = ids.filter(other)
+        self.pieces = pa.concat_arrays([known, pieces.filter(other)])
+        sizes = np.concatenate((np.ones(len(text), np.int64), np.diff(ids.offsets.to_numpy()), np.ones(len(tokens), np.int64)))
+        self.offsets = np.concatenate(([0], np.cumsum(sizes)))
+        self.ids = np.concatenate((whole, ids.flatten().to_numpy(), np.arange(len(tokens)))).astype("<u4")
 
 
 class Vocabulary:
     def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _gather(self.flat, self.offsets, ids.astype(np.int64))
 
+    @cached_property
+    def known(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.tokens)}
+
 
 #: Texts that are worked on at once have about so many pieces.
 RUN = 1 << 20
@@ -135,17 +214,35 @@ def _runs(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _codes(lists: pa.ListArray, words: Dictionary) -> tuple[pa.ListArray, pa.ListArray]:
-    """Of each text, its pieces as places in the dictionary; those that aren't in it as -1, -2, ..., and what they are."""
+def _codes(lists: pa.ListArray, words: Dictionary, vocabulary: Vocabulary) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of each text, its pieces as places in the dictionary; those that aren't in it as -1, -2, ..., and what they are.
+
+    Long pieces that aren't in it stand as the places of their ids.
+    """
     flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     ends -= ends[0]
     at = pc.index_in(flat, value_set=words.pieces)
     rare = at.is_null().to_numpy(zero_copy_only=False)
     code = at.fill_null(0).to_numpy().copy()
+    long = np.flatnonzero(rare & (pc.binary_length(flat).to_numpy(zero_copy_only=False) > LONG))
+    if len(long):
+        ids = [heap_merged(flat[int(i)].as_py().encode(), vocabulary.known) for i in long]
+        size = np.ones(len(code), np.int64)
+        size[long] = [len(x) for x in ids]
+        places = np.concatenate(([0], np.cumsum(size)))
+        code, rare = np.repeat(code, size), np.repeat(rare, size)
+        for i, x in zip(long, ids, strict=True):
+            code[places[i] : places[i + 1]] = np.array(x) + len(words.pieces)
+            rare[places[i] : places[i + 1]] = False
+        short = np.ones(len(flat), bool)
+        short[long] = False
+        ends, others = places[ends], flat.filter(pc.and_(at.is_null(), pa.array(short)))
+    else:
+        others = flat.filter(at.is_null())
     before = np.concatenate(([0], np.cumsum(rare)))
     first = np.repeat(before[ends[:-1]], np.diff(ends))
     code[rare] = -1 - (before[:-1] - first)[rare]
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code)), pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), flat.filter(pa.array(rare)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code.astype(np.int32))), pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), others)
 
 
 def _digests(doc_ids: pa.Array, codes: pa.ListArray, rare: pa.ListArray, words: Dictionary, vocabulary: Vocabulary) -> pa.RecordBatch:
@@ -187,9 +284,10 @@ def _least_count(counted: DataFrame, pieces: int, size: int) -> int:
     return 1
 
 
-def _dictionary(coded: DataFrame) -> Dictionary:
+def _dictionary(coded: DataFrame, tokens: list[bytes]) -> Dictionary:
     got = coded.toArrow()
-    return Dictionary(*(pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("piece", "ids")))
+    pieces, ids = (pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("piece", "ids"))
+    return Dictionary(pieces, ids, tokens)
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int = MAX_PIECES, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -204,10 +302,10 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int =
     encode = encoder(tokens)
     split = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     cut = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), split.alias("pieces"))
-    counted = stored(cut.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("count")))
+    counted = stored(cut.select(F.explode("pieces").alias("piece")).where(F.octet_length("piece") <= LONG).groupBy("piece").agg(F.count("*").alias("count")))
     frequent = counted.where(F.col("count") >= _least_count(counted, max_pieces, max_bytes))
     # the driver keeps a file of it, not the value
-    words = spark.sparkContext.broadcast(_dictionary(frequent.select("piece", encode(F.col("piece")).alias("ids"))))
+    words = spark.sparkContext.broadcast(_dictionary(frequent.select("piece", encode(F.col("piece")).alias("ids")), tokens))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(tokens))
     pa.default_memory_pool().release_unused()
 
@@ -215,7 +313,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int =
         for batch in batches:
             for lo, hi in _runs(batch.column("pieces")):
                 run = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([run.column("doc_id"), *_codes(run.column("pieces"), words.value)], ["doc_id", "codes", "rare"])
+                yield pa.RecordBatch.from_arrays([run.column("doc_id"), *_codes(run.column("pieces"), words.value, vocabulary.value)], ["doc_id", "codes", "rare"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

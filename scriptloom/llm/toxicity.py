@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fifth, short_batches, table
+from .common import fifth, short_batches, stored, table
 from .wordhash import Words, chunks
 
 BITS = 18
@@ -86,7 +86,11 @@ def _word_parts(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[order], bucket[order]
 
 
-def features(labelled: DataFrame) -> DataFrame:
+#: Kinds of terms; a term is one word.
+Kinds = tuple[tuple[str, ...], ...]
+
+
+def features(labelled: DataFrame, terms: Kinds = IDENTITY_TERMS) -> DataFrame:
     """``text, toxic`` to ``toxic, on array<int>, swaps array<int>``.
 
     on: buckets of the words and their beginnings. swaps: for each identity term in the text and each other of its kind,
@@ -95,18 +99,18 @@ def features(labelled: DataFrame) -> DataFrame:
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [t for kind in IDENTITY_TERMS for t in kind]
+        names = [t for kind in terms for t in kind]
         parts = dict(zip(names, _parts(names), strict=True))
         codes = dict(zip(names, Words([t.encode() for t in names]).hashes(), strict=True))
-        others = {int(codes[t]): (parts[t], [parts[o] for o in kind if o != t]) for kind in IDENTITY_TERMS for t in kind}
-        terms = np.array(sorted(others), np.uint64)
+        others = {int(codes[t]): (parts[t], [parts[o] for o in kind if o != t]) for kind in terms for t in kind}
+        listed = np.array(sorted(others), np.uint64)
         for batch in batches:
             on, swaps = [], []
             for _, texts in chunks(batch.column("text")):
                 of, bucket = _presence(texts)
                 words = Words(texts)
                 hashes = words.hashes()
-                named = np.isin(hashes, terms)
+                named = np.isin(hashes, listed)
                 doc = words.doc
                 hit = np.unique(doc[named])
                 for d, part in enumerate(np.split(bucket, np.searchsorted(of, np.arange(1, len(texts))))):
@@ -118,7 +122,7 @@ def features(labelled: DataFrame) -> DataFrame:
                     own = alone.hashes()
                     at, every = _word_parts(alone, own)
                     out = []
-                    for code in np.unique(own[np.isin(own, terms)]):
+                    for code in np.unique(own[np.isin(own, listed)]):
                         gone, come = others[int(code)]
                         rest = np.unique(every[own[at] != code])
                         for new in come:
@@ -152,10 +156,13 @@ def _rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """``weight`` by bucket and ``bias``; the score is the logistic function of bias plus the weights of the distinct words."""
+    """``weight`` by bucket and ``bias``; the score is the logistic function of bias plus the weights of the distinct words.
+
+    ``swaps``: how many swapped copies the fit compared.
+    """
 
-    def __init__(self, weight: np.ndarray, bias: float):
-        self.weight, self.bias = weight, bias
+    def __init__(self, weight: np.ndarray, bias: float, swaps: int = 0):
+        self.weight, self.bias, self.swaps = weight, bias, swaps
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         of, bucket = _presence(texts, self.weight != 0)
@@ -163,36 +170,62 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS) -> Model:
-    """Learn from ``text, toxic`` (0/1), all of it: the caller bounds the rows. Without rows every score is 0.5."""
-    got = features(labelled.where("toxic in (0, 1)")).toArrow()
-    y = got.column("toxic").to_numpy().astype(float)
-    if not len(y):
+def _toxic_counts(found: DataFrame) -> DataFrame:
+    """``bucket, clean, toxic``: the rows of each label that have the feature, plus one."""
+    one = found.select("toxic", F.explode("on").alias("bucket"))
+    return one.groupBy("bucket").agg((F.count_if(F.col("toxic") == 0) + 1).alias("clean"), (F.sum("toxic") + 1).alias("toxic"))
+
+
+def standing_out(found: DataFrame, clean: int, toxic: int) -> DataFrame:
+    """``bucket, scale``: the features whose log-odds stand out from chance, and by how much; at most DIM rows."""
+    odds = F.log(F.col("toxic") / F.lit(toxic + 2)) - F.log(F.col("clean") / F.lit(clean + 2))
+    scale = F.abs(odds) / F.sqrt(1 / F.col("toxic") + 1 / F.col("clean")) - CHANCE
+    return _toxic_counts(found).select("bucket", scale.alias("scale")).where("scale > 0")
+
+
+def _only(found: DataFrame, scale: np.ndarray) -> DataFrame:
+    """``found`` with the features alone that have a scale; of a swap as many stay as make a change, none or more."""
+    sent = found.sparkSession.sparkContext.broadcast(np.packbits(scale > 0))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            on = [v.values.to_numpy()[used[v.values.to_numpy()]] for v in batch.column("on")]
+            swaps = []
+            for v in batch.column("swaps"):
+                flat, i, out = v.values.to_numpy(), 0, []
+                while i < len(flat):
+                    mid, end = i + 2 + flat[i], i + 2 + flat[i] + flat[i + 1]
+                    lost, won = (x[used[x]] for x in (flat[i + 2 : mid], flat[mid:end]))
+                    out += [[len(lost), len(won)], lost, won]
+                    i = end
+                swaps.append(np.concatenate(out).astype(np.int32) if out else np.empty(0, np.int32))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(on, kind), pa.array(swaps, kind)], ["toxic", "on", "swaps"])
+
+    return found.mapInArrow(keep, "toxic int, on array<int>, swaps array<int>")
+
+
+def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS, terms: Kinds = IDENTITY_TERMS) -> Model:
+    """Learn from ``text, toxic`` (0/1), all of it: the caller bounds the rows. Without rows every score is 0.5.
+
+    Features are counted in Spark; the driver gets those alone that stand out from chance. ``terms``: the kinds of terms
+    to swap. A fairness of 0 learns without the penalty.
+    """
+    found = stored(features(labelled.where("toxic in (0, 1)"), terms))
+    n, positive = found.agg(F.count("*"), F.sum("toxic")).first()
+    if not n:
         return Model(np.zeros(DIM), 0.0)
+    scale, out = np.zeros(DIM), standing_out(found, n - positive, positive).toArrow()
+    scale[out.column("bucket").to_numpy()] = out.column("scale").to_numpy()
+    got = _only(found, scale).toArrow()
+    y = got.column("toxic").to_numpy().astype(float)
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    # counts, then the features that stand out, a batch at a time: few are left
-    counts, batches, first = np.ones((2, DIM)), got.to_batches(), 0
-    for batch in batches:
-        row, bucket = _rows(batch.column("on"))
-        label = y[first : first + batch.num_rows][row]
-        for of in (0, 1):
-            counts[of] += np.bincount(bucket[label == of], minlength=DIM)
-        first += batch.num_rows
-    clean, toxic = counts
-    odds = np.log(toxic / (y.sum() + 2)) - np.log(clean / (len(y) - y.sum() + 2))
-    scale = np.maximum(np.abs(odds) / np.sqrt(1 / toxic + 1 / clean) - CHANCE, 0)
-    found, first = [], 0
-    for batch in batches:
-        row, bucket = _rows(batch.column("on"))
-        used = scale[bucket] > 0
-        found.append((row[used] + first, bucket[used]))
-        first += batch.num_rows
-    row, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
-    swap = np.concatenate([_rows(batch.column("swaps"))[1] for batch in batches])
-    of_swap, changed, sign, swaps = _changes(swap)
-    weigh = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
-    del got, batches
+    row, bucket = _rows(got.column("on").combine_chunks())
+    of_swap, changed, sign, swaps = _changes(_rows(got.column("swaps").combine_chunks())[1])
+    del got
     pa.default_memory_pool().release_unused()
+    weigh = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
     v, bias = np.zeros(DIM), float(np.log(rate / (1 - rate)))
     past, past_bias, speed = np.full(DIM, 1e-6), 1e-6, 0.3
     for _ in range(steps):  # Adagrad
@@ -208,10 +241,10 @@ def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS) ->
         past_bias += slope.sum() ** 2
         v -= speed * grad / np.sqrt(past)
         bias -= speed * slope.sum() / np.sqrt(past_bias)
-    return Model((v * scale).astype(np.float32), bias)
+    return Model((v * scale).astype(np.float32), bias, swaps)
 
 
-def learned(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, terms: Kinds = IDENTITY_TERMS) -> Model:
     """From labelled documents that are not held out; of more than ``max_rows``, a share of about that many by a hash of the id.
 
     A doc_id with differing labels counts once, as toxic if any says so.
@@ -220,7 +253,7 @@ def learned(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
     share = min(1.0, max_rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # about max_rows rows of two numbers, whatever the input
-    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), terms=terms)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -239,7 +272,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic; columns as they were."""
+    """The documents that are not predicted toxic, repeated rows each; columns as they were. Null texts count as empty ones."""
     judged = scored(docs.select(F.struct(*docs.columns).alias("__row"), F.col("text")), learned(docs, labels))
     return judged.where("predicted = 0").select("__row.*")
 

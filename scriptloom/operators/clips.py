@@ -161,13 +161,17 @@ def trim_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cut_runs(runs: DataFrame) -> DataFrame:
-    """Units with ``cut``, the number of their clip within the run: the cheapest cuts by lengths and pauses."""
-    item = F.struct("unit_idx", "left", "right", "pause", X.ends_sentence(F.trim("text")).alias("stop"))
-    lists = runs.groupBy("rec_id", "run_id").agg(F.sort_array(F.collect_list(item)).alias("s"))
-    pick = lambda f: F.transform("s", lambda x: x[f])
-    cuts = H.best_cuts(pick("left"), pick("right"), pick("pause"), pick("stop"))
-    numbered = lists.select("rec_id", F.inline(F.arrays_zip(pick("unit_idx").alias("unit_idx"), cuts.alias("cut"))))
-    return runs.join(numbered, ["rec_id", "unit_idx"])
+    """Units with ``cut``, the number of their clip within the run: the cheapest cuts by lengths and pauses.
+
+    A run's units come in one row, are cut, and go on as rows: one shuffle.
+    """
+    others = [c for c in runs.columns if c not in ("rec_id", "run_id", "unit_idx")]
+    lists = runs.groupBy("rec_id", "run_id").agg(F.sort_array(F.collect_list(F.struct("unit_idx", F.struct(*others).alias("u")))).alias("s"))
+    pick = lambda f: F.transform("s", lambda x: x["u"][f])
+    stop = F.transform("s", lambda x: X.ends_sentence(F.trim(x["u"]["text"])))
+    numbered = lists.withColumn("cuts", H.best_cuts(pick("left"), pick("right"), pick("pause"), stop))
+    rows = numbered.select("rec_id", "run_id", F.explode(F.arrays_zip("s", "cuts")).alias("x"))
+    return rows.select("rec_id", "run_id", "x.s.unit_idx", "x.s.u.*", F.col("x.cuts").alias("cut")).select(*runs.columns, "cut")
 
 
 def _stats(order: str) -> list[Column]:
