@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import cache
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,42 +16,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (a local test session), a temporary folder is set, and only for a local master.
+    Only where the session has none (a local test session), a temporary folder is used, and only for a local master.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _local_dir()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@cache
+def _run_dir(spark: SparkSession, base: str) -> str:
+    """This application's own folder in the shared one; it goes when the driver's Python ends."""
+    path = f"{base}/run-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+
+    def clean() -> None:
+        try:
+            _delete(spark, path)
+        except (Py4JError, OSError):  # the JVM has gone before
+            return
+
+    atexit.register(clean)
+    return path
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path for intermediate data."""
+    return f"{_run_dir(spark, shared_dir(spark))}/{kind}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write to the shared folder as Parquet and read it again: lineage ends here, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint, in ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` wrote and nothing reads any more; other tables, and None, are left alone."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            _delete(df.sparkSession, path)
 
 
 BATCH_ROWS = 1000
 
 
 def short_batches(df: DataFrame) -> DataFrame:
-    """``df``, to be sent to Python: unless the session says otherwise, in batches of BATCH_ROWS rows, as texts can be long."""
+    """``df``, to be sent to Python: unless the session says otherwise, in batches of BATCH_ROWS rows, as texts can be long.
+
+    Spark reads this setting when the plan runs, which is after the operator has returned, so it stays set.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if df.sparkSession.conf.get(key, None) is None:
         df.sparkSession.conf.set(key, str(BATCH_ROWS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, skew_join
+from .common import release, skew_join, stored
 
 
 def _starred(pairs: DataFrame, keep: str) -> DataFrame:
@@ -27,14 +27,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     logarithm of a component's width. Nothing but two numbers a round goes to the driver.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges, before = checkpointed(edges.distinct()), None
+    edges, before = stored(edges.distinct()), None
     for _ in range(max_rounds):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = checkpointed(_starred(_starred(both, "larger"), "smaller"))
+        last, edges = edges, stored(_starred(_starred(both, "larger"), "smaller"))
+        release(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("root"))
