@@ -13,15 +13,14 @@ payload is never met, and its bytes go back to the record that holds it.
 from __future__ import annotations
 
 import hashlib
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, short_batches, skew_join, stored, table
+from .common import release, scratch_path, short_batches, skew_join, stored, table
 
 VERSION = "WARC/1.0\r\n"
 LEAST_BYTES = 100
@@ -56,16 +55,31 @@ def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     )
 
 
-def records(typed: DataFrame) -> DataFrame:
-    """One text for each page: header, blank line and payload; a revisit's payload is left out."""
+def _record_id(page_id: Column) -> Column:
+    """``<urn:page:number:digest>`` of a record with the row's payload."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), F.col("digest"), F.lit(">"))
+
+
+#: What a revisit record says of its payload: it is that of the record referred to.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+
+
+def records(typed: DataFrame, date: str | None = None) -> DataFrame:
+    """One text for each page: header, blank line and payload; a revisit's payload is left out.
+
+    date: the records' date, as ``2026-01-31T12:00:00Z``; the time of writing if none is given. A record's id is made of
+    its page and its payload; records that agree in both, as repeated rows do, share it, and either answers for the other.
+    """
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
     clean = F.regexp_replace("url", r"[\r\n]", " ")
     lines = [
         F.concat(F.lit(VERSION + "WARC-Type: "), F.col("record_type")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"))),
+        F.concat(F.lit("WARC-Date: "), F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.concat(F.lit("WARC-Target-URI: "), clean),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+        F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("refers_to")))),
+        F.when(F.col("record_type") == "revisit", F.lit(f"WARC-Profile: {PROFILE}")),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     return typed.select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block).alias("value"))
@@ -75,7 +89,8 @@ def write(typed: DataFrame, path: str) -> None:
     records(typed).write.option("lineSep", GAP).text(path)
 
 
-CANDIDATE = "file string, split long, inside long, size long, skip long, length long, record_type string, record_id string, refers string, named_digest string, digest string, body binary"
+CANDIDATE = "file string, split long, inside long, size long, skip long, length long, record_type string, record_id string, refers string, named_digest string, digest string"
+TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def _fields(head: bytes) -> dict[bytes, str]:
@@ -83,46 +98,52 @@ def _fields(head: bytes) -> dict[bytes, str]:
     return {name.strip().lower(): value.strip().decode("utf-8", "replace") for name, _, value in lines}
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every piece from one version line to the next: ``file, at long, next long`` and what its header says.
+def _described(body: bytes) -> tuple:
+    """What the header of a piece says (from ``skip`` on), and the digest of a piece that is as long as it says."""
+    end = body.find(b"\r\n\r\n")
+    fields = _fields(body[:end]) if end >= 0 else {}
+    told = fields.get(b"content-length", "")
+    length = int(told) if told.isascii() and told.isdigit() and len(told) < 18 else None
+    whole = length is not None and end + 4 + length + len(GAP) == len(body)
+    digest = hashlib.sha256(body[end + 4 : end + 4 + length]).hexdigest() if whole else None
+    return end + 4, length, *(fields.get(f) for f in (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")), digest
 
-    at: its place in the file; next: the place that its header gives its successor, null if it gives none. A piece as
-    long as its header says has its digest. The bytes are kept of every piece that may lie inside a payload: a task
-    follows the chain from the start of a file, in its first split, and need not keep the whole records that it meets. A
-    piece's place is the sum of the sizes before it: a task sums along its splits, a window along those sums.
+
+def _pieces(spark: SparkSession, path: str, columns: str, describe: Callable[[bytes], tuple]) -> DataFrame:
+    """Every piece from one version line to the next: ``file, split, inside, size`` and what ``describe`` says of its bytes.
+
+    inside: the sum of the sizes of the split's pieces before it.
     """
     # the reader drops the version line, its separator; a file begins with one, so its first piece is empty
     rows = spark.read.option("lineSep", VERSION).text(path).select(F.col("value").cast("binary").alias("body"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    schema = pa.schema([(name, TYPES[kind]) for name, kind in map(str.split, columns.split(", "))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone: dict[tuple[str, int], int] = {}
-        due: dict[tuple[str, int], int] = {}  # where the chain's next record begins
         for batch in batches:
             out = []
             for body, file, split in zip(batch.column("body"), batch.column("file").to_pylist(), batch.column("split").to_pylist(), strict=True):
                 body = body.as_buffer().to_pybytes()
                 inside, size = gone.get((file, split), 0), len(body) + len(VERSION)
-                met = split == 0 and inside == due.get((file, split), len(VERSION))
                 gone[file, split] = inside + size
-                end = body.find(b"\r\n\r\n")
-                fields = _fields(body[:end]) if end >= 0 else {}
-                told = fields.get(b"content-length", "")
-                length = int(told) if told.isascii() and told.isdigit() and len(told) < 18 else None
-                whole = length is not None and end + 4 + length + len(GAP) == len(body)
-                digest = hashlib.sha256(body[end + 4 : end + 4 + length]).hexdigest() if whole else None
-                if met and length is not None:
-                    due[file, split] = inside + len(VERSION) + end + 4 + length + len(GAP)
-                named = [fields.get(f) for f in (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")]
-                out.append((file, split, inside, size, end + 4, length, *named, digest, None if met and whole else body))
-            schema = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in CANDIDATE.split(", ")])
+                out.append((file, split, inside, size, *describe(body)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
-    found = stored(short_batches(rows).mapInArrow(emit, CANDIDATE))
+    return short_batches(rows).mapInArrow(emit, columns)
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """``file, split, inside, at, next`` of every piece and what its header says; ``digest`` if it is as long as that says.
+
+    at: its place in the file; next: the place that its header gives its successor, null if it gives none. A piece's
+    place is the sum of the sizes before it: a task sums along its split, a window along the splits of a file.
+    """
+    found = stored(_pieces(spark, path, CANDIDATE, _described))
     sums = found.groupBy("file", "split").agg(F.sum("size").alias("total"))
     before = F.sum("total").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
     splits = sums.select("file", "split", F.coalesce(before, F.lit(0)).alias("base"))
     at = F.col("base") + F.col("inside") - len(VERSION)
-    return found.join(splits, ["file", "split"]).withColumn("at", at).where("at >= 0").withColumn("next", F.col("at") + len(VERSION) + F.col("skip") + F.col("length") + len(GAP)).drop("split", "base", "inside", "size")
+    return found.join(splits, ["file", "split"]).withColumn("at", at).where("at >= 0").withColumn("next", F.col("at") + len(VERSION) + F.col("skip") + F.col("length") + len(GAP)).drop("base", "size")
 
 
 def reachable(chain: DataFrame) -> DataFrame:
@@ -137,13 +158,15 @@ def reachable(chain: DataFrame) -> DataFrame:
     while True:
         ahead = marked.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
         ahead = ahead.join(chain.select("file", "at"), ["file", "at"], "left_semi")  # the end of the file is no record
-        marked = stored(marked.unionByName(ahead).distinct())
+        last, marked = marked, stored(marked.unionByName(ahead).distinct())
+        release(last)
         m = marked.count()
         if m == n:
             return marked
         n = m
         onward = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = stored(jump.join(onward, ["file", "next"]).select("file", "at", F.col("far").alias("next")))
+        last, jump = jump, stored(jump.join(onward, ["file", "next"]).select("file", "at", F.col("far").alias("next")))
+        release(last)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -156,25 +179,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     own = pieces.join(real.withColumn("real", F.lit(True)), ["file", "at"], "left")
     complete = own.where("real and digest is not null").select("record_id", "refers", "record_type", "named_digest", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
     # a record that holds version lines, and the pieces that they cut from it: each belongs to the last such record before it
-    broken = own.where("(real and digest is null) or real is null")
     owner = F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(W.partitionBy("file").orderBy("at"))
-    parts = broken.select("file", owner.alias("owner"), "at", "skip", "length", "record_id", "refers", "record_type", "named_digest", F.coalesce("body", F.lit(b"")).cast("string").alias("body"), "real")
+    broken = stored(own.where("(real and digest is null) or real is null").withColumn("owner", owner).where("owner is not null"))
+    # their bytes are read once more; no others leave the archives
+    bytes_of = _pieces(spark, path, "file string, split long, inside long, size long, body binary", lambda body: (body,)).drop("size")
+    if broken.count() <= BROADCAST_ROWS:
+        parts = bytes_of.join(F.broadcast(broken), ["file", "split", "inside"])
+    else:
+        place = F.xxhash64("file", "split", "inside")
+        named = broken.withColumnsRenamed({c: f"__{c}" for c in ("file", "split", "inside")}).withColumn("place", F.xxhash64("__file", "__split", "__inside"))
+        parts = skew_join(bytes_of.withColumn("place", place), named, "place").where("file = __file and split = __split and inside = __inside")
+    parts = parts.withColumn("body", F.col("body").cast("string"))
     first = lambda c: F.max(F.when(F.col("real"), F.col(c))).alias(c)
     whole = parts.groupBy("file", "owner").agg(*map(first, ("skip", "length", "record_id", "refers", "record_type", "named_digest")), F.sort_array(F.collect_list(F.struct("at", "body"))).alias("parts"))
     bytes_ = F.array_join(F.transform("parts", lambda p: p["body"]), VERSION).cast("binary")
-    mended = whole.where("owner is not null").withColumn("all", bytes_).select("record_id", "refers", "record_type", "named_digest", F.col("length").alias("payload_bytes"), F.sha2(F.expr("substring(all, cast(skip + 1 as int), cast(length as int))"), 256).alias("payload_digest"))
+    mended = whole.withColumn("all", bytes_).select("record_id", "refers", "record_type", "named_digest", F.col("length").alias("payload_bytes"), F.sha2(F.expr("substring(all, cast(skip + 1 as int), cast(length as int))"), 256).alias("payload_digest"))
     found = stored(complete.unionByName(mended).withColumn("named_digest", F.regexp_replace("named_digest", "^sha256:", "")))
     key = lambda c, d: F.concat_ws(" ", c, d).alias("key")
     responses = found.where("record_type = 'response'").select(key("record_id", "payload_digest"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).distinct()
     revisits = skew_join(found.where("record_type = 'revisit'").select("*", key("refers", "named_digest")), responses.hint("merge"), "key", "left")
-    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+):", 1).try_cast("long")
     columns = ["record_id", "refers", "record_type"]
     out = found.where("record_type <> 'revisit'").select(*columns, "payload_bytes", "payload_digest").unionByName(revisits.select(*columns, F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest")))
     return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers").alias("refers_to"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     write(with_types(table(spark, sf_dir, "pages")), path)
     return read(spark, path)
 
