@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,16 +12,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fifth, short_batches, table
+from .common import fifth, release, short_batches, stored, table
 
-#: Hash buckets, and n-gram orders; the matrix has at most MAX_LANGS rows of BUCKETS numbers (64 MB).
+#: Hash buckets that n-grams are counted in, and their orders.
 BITS = 16
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
-MAX_LANGS = 256
+#: Numbers of a model's matrix (16 MB): with over 64 languages, a bucket of the model is 2, 4, 8, ... of those counted.
+CELLS = 1 << 22
 #: Characters worked on at once.
 PIECE = 1 << 19
-#: A text's evidence counts as that of so many n-grams at most, so that scores tell sure from doubtful.
+#: The score (not the choice) takes a text's evidence for that of so many n-grams at most, so that it tells sure from doubtful.
 EVIDENCE = 200
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -62,6 +64,7 @@ class Model:
     langs: list[str]
     prior: np.ndarray  # log, by language
     weight: np.ndarray  # log-probability, [bucket, language], float32
+    shift: int = 0  # a bucket of the model is a counted one without so many of its last bits
 
 
 def count_grams(labelled: DataFrame) -> DataFrame:
@@ -86,40 +89,55 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return short_batches(labelled).select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, smoothing: float = 0.1) -> Model:
-    """Learn from all rows with a non-null lang. The counts fetched are bounded: MAX_LANGS languages of BUCKETS numbers."""
-    counted = count_grams(labelled.where("lang is not null")).toPandas()
-    langs = sorted(counted["lang"].unique())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    n = np.zeros((BUCKETS + 1, len(langs)))
-    where = {x: i for i, x in enumerate(langs)}
-    n[counted["bucket"].to_numpy(), counted["lang"].map(where).to_numpy(np.int64)] = counted["n"]  # bucket -1 is the last row
-    seen = n[:BUCKETS] + smoothing
-    return Model(langs, np.log(n[BUCKETS] / max(n[BUCKETS].sum(), 1)), np.log(seen / seen.sum(axis=0)).astype(np.float32))
+def fit(labelled: DataFrame, smoothing: float = 0.1, cells: int = CELLS) -> Model:
+    """Learn from all rows with a non-null lang. What is fetched is bounded by ``cells``, however many languages there are.
+
+    Every n-gram and every language counts; with many languages n-grams share buckets more often.
+    """
+    counted = stored(count_grams(labelled.where("lang is not null")))
+    langs = sorted(r.lang for r in counted.where("bucket = -1").select("lang").toLocalIterator())
+    shift = max(0, math.ceil(math.log2(max(len(langs), 1) * BUCKETS / cells)))
+    shift = min(shift, BITS)
+    place = labelled.sparkSession.createDataFrame(list(enumerate(langs)), "at int, lang string")
+    bucket = F.when(F.col("bucket") < 0, -1).otherwise(F.shiftright("bucket", shift)).cast("int")
+    # a row for each language and bucket of the model
+    got = counted.join(F.broadcast(place), "lang").groupBy("at", bucket.alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    release(counted)
+    size = BUCKETS >> shift
+    n = np.zeros((size + 1, len(langs)))
+    n[got.column("bucket").to_numpy(), got.column("at").to_numpy()] = got.column("n").to_numpy()  # bucket -1 is the last row
+    seen = n[:size] + smoothing
+    return Model(langs, np.log(n[size] / max(n[size].sum(), 1)), np.log(seen / seen.sum(axis=0)).astype(np.float32), shift)
+
+
+def log_likelihoods(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the log-probability of its n-grams in each language, and how many n-grams it has."""
+    total, grams = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts))
+    for buckets, begins in _grams(texts):
+        at = buckets >> model.shift
+        for lang in range(len(model.langs)):
+            total[:, lang] += np.add.reduceat(model.weight[:, lang][at].astype(np.float64), begins[:-1])
+        grams += np.diff(begins)
+    return total, grams
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred, score``: the likeliest language and its probability; on a tie the first by name.
+    """``docs`` with ``lang_pred, score``: the likeliest language, by all of the text; on a tie the first by name.
 
-    A text that is null or has no letter, and any text if no language was learned, is ``und`` with score 0. Repeated
-    rows are judged alike. Other columns pass; columns of these two names are replaced.
+    score: its probability if the text had EVIDENCE n-grams at most, of the same kind. A text that is null or has no
+    letter, and any text if no language was learned, is ``und`` with score 0. Repeated rows are judged alike. Other
+    columns pass; columns of these two names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(texts: pa.Array) -> pa.Array:
         m, best, score = sent.value, [], []
         for _, run in _runs(texts):
-            total = np.zeros((len(run), len(m.langs)))
-            grams = np.zeros(len(run))
-            for buckets, begins in _grams(run) if m.langs else ():
-                for lang in range(len(m.langs)):
-                    total[:, lang] += np.add.reduceat(m.weight[:, lang][buckets].astype(np.float64), begins[:-1])
-                grams += np.diff(begins)
             if m.langs:
-                total = total * np.minimum(1, EVIDENCE / np.maximum(grams, 1))[:, None] + m.prior
-                top = total.argmax(axis=1)
-                share = 1 / np.exp(total - total.max(axis=1)[:, None]).sum(axis=1)
+                total, grams = log_likelihoods(m, run)
+                top = (total + m.prior).argmax(axis=1)
+                less = total * np.minimum(1, EVIDENCE / np.maximum(grams, 1))[:, None] + m.prior
+                share = 1 / np.exp(np.minimum(less - less[np.arange(len(run)), top][:, None], 700)).sum(axis=1)
             for i, t in enumerate(run):
                 known = bool(m.langs) and _LETTER.search(t) is not None
                 best.append(m.langs[top[i]] if known else UNKNOWN)
