@@ -64,11 +64,13 @@ def render(messages: DataFrame) -> DataFrame:
     """``conv_id, opened, msg, role, text`` to ``conv_id, formatted, turn_starts, loss_spans``.
 
     turn_starts: where each turn begins in ``formatted``, in code points. loss_spans: of each turn the start and length
-    of what counts for the loss: an assistant's text; length 0 for others.
+    of what counts for the loss: an assistant's text; length 0 for others. Null roles and texts are empty; messages of
+    equal place are taken in the order of msg, role, text, repeated ones each; no messages give no rows. A conversation
+    is one row, so its whole text goes through one task.
     """
-    head = F.concat(F.lit(START), escaped(F.col("role")), F.lit(TEXT))
-    body = escaped(F.col("text"))
-    along = W.partitionBy("conv_id").orderBy("opened", "msg").rowsBetween(W.unboundedPreceding, -1)
+    head = F.concat(F.lit(START), escaped(F.coalesce("role", F.lit(""))), F.lit(TEXT))
+    body = escaped(F.coalesce("text", F.lit("")))
+    along = W.partitionBy("conv_id").orderBy("opened", "msg", "piece").rowsBetween(W.unboundedPreceding, -1)
     size = F.when(F.col("role") == LEARNED_ROLE, F.length(body)).otherwise(0)
     pieces = messages.select("conv_id", "opened", "msg", F.concat(head, body, F.lit(END + "\n")).alias("piece"), F.length(head).cast("long").alias("skip"), size.cast("long").alias("size"))
     placed = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(along), F.lit(0)).cast("long"))
@@ -85,7 +87,8 @@ def render(messages: DataFrame) -> DataFrame:
 def read_back(rendered: DataFrame) -> DataFrame:
     """``formatted, turn_starts, loss_spans`` to ``conv_id, turns array<struct<role, text>>, learned array<string>, formatted``.
 
-    learned: what the loss spans that aren't empty cut out of ``formatted``, unescaped.
+    learned: what the loss spans that aren't empty cut out of ``formatted``, unescaped. A null ``formatted`` gives nulls;
+    an empty table gives no rows.
     """
     pieces = F.slice(F.split("formatted", r"<\|start\|>"), 2, 1 << 30)
     turns = F.transform(pieces, lambda p: F.struct(unescaped(F.substring_index(p, TEXT, 1)).alias("role"), unescaped(F.substring_index(F.substring_index(p, TEXT, -1), END, 1)).alias("text")))
@@ -101,12 +104,48 @@ def read_back(rendered: DataFrame) -> DataFrame:
 PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+#: Code points of a delta of the derived log.
+DELTA = 24
+
+
+def derived_log(turns: DataFrame) -> DataFrame:
+    """``conv_id, msg, role, text`` (msg: 1, 2, ... in order) to an event log that ends in just these messages.
+
+    As a chat front end would have written it: texts come in as deltas of DELTA characters; every third message is first
+    a draft and edited at last; every fourth is first answered otherwise, has a successor, and is generated again, which
+    takes the successor away. Events of other conversations lie between; only ``seq`` orders a conversation's.
+    """
+    n = F.col("msg")
+    text = F.coalesce("text", F.lit(""))
+    regenerated, edited = n % 4 == 3, n % 3 == 2
+
+    def event(at, kind: str, said, msg=n, role=None) -> Column:
+        role = F.col("role") if role is None else F.lit(role)
+        return F.struct(F.lit(at).cast("long").alias("at"), msg.cast("long").alias("msg"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+
+    size = F.length(text)
+    deltas = F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(size / DELTA).cast("int"), F.lit(1))), lambda i: event(i + 10, "delta", F.substring(text, (i - 1) * DELTA + 1, F.lit(DELTA)), role=""))
+    draft = F.concat(F.lit("draft of "), F.substring(text, 1, DELTA))
+    successor = -n  # an id of its own
+    before = F.array(
+        event(0, "message", F.when(regenerated, draft).otherwise(F.lit(None).cast("string"))),
+        event(1, "delta", F.when(regenerated, F.lit(" and more")), role=""),
+        event(2, "message", F.when(regenerated, F.lit("gone ")), successor, "user"),
+        event(3, "delta", F.when(regenerated, F.lit("soon")), successor, ""),
+        event(4, "regenerate", F.when(regenerated, F.lit(None).cast("string")), role=""),
+    )
+    kept = F.filter(before, lambda e: (e["at"] == 0) | regenerated)
+    edit = F.when(edited, F.array(event(11, "delta", draft, role=""), event(12, "edit", text, role=""))).otherwise(deltas)
+    log = turns.select("conv_id", "msg", F.explode(F.concat(kept, edit)).alias("e"))
+    # a message's events follow those of the one before; no message has 2^32 of them
+    return log.select("conv_id", (n * (1 << 32) + F.col("e.at")).alias("seq"), "e.msg", "e.kind", "e.role", "e.text")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(row, ("conv_id", "turn", "role", "text"), strict=True))) for row in PROBE))))
     logs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     numbered = logs.withColumn("msg", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    events = numbered.select("conv_id", F.col("msg").alias("seq"), "msg", F.lit("message").alias("kind"), "role", "text")
-    read = read_back(stored(render(reconstruct(events))))
+    read = read_back(stored(render(reconstruct(derived_log(numbered)))))
     learned = F.array_join("learned", "")
     return read.select(
         "conv_id",
