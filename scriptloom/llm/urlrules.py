@@ -1,7 +1,7 @@
 """URL filters by association rules (operator 10), with DataFrame functions and Spark's own FP-growth.
 
 URLs that a hand-made rule judges are the labelled ones. FP-growth finds the combinations of URL tokens that go with a
-verdict; rules with too little support or confidence, and rules that a shorter one makes idle, are pruned. The rest are
+verdict; rules with too little support or confidence, and rules that one with a token less makes idle, are pruned. The rest are
 matched by an inverted index: each is listed under its rarest token, and a URL meets those listed under its tokens.
 """
 
@@ -13,13 +13,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, stored, table
+from .common import fold_ascii, skew_join, stored, table
 
 ALLOW, BLOCK = "allow", "block"
 #: Labelled URLs that rules are mined from, about; a bound of the fit alone.
 MAX_ROWS = 100_000
 SUPPORT, CONFIDENCE = 0.01, 0.9
-MAX_TOKENS = 3
 #: Rules are broadcast up to so many; beyond, the index join shuffles.
 BROADCAST_RULES = 20_000
 
@@ -65,17 +64,22 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, words))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``tokens array<string>, label string`` to rules ``need array<string>, verdict, confidence, support, rarest``."""
-    baskets = stored(labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("label")))).alias("items")))
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """``tokens array<string>, label string`` to rules ``need array<string>, verdict, confidence, support, rarest``.
+
+    Rows without tokens or label teach nothing, repeated rows count each, no rows give no rules. A rule is idle, and left
+    out, if it needs one token more than another that is as sure of the same verdict.
+    """
+    known = labelled.where("tokens is not null and label is not null")
+    baskets = stored(known.select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("label"))))).alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     verdict = F.get("consequent", F.lit(0))
-    rules = model.associationRules.where(verdict.startswith("=") & (F.size("antecedent") <= max_tokens) & ~F.exists("antecedent", lambda t: t.startswith("=")))
+    rules = model.associationRules.where(verdict.startswith("=") & ~F.exists("antecedent", lambda t: t.startswith("=")))
     rules = stored(rules.select(F.sort_array("antecedent").alias("need"), F.substring(verdict, 2, 100).alias("verdict"), "confidence", "support"))
-    # idle: some of its tokens alone are as sure of the same verdict; the subsets of a few tokens are listed, not compared pairwise
-    subsets = rules.select("need", "verdict", "confidence", F.explode(_proper_subsets("need", max_tokens)).alias("part"))
+    # the rule with one token less, for each token: no rules are compared pairwise
+    less = rules.select("need", "verdict", "confidence", F.explode(F.transform("need", lambda t: F.filter("need", lambda x: x != t))).alias("part"))
     surer = rules.select(F.col("need").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    idle = subsets.join(surer, "part").where("v = verdict and c >= confidence").select("need", "verdict").distinct()
+    idle = less.join(surer, "part").where("v = verdict and c >= confidence").select("need", "verdict").distinct()
     kept = rules.join(idle, ["need", "verdict"], "left_anti")
     # how often each token occurs, among those that rules need
     seen = stored(baskets.select(F.explode("items").alias("token")).groupBy("token").count())
@@ -83,13 +87,6 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return stored(kept.join(rarest, "need"))
 
 
-def _proper_subsets(need: str, most: int) -> Column:
-    """The non-empty proper subsets of a sorted array of at most ``most`` tokens, each sorted."""
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(need)) - 2).cast("int"))
-    picked = F.transform(masks, lambda m: F.filter(need, lambda t, i: m.bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0))
-    return F.when(F.size(need) > 1, picked).otherwise(F.array().cast("array<array<string>>"))
-
-
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_rows: int = MAX_ROWS, default: str = ALLOW) -> DataFrame:
     """``page_id, host, path, rule, verdict, by`` of each row of ``pages``.
 
@@ -105,10 +102,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_rows: int = MAX
     known = judged.where("label is not null")
     share = min(1.0, max_rows / max(known.count(), 1))
     mined = mine(known.where(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    if mined.count() <= BROADCAST_RULES:
-        mined = F.broadcast(mined)
     open_ = judged.where("label is null").select("page_id", "host", "path", "tokens", F.explode("tokens").alias("rarest"))
-    met = open_.join(mined, "rarest").where(F.size(F.array_except("need", "tokens")) == 0)
+    # beyond the bound a shuffle, in which a token that many URLs have is split
+    met = open_.join(F.broadcast(mined), "rarest") if mined.count() <= BROADCAST_RULES else skew_join(open_, mined, "rarest")
+    met = met.where(F.size(F.array_except("need", "tokens")) == 0)
     best = met.groupBy("page_id", "host", "path").agg(F.max(F.struct("confidence", "support", F.col("verdict").alias("verdict")))["verdict"].alias("found"))
     key = [F.xxhash64("page_id", "host", "path").alias("__k")]
     left = judged.select("*", *key)
