@@ -6,14 +6,17 @@ is one shingle). Similarity is the weighted Jaccard index of the shingles, their
 1. Every window of every document that has as many words as some item is a candidate. A window of n shingles whose
    similarity with an item of n shingles is t shares at least 2·t·n/(1+t) of them, so windows with fewer shingles that
    any item has are passed over without loss; that test reads a bitmap of fixed size, not the benchmark.
-2. The SimHash of each other window is cut into ``BLOCKS`` blocks. Fingerprints within ``RADIUS`` bits agree up to one
-   bit on some block; the index of the benchmark holds each block with each of its bits flipped, and an equality join on
-   (number of words, block, value) finds every item within the radius.
-3. The window and the item are compared exactly.
+2. The SimHash of each other window is cut into ``BLOCKS`` blocks. Fingerprints within ``RADIUS`` bits agree up to
+   ``FLIPS`` bits on some block; the index of the benchmark holds each block with each choice of so many of its bits
+   flipped, and an equality join on (number of words, block, value) finds every item within the radius, for each distinct
+   fingerprint once. A chance meeting of two fingerprints has a probability of 4 %.
+3. The window and the item are compared exactly, up to ``COMPARED`` bits: what the blocks find beyond the radius counts.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +29,16 @@ from .wordhash import Words, chunks
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits that may differ; at similarity 0.8 the mean is under 10 of 64. BLOCKS > RADIUS / 2 guarantees them all.
-RADIUS = 15
-BLOCKS = 8
+BLOCKS, FLIPS = 4, 3
 WIDTH = 64 // BLOCKS
+#: Differing bits up to which every pair is found: two of more than that may have over FLIPS bits in each block.
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: Differing bits up to which a pair that the blocks find is compared. At similarity 0.8 the mean is 10, over 15 have some
+#: 2 % of the pairs, over 24 fewer than 1 in 100,000.
+COMPARED = 24
 #: Bits of the bitmap of the benchmark's shingles (1 MB); with many more shingles it lets more windows through, no fewer.
 BITMAP_BITS = 23
-#: The index is broadcast up to so many rows (some 40 bytes each); beyond, the join shuffles.
+#: Indexes are broadcast up to so many rows (some 40 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
 
@@ -129,38 +135,50 @@ def windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, similarity:
     return short_batches(docs).mapInArrow(find, "doc_id long, th long, norm string, windows array<struct<at:int,n_words:int,fp:long>>")
 
 
-def _blocks(fp: str, flipped: bool) -> Column:
-    out = []
-    for b in range(BLOCKS):
-        value = F.shiftrightunsigned(F.col(fp), b * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
-        flips = [F.lit(0), *(F.lit(1 << i) for i in range(WIDTH))] if flipped else [F.lit(0)]
-        out += [F.struct(F.lit(b).alias("block"), value.bitwiseXOR(f).cast("int").alias("value")) for f in flips]
-    return F.explode(F.array(*out))
+def _flips() -> list[int]:
+    """All masks of at most FLIPS of WIDTH bits."""
+    return [sum(1 << i for i in places) for k in range(FLIPS + 1) for places in itertools.combinations(range(WIDTH), k)]
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def _block(fp: str, b: int) -> Column:
+    return F.shiftrightunsigned(F.col(fp), b * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+
+
+def _indexed(items: DataFrame) -> DataFrame:
+    """``item_id, n_words, item_fp, block, value``: each block of each item with each choice of bits flipped."""
+    masks = F.from_json(F.lit(json.dumps(_flips())), "array<int>")
+    blocks = F.array(*(F.struct(F.lit(b).alias("block"), _block("fp", b).alias("value")) for b in range(BLOCKS)))
+    each = items.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.inline(blocks))
+    return each.select("item_id", "n_words", "item_fp", "block", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, th, item_id, first_word int, n_words int, similarity double``: of each document and item, the best window.
 
     Windows have as many words as the item; ties go to the earliest. th tells apart rows with one doc_id and different
     texts; repeated rows give one. Null and blank texts, blank items, and an empty table on either side give nothing.
+    A pair of more than RADIUS differing bits may be missed if all blocks differ in more than FLIPS.
     """
-    if radius >= 2 * BLOCKS:
-        raise ValueError("a block agrees up to one bit only within 2 * BLOCKS - 1 bits")
     items = stored(read_items(benchmark))
-    spark = docs.sparkSession
-    lengths = sorted(r[0] for r in items.select("n_words").distinct().toLocalIterator())  # distinct sizes, not items
-    # the bitmap: at most 2**BITMAP_BITS / 64 numbers, whatever the benchmark holds
+    # the distinct sizes, not the items; and the bitmap: at most 2**BITMAP_BITS / 64 numbers, whatever the benchmark holds
+    lengths = sorted(r[0] for r in items.select("n_words").distinct().toLocalIterator())
     words64 = items.select(F.explode("slots").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("bits")).toArrow()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), "<i8")
     bitmap[words64.column("w").to_numpy()] = words64.column("bits").to_numpy()
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     suspects = stored(windows(taken, lengths, bitmap.view(np.uint8), similarity).dropDuplicates(["doc_id", "th"]))
-    index = items.select("item_id", "n_words", F.col("fp").alias("item_fp"), _blocks("fp", True).alias("k")).select("item_id", "n_words", "item_fp", "k.*")
-    if items.count() * BLOCKS * (WIDTH + 1) <= BROADCAST_ROWS:
+    index = _indexed(items)
+    if items.count() * BLOCKS * len(_flips()) <= BROADCAST_ROWS:
         index = F.broadcast(index)
-    probes = suspects.select("doc_id", "th", F.explode("windows").alias("w")).select("doc_id", "th", "w.*", _blocks("w.fp", False).alias("k")).select("doc_id", "th", "at", "n_words", "fp", "k.*")
-    near = probes.join(index, ["n_words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("doc_id", "th", "item_id", "at").distinct().groupBy("doc_id", "th", "item_id").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    each = suspects.select("doc_id", "th", F.inline("windows"))
+    # a passage that many documents share is looked up once
+    prints = each.select("n_words", "fp").distinct()
+    probes = prints.select("n_words", "fp", F.inline(F.array(*(F.struct(F.lit(b).alias("block"), _block("fp", b).alias("value")) for b in range(BLOCKS)))))
+    met = probes.join(index, ["n_words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= COMPARED)
+    met = stored(met.select(F.xxhash64("n_words", "fp").alias("k"), F.col("n_words").alias("n"), F.col("fp").alias("f"), "item_id").distinct())
+    keyed = each.withColumn("k", F.xxhash64("n_words", "fp"))
+    near = (keyed.join(F.broadcast(met), "k") if met.count() <= BROADCAST_ROWS else skew_join(keyed, met, "k")).where("n_words = n and fp = f")
+    near = near.groupBy("doc_id", "th", "item_id").agg(F.sort_array(F.collect_set("at")).alias("at"))
     return _verified(near, suspects, items, similarity)
 
 
@@ -194,7 +212,10 @@ def _verified(near: DataFrame, suspects: DataFrame, items: DataFrame, similarity
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item was found; columns as they were."""
+    """The documents in which no item was found, repeated rows each; columns as they were.
+
+    Null and blank texts, and all documents if the benchmark is empty, stay.
+    """
     found = stored(contaminations(docs, benchmark).select(F.concat_ws(":", "doc_id", "th").alias("__key")).distinct())
     return docs.withColumn("__key", F.concat_ws(":", F.col("doc_id"), F.xxhash64("text"))).join(found, "__key", "left_anti").drop("__key")
 
