@@ -2,8 +2,8 @@
 
 All rolling k-gram hashes of the words of all texts are joined with the k-grams of the license templates. A hit at word p
 of a text and word t of a template votes for the diagonal p - t. Votes are counted by diagonal, neighbouring diagonals are
-merged into spans, so that a few words put in or left out do no harm, and a span stands if the k-grams that it holds,
-compared as text, cover enough of the template.
+merged into spans of bounded drift, so that a few words put in or left out do no harm and k-grams strewn over a text add
+up to nothing, and a span stands if the k-grams that it holds, compared as text, cover enough of the template.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from .common import short_batches, table
 from .wordhash import Words, chunks
 
 K = 3
-#: Diagonals at most so far apart belong to one span.
+#: Diagonals at most so far apart belong to one span, and a span's diagonals lie in one cell of CELL; cells overlap by half.
 DRIFT = 2
+CELL = 16
 
 
 class Template(NamedTuple):
@@ -43,12 +44,20 @@ TEXTS = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
     Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("gpl", "licensed under the gnu general public license version 3", 0.6),
-    Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    Template("gpl", "licensed under the gnu general public license version 3"),
+    Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", 0.95),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license"),
     Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    Template("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    # all of it, as most of it stands in the notices of its kin
+    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", 0.9),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    Template("lgpl", "licensed under the gnu lesser general public license version 3", 0.7),
+    Template("agpl", "licensed under the gnu affero general public license version 3", 0.7),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    Template("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    Template("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
@@ -105,8 +114,13 @@ def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, texts: tuple[
     hits = grams.join(F.broadcast(known.withColumnRenamed("gram", "own")), "hash").where(F.col("gram").eqNullSafe(F.col("own")))
     key = ["doc_id", "th", "template"]
     votes = hits.groupBy(*key, (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"), F.count("*").alias("n"), F.min("p").alias("p"), F.max("n_words").alias("n_words"))
+    # a phrase has one diagonal a place; the votes of other templates stand in both cells that hold their diagonal
+    half = F.floor(F.col("diagonal") / (CELL // 2))
+    cells = F.when(F.coalesce(F.col("base"), F.lit(True)), F.array(F.lit(0).cast("long"))).otherwise(F.array(half - 1, half))
+    votes = votes.join(facts, "template", "left").withColumn("cell", F.explode(cells))
+    key.append("cell")
     along = W.partitionBy(*key).orderBy("diagonal")
-    marked = votes.join(facts, "template", "left").withColumn("apart", F.coalesce(F.col("base"), F.lit(True)) | (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT) | F.lag("diagonal").over(along).isNull())
+    marked = votes.withColumn("apart", F.coalesce(F.col("base"), F.lit(True)) | (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT) | F.lag("diagonal").over(along).isNull())
     spans = (
         marked.withColumn("span", F.sum(F.col("apart").cast("int")).over(along))
         .groupBy(*key, "span")
@@ -124,7 +138,7 @@ def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, texts: tuple[
         F.array_join(F.sort_array(F.collect_set(F.when(found & F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set(F.when(found, F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
-        F.collect_list(F.when(found, F.struct("label", F.col("p").alias("first_word"), "share"))).alias("spans"),
+        F.sort_array(F.collect_set(F.when(found, F.struct("label", F.col("p").alias("first_word"), "share")))).alias("spans"),
         F.max("copies").alias("copies"),
     )
     return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("th", "copies", "copy")
