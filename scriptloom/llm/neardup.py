@@ -1,14 +1,15 @@
 """Near copies by the similarity of their five-word shingles (the pipeline's stage).
 
-Similarity is the Jaccard index of the distinct shingles; words are those of operator 3. A 64-bit SimHash can't find it:
-at 0.8 some ten bits differ, and a radius that holds nearly all such pairs leaves blocks of a few bits, which tell
-nothing apart. So the links of operator 3 (at most 3 bits) are joined by those found here:
+Similarity is the Jaccard index of the distinct shingles; words are those of operator 3. Operator 3's deletion variants
+give the pairs of at most 3 differing bits. At a similarity of 0.8 some ten of 64 bits differ, and a radius that holds
+nearly all such pairs leaves segments of a few bits, which tell nothing apart; so MinHash keys give candidates too. All
+candidates are compared exactly: no pair below the similarity is a link, however near its fingerprints.
 
 1. Texts with one set of shingles are one vertex. Each has ``BANDS`` keys of ``ROWS`` MinHash values; two vertices of
    similarity s share a key but for a chance of (1 - s**ROWS)**BANDS, 6e-5 at 0.8.
-2. In each bucket of a key every member is compared with the least, exactly, and links make components.
-3. Only buckets that still hold several components are looked at again: their pairs across components are compared,
-   exactly, if the MinHash values agree well enough. No pair in a bucket is left out for the bucket's size.
+2. In each bucket of a key every member is compared with the least, and the links make components with those of operator 3.
+3. Only buckets that still hold several components are looked at again: their pairs across components are compared if
+   the MinHash values agree well enough. No pair in a bucket is left out for the bucket's size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import short_batches, skew_join, stored
+from .common import release, short_batches, skew_join, stored
 from .components import connected_components
 from .wordhash import Words, chunks, mix
 
@@ -138,29 +139,34 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``doc_id, th, root`` for each row: rows that links of either kind connect have one root.
+    """``doc_id, th, root`` for each row: rows that links connect have one root.
 
-    Texts that are null or have no word are alike; th, a hash of the text, tells rows of one doc_id apart.
+    A text of fewer than five words is one shingle, all of it; texts that are null or have no word are alike. th, a hash
+    of the text, tells rows of one doc_id apart. Repeated rows share a root; no documents give no rows; other columns
+    play no part.
     """
     marked = stored(_marked(docs))
     reps = stored(marked.groupBy("v").agg(F.min("th").alias("th"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    # operator 3's links, of fingerprints, as links of the least vertices that have these
+    # operator 3's links between fingerprints, as pairs of the least vertices that have these; and those of one fingerprint
     prints = stored(marked.select("fp", "v").distinct().withColumn("least", F.min("v").over(W.partitionBy("fp"))))
     least = prints.where("v = least").select("fp", "v")
     three = simhash.similar_links(least.select("fp"))
-    three = three.join(least.select(F.col("fp").alias("u"), F.col("v").alias("x")), "u").join(least.select(F.col("fp").alias("v"), F.col("v").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    three = three.unionByName(prints.where("v <> least").select(F.col("least").alias("u"), "v"))
+    three = three.join(least.select(F.col("fp").alias("u"), F.col("v").alias("x")), "u").join(least.select(F.col("fp").alias("v"), F.col("v").alias("y")), "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("w"))
+    three = three.unionByName(prints.where("v <> least").select(F.col("least").alias("u"), F.col("v").alias("w")))
 
     index = reps.select("v", "size", F.explode("keys").alias("key"))
     buckets = stored(index.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("v", "size")).alias("a")).where("n > 1"))
     in_bucket = stored(skew_join(index, buckets, "key").select("key", "v", "size", "n", "a"))
     fits = F.least("size", "a.size") >= similarity * F.greatest("size", "a.size") - 1e-9
-    pairs = stored(in_bucket.where((F.col("v") != F.col("a.v")) & fits).select(F.col("a.v").alias("u"), F.col("v").alias("w")).distinct())
-    links = stored(three.unionByName(verified(pairs, docs, reps, similarity).withColumnRenamed("w", "v")))
+    pairs = in_bucket.where((F.col("v") != F.col("a.v")) & fits).select(F.least("a.v", "v").alias("u"), F.greatest("a.v", "v").alias("w"))
+    pairs = stored(pairs.unionByName(three).distinct())
+    links = stored(verified(pairs, docs, reps, similarity).withColumnRenamed("w", "v"))
+    release(buckets, prints)
     roots = stored(connected_components(links))
 
     placed = skew_join(in_bucket.where("n > 2").select("key", "v", "size"), roots.withColumnRenamed("u", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     placed = stored(placed)
+    release(in_bucket, roots)
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = skew_join(placed, mixed, "key").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     own = skew_join(own, reps.select("v", "sig"), "v")

@@ -158,11 +158,11 @@ def _rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """``weight`` by bucket and ``bias``; the score is the logistic function of bias plus the weights of the distinct words.
 
-    ``swaps``: how many swapped copies the fit compared.
+    ``swaps``: how many swapped copies the fit compared; ``rows``: how many labelled rows it learned from.
     """
 
-    def __init__(self, weight: np.ndarray, bias: float, swaps: int = 0):
-        self.weight, self.bias, self.swaps = weight, bias, swaps
+    def __init__(self, weight: np.ndarray, bias: float, swaps: int = 0, rows: int = 0):
+        self.weight, self.bias, self.swaps, self.rows = weight, bias, swaps, rows
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         of, bucket = _presence(texts, self.weight != 0)
@@ -241,7 +241,7 @@ def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS, ter
         past_bias += slope.sum() ** 2
         v -= speed * grad / np.sqrt(past)
         bias -= speed * slope.sum() / np.sqrt(past_bias)
-    return Model((v * scale).astype(np.float32), bias, swaps)
+    return Model((v * scale).astype(np.float32), bias, swaps, n)
 
 
 def learned(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, terms: Kinds = IDENTITY_TERMS) -> Model:
@@ -272,8 +272,14 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, repeated rows each; columns as they were. Null texts count as empty ones."""
-    judged = scored(docs.select(F.struct(*docs.columns).alias("__row"), F.col("text")), learned(docs, labels))
+    """The documents that are not predicted toxic, repeated rows each; columns as they were.
+
+    Null texts count as empty ones. If no labelled document is there to learn from, all stay.
+    """
+    model = learned(docs, labels)
+    if not model.rows:
+        return docs
+    judged = scored(docs.select(F.struct(*docs.columns).alias("__row"), F.col("text")), model)
     return judged.where("predicted = 0").select("__row.*")
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from scriptloom.llm import neardup, simhash
+from scriptloom.llm import neardup
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -26,11 +26,10 @@ def test_similar_groups(spark):
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
 
     sets = [shingles(t) for _, t, _ in rows]
-    prints = [simhash.fingerprint((t or "").encode()) % (1 << 64) for _, t, _ in rows]
     label = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 3:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 label = [label[b] if x == label[a] else x for x in label]
     want = sorted(min((rows[i][0] for i in range(len(rows)) if label[i] == g and rows[i][0] is not None), default=-1) for g in set(label))
     docs = spark.createDataFrame(rows, SCHEMA)

@@ -24,6 +24,24 @@ def test_reconstruction(spark):
     assert chat.render(chat.reconstruct(events.limit(0))).count() == 0
 
 
+def test_derived_log_gives_its_messages_back(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i // 12, i % 12 + 1, ["user", "assistant", None][i % 3], [None, "", "é" * int(rng.integers(1, 90)), "<|text|>" * 9][i % 4]) for i in range(96)]
+    turns = spark.createDataFrame(rows, "conv_id long, msg int, role string, text string")
+    log = chat.derived_log(turns)
+    kinds = Counter(r.kind for r in log.collect())
+    assert min(kinds[k] for k in chat.KINDS) > 10 and kinds["delta"] > kinds["message"] > 96
+    got = {(r.conv_id, r.msg, r.role, r.text) for r in chat.reconstruct(log.repartition(7)).collect()}
+    assert got == {(c, m, r or "", t or "") for c, m, r, t in rows}
+    assert chat.derived_log(turns.limit(0)).count() == 0
+
+
+def test_nulls_in_rendered_messages(spark):
+    df = spark.createDataFrame([(1, 1, 1, None, None), (1, 1, 1, None, None), (None, 2, 1, "assistant", "a")], "conv_id long, opened long, msg long, role string, text string")
+    got = {r.conv_id: ([(t.role, t.text) for t in r.turns], r.learned) for r in chat.read_back(chat.render(df)).collect()}
+    assert got == {1: ([("", ""), ("", "")], []), None: ([("assistant", "a")], ["a"])}
+
+
 def test_any_text_comes_back(spark):
     parts = ["<|", "|>", "\\", "<\\|", "<|start|>", "<|text|>", "<|end|>\n", "é", "\n", "</s>", ""]
     rng = np.random.default_rng(1)
@@ -79,6 +97,35 @@ def test_mined_rules(spark):
     assert got == {(("c",), "block", "c"), (("d",), "allow", "d"), (("a", "b"), "block", "a")}
 
 
+def brute_rules(rows, support, confidence):
+    """All rules of one label over all sets of tokens, by counting."""
+    from itertools import combinations
+
+    held, with_label = Counter(), Counter()
+    for tokens, label in rows:
+        for k in range(1, len(tokens) + 1):
+            for part in combinations(sorted(tokens), k):
+                held[part] += 1
+                with_label[part, label] += 1
+    found = {(p, v): c / held[p] for (p, v), c in with_label.items() if c >= support * len(rows) and c / held[p] >= confidence}
+    return {k: c for k, c in found.items() if not any(found.get((tuple(x for x in k[0] if x != t), k[1]), -1) >= c for t in k[0])}
+
+
+def test_rules_against_counting(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for _ in range(300):
+        tokens = sorted({f"t{x}" for x in rng.integers(0, 7, 5)})
+        bad = {"t0", "t1", "t2", "t3"} <= set(tokens) or "t6" in tokens
+        rows.append((tokens, "block" if bad else "allow"))
+    got = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    got = {(tuple(r.need), r.verdict): r.confidence for r in got.collect()}
+    want = brute_rules(rows, urlrules.SUPPORT, urlrules.CONFIDENCE)
+    assert got.keys() == want.keys() and max(len(n) for n, _ in got) >= 4
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert urlrules.mine(spark.createDataFrame([(None, "block"), (["a"], None)], "tokens array<string>, label string")).count() == 0
+
+
 def expected_records(rows):
     first = {}
     for i, html in rows:
@@ -110,6 +157,23 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_forest_brings_pairs_together_at_every_depth():
+    """Recall of planted pairs at cosine 0.9, and copies, with the forest that 50 thousand to 200 million vectors get."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(1500, 64)))
+    noise = rng.normal(size=base.shape)
+    noise = unit(noise - (noise * base).sum(axis=1, keepdims=True) * base)
+    other = 0.9 * base + np.sqrt(1 - 0.81) * noise
+    copies = {}
+    for n in (50_000, 2_000_000, 200_000_000):
+        forest = embeddings.Forest(unit(rng.normal(size=(20_000, 64))), 20_000 / n, embeddings.LEAF, embeddings.trees_for(n), 0.9, embeddings.SPILL, 64, 1)
+        one, two = (set(zip(*(v.tolist() for v in forest.leaves(x)), strict=True)) for x in (base, other))
+        assert len({row for row, _ in one & two}) >= 0.93 * len(base)
+        copies[n] = len(one) / len(base)
+    assert copies[2_000_000] < 4 * copies[50_000] and copies[200_000_000] < 12 * copies[50_000]
+
+
 def vectors(rng):
     base = rng.normal(size=(150, 24))
     near = np.concatenate([base[:30] + rng.normal(size=(30, 24)) * s for s in (0.1, 0.25, 0.35)])
