@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding (operator 5).
 
 The merges are folded over the bytes of distinct pieces by Spark's higher-order functions with the ranks as a literal;
-what a piece becomes is then looked up for all its places. A state is the piece's parts, as ids, and the rank that each
-part and its right neighbour would merge to; one step merges the leftmost pair of the lowest rank and looks up the two
-pairs that this makes. Pieces of over ``LONG`` bytes, for which copying the state at each step would take quadratic
+what a piece becomes is then looked up for all its places. A state is the piece's parts, each a number of its id, its place
+and the rank that it and its right neighbour would merge to; one step merges the leftmost pair of the lowest rank, which
+is the least number, and looks up the two pairs that this makes. Pieces of over ``LONG`` bytes, for which copying the state at each step would take quadratic
 time, are merged with a heap in the task that holds them.
 """
 
@@ -82,47 +82,58 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: A part in a state: the rank of what it and its right neighbour merge to, its place and its id, in this order of bits.
+PLACE_BITS = 8
+RANK_AT = ID_BITS + PLACE_BITS
+#: The rank of a part that merges with nothing.
+NONE = 1 << ID_BITS
+
+
 def encoder(tokens: list[bytes]) -> Callable[[Column], Column]:
-    """A function from a piece (not empty, no token as a whole) to its ids: the fold, with the ranks as literals that stand in the plan once."""
+    """A function from a piece (1 to LONG bytes, no token as a whole) to its ids: the fold, with the ranks as literals that stand in the plan once."""
     one, two = merge_tables(tokens)
     known = {t: i for i, t in enumerate(tokens)}
     letters = [known[bytes([b])] for b in range(256)]
-    literal = F.from_json(F.lit(json.dumps({"one": one, "two": two, "letters": letters})), "one array<bigint>, two array<bigint>, letters array<int>")
+    firsts = [known.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
+    literal = F.from_json(F.lit(json.dumps({"one": one, "two": two, "letters": letters, "firsts": firsts})), "one array<bigint>, two array<bigint>, letters array<bigint>, firsts array<bigint>")
+    low_bits = lambda c, n: c.bitwiseAND(F.lit((1 << n) - 1))
 
     def folded(piece: Column, tables: Column) -> Column:
-        def merged(left: Column, right: Column) -> Column:
-            """The id that a pair of parts makes, else null."""
+        def packed(left: Column, right: Column, place_and_id: Column) -> Column:
+            """A part, with the rank that the ids left and right merge to; NONE if either is null."""
 
             def found(key: Column) -> Column:
                 a = F.get(tables["one"], (key % len(one)).cast("int"))
                 b = F.get(tables["two"], (key % len(two)).cast("int"))
-                low = (1 << ID_BITS) - 1
-                return F.when(F.shiftright(a, ID_BITS) == key, a.bitwiseAND(F.lit(low))).when(F.shiftright(b, ID_BITS) == key, b.bitwiseAND(F.lit(low))).cast("int")
-
-            return _let(F.shiftleft(left.cast("bigint"), ID_BITS).bitwiseOR(right.cast("bigint")), found)
-
-        def to(parts: Column, ranks: Column) -> Column:
-            return F.struct(parts.alias("parts"), ranks.alias("ranks"))
+                return F.when(F.shiftright(a, ID_BITS) == key, low_bits(a, ID_BITS)).when(F.shiftright(b, ID_BITS) == key, low_bits(b, ID_BITS)).otherwise(F.lit(NONE).cast("bigint"))
 
-        def step(state: Column, _: Column) -> Column:
-            parts, ranks = state["parts"], state["ranks"]
+            return F.shiftleft(_let(F.shiftleft(left, ID_BITS).bitwiseOR(right), found), RANK_AT).bitwiseOR(place_and_id)
 
+        def step(parts: Column, _: Column) -> Column:
             def joined(low: Column) -> Column:
-                def at(i: Column) -> Column:  # the place of the pair, from 1; parts i and i + 1 become one
-                    none = F.array().cast("array<int>")
-                    before = F.when(i > 1, F.concat(F.slice(ranks, 1, i - 2), F.array(merged(F.get(parts, i - 2), low)))).otherwise(none)
-                    after = F.when(i < F.size(ranks), F.concat(F.array(merged(low, F.get(parts, i + 1))), F.slice(ranks, i + 2, F.size(ranks)))).otherwise(none)
-                    return to(F.concat(F.slice(parts, 1, i - 1), F.array(low), F.slice(parts, i + 2, F.size(parts))), F.concat(before, after))
+                whole = F.shiftright(low, RANK_AT)
 
-                return F.when(low.isNull(), state).otherwise(_let(F.array_position(ranks, low).cast("int"), at))
+                def at(k: Column) -> Column:  # parts k and k + 1, from 1, become one
+                    before = F.get(parts, k - 2)
+                    new = packed(whole, low_bits(F.get(parts, k + 1), ID_BITS), F.shiftleft(F.shiftright(low_bits(low, RANK_AT), ID_BITS), ID_BITS).bitwiseOR(whole))
+                    rest = F.slice(parts, k + 2, F.size(parts))
+                    longer = F.concat(F.slice(parts, 1, k - 2), F.array(packed(low_bits(before, ID_BITS), whole, low_bits(before, RANK_AT)), new), rest)
+                    return F.when(k > 1, longer).otherwise(F.concat(F.array(new), rest))
 
-            return _let(F.array_min(ranks), joined)
+                return F.when(low >= NONE << RANK_AT, parts).otherwise(_let(F.array_position(parts, low).cast("int"), at))
+
+            # the lowest rank, of equal ones the first place
+            return _let(F.array_min(parts), joined)
 
         # a byte as a character of its own
-        start = F.transform(F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(tables["letters"], F.ascii(c)))
-        neighbours = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), merged)
+        codes = F.transform(F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), ""), F.ascii)
+
+        def begun(codes: Column) -> Column:
+            rank = lambda c, i: F.coalesce(F.get(tables["firsts"], c * 256 + F.get(codes, i + 1)), F.lit(NONE).cast("bigint"))
+            return F.transform(codes, lambda c, i: F.shiftleft(rank(c, i), RANK_AT).bitwiseOR(F.shiftleft(i.cast("bigint"), ID_BITS)).bitwiseOR(F.get(tables["letters"], c)))
+
         rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(piece) - 1, F.lit(1)))
-        return F.aggregate(rounds, _let(start, lambda p: to(p, neighbours(p))), step, lambda state: state["parts"])
+        return F.aggregate(rounds, _let(codes, begun), step, lambda parts: F.transform(parts, lambda x: low_bits(x, ID_BITS).cast("int")))
 
     return lambda piece: _let(literal, lambda tables: folded(piece, tables))
 
@@ -200,16 +211,16 @@ class Vocabulary:
         return {t: i for i, t in enumerate(self.tokens)}
 
 
-#: Texts that are worked on at once have about so many pieces.
-RUN = 1 << 20
+#: Texts that are looked up at once have about so many pieces, those that are digested at once fewer: their bytes are indexed.
+RUN, DIGEST_RUN = 1 << 19, 1 << 16
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _runs(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about RUN pieces together; a longer row is a run of its own."""
+def _runs(lists: pa.ListArray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``size`` pieces together; a longer row is a run of its own."""
     ends, lo = lists.offsets.to_numpy().astype(np.int64), 0
     while lo < len(lists):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + RUN, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + size, "right")) - 1)
         yield lo, hi
         lo = hi
 
@@ -311,13 +322,13 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int =
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _runs(batch.column("pieces")):
+            for lo, hi in _runs(batch.column("pieces"), RUN):
                 run = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([run.column("doc_id"), *_codes(run.column("pieces"), words.value, vocabulary.value)], ["doc_id", "codes", "rare"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _runs(batch.column("codes")):
+            for lo, hi in _runs(batch.column("codes"), DIGEST_RUN):
                 yield _digests(*(c.slice(lo, hi - lo) for c in batch.columns), words.value, vocabulary.value)
 
     coded = cut.mapInArrow(look_up, "doc_id long, codes array<int>, rare array<string>")
