@@ -46,6 +46,8 @@ DIRECTIONS = 256
 SIGNS, SLACK = 128, 4.0
 #: Leaves of more than a block are broadcast up to so many; beyond, a shuffle brings them to their rows.
 BROADCAST_ROWS = 200_000
+#: Vectors that are compared with all of a leaf at once.
+SLAB = 128
 SEED = 20_240
 
 
@@ -151,10 +153,10 @@ def _alike(sketches: np.ndarray, cosine: float) -> np.ndarray:
     """Which sketches differ in no more signs than those of two vectors of the wanted cosine may."""
     s, p = sketches.view(np.uint64), math.acos(cosine) / math.pi
     most = SIGNS * p + SLACK * math.sqrt(SIGNS * p * (1 - p))
-    differing = np.zeros((len(s), len(s)), np.uint8)
-    for k in range(s.shape[1]):
-        differing += np.bitwise_count(s[:, None, k] ^ s[None, :, k])
-    return differing <= most
+    met = np.empty((len(s), len(s)), bool)
+    for i in range(0, len(s), SLAB):
+        met[i : i + SLAB] = sum(np.bitwise_count(s[i : i + SLAB, None, k] ^ s[None, :, k]) for k in range(s.shape[1])) <= most
+    return met
 
 
 def _across(own: np.ndarray, met: np.ndarray) -> np.ndarray:
@@ -180,7 +182,10 @@ def _unit(lists: pa.Array, size: int) -> np.ndarray:
 
 def _linked(vid: np.ndarray, copies: np.ndarray, x: np.ndarray, own: np.ndarray, leaf: int, lists: pa.Array, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vid, links counted here, root) of the rows of a leaf, or of two of its blocks, that have links."""
-    near = _across(own, x @ x.T >= cosine)
+    near = np.empty((len(x), len(x)), bool)
+    for i in range(0, len(x), SLAB):
+        near[i : i + SLAB] = x[i : i + SLAB] @ x.T >= cosine
+    near = _across(own, near | near.T)
     has = np.flatnonzero(near.any(axis=1))
     near = near[np.ix_(has, has)]
     if not len(has):
@@ -194,7 +199,7 @@ def _linked(vid: np.ndarray, copies: np.ndarray, x: np.ndarray, own: np.ndarray,
     counted = near & (met @ met.T == 0)
     label = np.arange(len(has))
     while True:
-        least = np.minimum(label, np.where(near, label[None, :], len(has)).min(axis=1))
+        least = np.minimum(label, np.concatenate([np.where(near[i : i + SLAB], label[None, :], len(has)).min(axis=1) for i in range(0, len(has), SLAB)]))
         least = least[least]
         if (least == label).all():
             break

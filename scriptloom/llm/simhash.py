@@ -28,6 +28,8 @@ SEGMENTS = 2
 WIDTH = 64 // SEGMENTS
 #: Members of a bucket that go into one block; two blocks are compared at a time.
 BLOCK = 1024
+#: Members that are compared with all at once.
+SLAB = 128
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 16
 
@@ -69,15 +71,19 @@ def _variants(fp: Column) -> Column:
 
 def _forest(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) for the members of one row that are linked, directly or not, to a smaller one."""
-    near = np.bitwise_count(members[:, None] ^ members[None, :]) <= radius
-    label = np.arange(len(members))
+    n = len(members)
+    near = np.empty((n, n), bool)
+    slabs = [slice(i, i + SLAB) for i in range(0, n, SLAB)]  # some rows at a time, as numbers take more room than flags
+    for at in slabs:
+        near[at] = np.bitwise_count(members[at, None] ^ members[None, :]) <= radius
+    label = np.arange(n, dtype=np.int32)
     while True:
-        least = np.where(near, label[None, :], len(members)).min(axis=1)
+        least = np.concatenate([np.where(near[at], label[None, :], n).min(axis=1) for at in slabs]).astype(np.int32)
         least = least[least]
         if (least == label).all():
             break
         label = least
-    at = np.flatnonzero(label != np.arange(len(members)))
+    at = np.flatnonzero(label != np.arange(n))
     return members[at], members[label[at]]
 
 
