@@ -7,9 +7,11 @@ candidates are compared exactly: no pair below the similarity is a link, however
 
 1. Texts with one set of shingles are one vertex. Each has ``BANDS`` keys of ``ROWS`` MinHash values; two vertices of
    similarity s share a key but for a chance of (1 - s**ROWS)**BANDS, 6e-5 at 0.8.
-2. In each bucket of a key every member is compared with the least, and the links make components with those of operator 3.
-3. Only buckets that still hold several components are looked at again: their pairs across components are compared if
-   the MinHash values agree well enough. No pair in a bucket is left out for the bucket's size.
+2. In each bucket of a key the members have the least in common. A vertex is compared with the ``FIRST`` smallest of its
+   buckets' leasts, and the links make components with those of operator 3: most members of a group, however large, meet.
+3. Only buckets that still hold several components are looked at again, with the shingles of their members, in blocks of
+   bounded size: pairs across components are compared if the MinHash values agree well enough, each in the first bucket
+   that it shares, and a spanning forest of the links is all that comes out. No pair is left out for a bucket's size.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ from .wordhash import Words, chunks, mix
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 32
+#: Leasts that a vertex is compared with in step 2; step 3 sees to what these leave apart.
+FIRST = 3
 #: Share of the MinHash values that must agree before step 3 compares a pair; over 4 standard deviations below 0.8.
 LEAST_AGREEING = 0.68
-#: Members of a bucket that go into one block; two blocks are compared at a time.
-BLOCK = 512
+#: Bytes of shingles of a bucket that go into one block; two blocks are compared at a time.
+BLOCK = 2 << 20
 #: Bytes that aren't ASCII white space (or the zero between texts).
 WORD = np.ones(256, bool)
 WORD[[0, 9, 10, 11, 12, 13, 32]] = False
@@ -89,9 +93,9 @@ def _marked(docs: DataFrame) -> DataFrame:
     return simhash.with_fingerprint(taken).withColumn("m", compute(F.col("text"))).select("doc_id", "th", "fp", "m.*")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs ``u, w`` whose sets of shingles are similar enough."""
-    needed = pairs.select(F.explode(F.array("u", "w")).alias("v")).distinct().join(reps.select("v", "th"), "v")
+def _sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``v, set``: the shingles of the distinct ``wanted(v)``."""
+    needed = wanted.join(reps.select("v", "th"), "v")
     texts = skew_join(docs.select(F.xxhash64("text").alias("th"), "text"), needed, "th").select("v", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,42 +104,62 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similarity: flo
                 sets = [s.tobytes() for s in shingle_sets(run)]
                 yield pa.RecordBatch.from_arrays([batch.column("v").slice(at, len(run)), pa.array(sets, pa.binary())], ["v", "set"])
 
-    sets = stored(short_batches(texts).mapInArrow(shingles, "v long, set binary").dropDuplicates(["v"]))
+    return stored(short_batches(texts).mapInArrow(shingles, "v long, set binary").dropDuplicates(["v"]))
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same >= similarity * (len(x) + len(y) - same) - 1e-9
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs ``u, w`` whose sets of shingles are similar enough."""
+    sets = _sets(pairs.select(F.explode(F.array("u", "w")).alias("v")).distinct(), docs, reps)
     both = skew_join(pairs, sets.select(F.col("v").alias("u"), F.col("set").alias("a")), "u")
     both = skew_join(both, sets.select(F.col("v").alias("w"), F.col("set").alias("b")), "w")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
+            both = zip(batch.column("a"), batch.column("b"), strict=True)
+            keep = [_similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in ab), similarity) for ab in both]
             yield batch.select(["u", "w"]).filter(pa.array(keep, pa.bool_()))
 
     return short_batches(both.select("u", "w", "a", "b")).mapInArrow(compare, "u long, w long")
 
 
-def _across(rows: DataFrame, similarity: float) -> DataFrame:
-    """``members array<struct<v, size, sig, root>>`` to the pairs of different roots that may be similar."""
+def _forest(v: np.ndarray, root: np.ndarray, own: np.ndarray, band: int, keys: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between members of different roots, of one block or two of a bucket, that no others of them connect."""
+    _, label = np.unique(root, return_inverse=True)
+    size, out, across = np.array([len(s) for s in sets]), [], own.min() != own.max()
+    for i in range(len(v) - 1):
+        rest = slice(i + 1, None)
+        may = (label[rest] != label[i]) & (np.minimum(size[i], size[rest]) >= similarity * np.maximum(size[i], size[rest]) - 1e-9)
+        if across:
+            may &= own[rest] != own[i]
+        at = i + 1 + np.flatnonzero(may)
+        at = at[(keys[at] == keys[i]).argmax(axis=1) == band]
+        at = at[(sig[at] == sig[i]).mean(axis=1) >= LEAST_AGREEING]
+        for j in at:
+            if label[i] != label[j] and _similar(sets[i], sets[j], similarity):
+                out.append((int(v[i]), int(v[j])))
+                label[label == label[j]] = label[i]
+    return out
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column("members"):
-                members = value.values
-                v, size, root = (members.field(n).to_numpy() for n in ("v", "size", "root"))
-                sig = np.array([np.frombuffer(s.as_buffer(), np.uint8) for s in members.field("sig")])
-                us, ws = [], []
-                for i in range(len(v) - 1):
-                    small, big = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
-                    at = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (small >= similarity * big - 1e-9))
-                    at = at[(sig[at] == sig[i]).mean(axis=1) >= LEAST_AGREEING]
-                    us.append(np.minimum(v[at], v[i]))
-                    ws.append(np.maximum(v[at], v[i]))
-                if us:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(ws))], ["u", "w"])
-
-    return rows.mapInArrow(find, "u long, w long").distinct()
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """``key, i, j, own, v, root, keys, sig, set`` to the links ``u, v`` found in each (key, i, j)."""
+
+    def find(group: pa.Table) -> pa.Table:
+        one = group.combine_chunks()
+        v, root, own = (one.column(c).to_numpy() for c in ("v", "root", "own"))
+        keys = np.array([k.values.to_numpy() for k in one.column("keys")])
+        sig = np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in one.column("sig")])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in one.column("set")]
+        band = int((keys[0] == one.column("key")[0].as_py()).argmax())
+        links = _forest(v, root, own, band, keys, sig, sets, similarity)
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return members.groupBy("key", "i", "j").applyInArrow(find, "u long, v long").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -158,22 +182,23 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, block: int =
     buckets = stored(index.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("v", "size")).alias("a")).where("n > 1"))
     in_bucket = stored(skew_join(index, buckets, "key").select("key", "v", "size", "n", "a"))
     fits = F.least("size", "a.size") >= similarity * F.greatest("size", "a.size") - 1e-9
-    pairs = in_bucket.where((F.col("v") != F.col("a.v")) & fits).select(F.least("a.v", "v").alias("u"), F.greatest("a.v", "v").alias("w"))
+    leasts = in_bucket.where((F.col("v") != F.col("a.v")) & fits).groupBy("v").agg(F.slice(F.sort_array(F.collect_set("a.v")), 1, FIRST).alias("us"))
+    pairs = leasts.select(F.explode("us").alias("u"), F.col("v").alias("w"))
     pairs = stored(pairs.unionByName(three).distinct())
     links = stored(verified(pairs, docs, reps, similarity).withColumnRenamed("w", "v"))
     release(buckets, prints)
     roots = stored(connected_components(links))
 
-    placed = skew_join(in_bucket.where("n > 2").select("key", "v", "size"), roots.withColumnRenamed("u", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    placed = skew_join(in_bucket.select("key", "v", "size"), roots.withColumnRenamed("u", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     placed = stored(placed)
     release(in_bucket, roots)
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = skew_join(placed, mixed, "key").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    own = skew_join(own, reps.select("v", "sig"), "v")
-    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own <> other or blocks = 1")
-    rows = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("v", "size", "sig", "root")).alias("members"))
-    more = stored(_across(rows.select("members"), similarity))
-    found = verified(more, docs, reps, similarity).withColumnRenamed("w", "v")
+    mixed = placed.groupBy("key").agg(F.sum("size").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", F.ceil(8 * F.col("n") / block).cast("int").alias("blocks"))
+    own = stored(skew_join(placed, mixed, "key").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
+    sets = _sets(own.select("v").distinct(), docs, reps)
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "root")
+    whole = skew_join(dealt, sets.join(reps.select("v", "keys", "sig"), "v"), "v")
+    found = stored(_across(whole.select("key", "i", "j", "own", "v", "root", "keys", "sig", "set"), similarity))
     roots = stored(connected_components(links.unionByName(found))).withColumnRenamed("u", "v")
     return skew_join(marked.select("doc_id", "th", "v"), roots, "v", "left").select("doc_id", "th", F.coalesce("root", "v").alias("root"))
 

@@ -43,5 +43,5 @@ def test_similar_groups_in_blocks(spark):
     base = [f"w{x}" for x in rng.integers(0, 5000, 100)]
     # each text is similar to the next ones alone
     rows = [(k, " ".join([*base, *(f"c{j}" for j in range(100))][k : k + 100]), "x") for k in range(0, 60, 4)]
-    roots = neardup.similar_groups(spark.createDataFrame(rows, SCHEMA), block=3).select("root").distinct()
+    roots = neardup.similar_groups(spark.createDataFrame(rows, SCHEMA), block=3 * 8 * 96).select("root").distinct()
     assert roots.count() == 1
