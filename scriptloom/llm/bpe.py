@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import short_batches, stored, table
 
 #: Bounds of the dictionary of frequent pieces that is sent to all tasks.
-MAX_PIECES = 300_000
-MAX_BYTES = 16 << 20
+MAX_PIECES = 500_000
+MAX_BYTES = 24 << 20
 #: Bytes of a piece from which it is merged with a heap.
 LONG = 256
 #: Bits of an id in a packed pair.
