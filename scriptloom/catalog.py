@@ -30,6 +30,7 @@ from .operators import sections as SE
 from .operators import segments as SG
 from .sources import readers as RD
 from .sources import writers as WR
+from .streaming.corrected import stream_corrected
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,23 +111,26 @@ def _(spark, d):
     return X.arabic_text(spark, d).select("rec_id", T.has_devanagari(t).alias("devanagari"), T.has_arabic_only(t).alias("arabic_only"), T.has_arabic_letters(t).alias("arabic_letters"), T.has_latin(t).alias("latin"), T.is_invented(t).alias("invented"), T.ends_sentence(t).alias("sentence"))
 
 
-@on_segments("arabic_candidates", " SELECT rec_id, seg_idx FROM s WHERE avg_logprob < -0.6 AND end_ds - start_ds >= 20")
+_ODD = r"[\x{0629}\x{064A}\x{0643}\x{0649}\x{0625}\x{0623}\x{064B}-\x{0652}]"
+
+
+@on_segments("arabic_candidates", f" SELECT rec_id, seg_idx FROM s WHERE (avg_logprob < -0.6 OR regexp_matches(CASE WHEN seg_idx % 3 = 0 THEN translate(text, 'abcdefghij', 'ايكةهأإىۃۓ') ELSE text END, '{_ODD}')) AND end_ds - start_ds >= 20")
 def _(seg):
-    return SG.arabic_candidates(seg.where(~T.has_arabic_only(F.col("text")))).select("rec_id", "seg_idx")
+    mapped = F.when(F.col("seg_idx") % 3 == 0, F.translate("text", "abcdefghij", "ايكةهأإىۃۓ")).otherwise(F.col("text"))
+    return SG.arabic_candidates(seg.withColumn("text", mapped)).select("rec_id", "seg_idx")
 
 
 @on_segments(
     "resolve_language",
-    """ SELECT rec_id, seg_idx, CASE WHEN seg_idx % 12 = 0 AND seg_idx % 10 >= 6 THEN upper(text) ELSE text END AS text, CASE WHEN seg_idx % 12 = 0 AND seg_idx % 10 >= 6 THEN 'ar' ELSE 'ur' END AS language
-FROM s WHERE regexp_matches(text, '^[ -~]*$')""",
+    """ SELECT rec_id, seg_idx, CASE WHEN seg_idx % 12 = 0 AND seg_idx % 10 >= 6 THEN 'AR ' || text ELSE text END AS text, CASE WHEN seg_idx % 12 = 0 AND seg_idx % 10 >= 6 THEN 'ar' ELSE 'ur' END AS language FROM s""",
 )
 def _(seg):
-    return SG.resolve_language(seg, X.probes(seg)).where(F.col("text").rlike("^[ -~]*$")).select("rec_id", "seg_idx", "text", "language")
+    return SG.resolve_language(seg, X.probes(seg)).select("rec_id", "seg_idx", "text", "language")
 
 
-@on_segments("sparse_segments", " SELECT rec_id, seg_idx FROM s WHERE seg_idx % 5 = 0 AND end_ds - start_ds + 60 > 40 AND n_words / ((end_ds - start_ds + 60) / 10.0) < 1.3")
+@on_segments("sparse_segments", " SELECT rec_id, seg_idx FROM s WHERE end_ds - start_ds + 60 > 40 AND n_words / ((end_ds - start_ds + 60) / 10.0) < 1.3")
 def _(seg):
-    return SG.sparse_segments(seg.where("seg_idx % 5 = 0").withColumn("end", F.col("end") + 6)).select("rec_id", "seg_idx")
+    return SG.sparse_segments(seg.withColumn("end", F.col("end") + 6)).select("rec_id", "seg_idx")
 
 
 @on_segments("slice_text", " SELECT rec_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM s WHERE start_ds >= 100 AND start_ds < 600 GROUP BY 1")
@@ -149,6 +153,16 @@ def _(seg):
     return SG.apply_exclude(seg, X.excludes(seg)).select("rec_id", "seg_idx")
 
 
+@on_segments("cut_totals", X.EXCLUDES + ", m AS (SELECT rec_id, max(end_ds) AS total FROM s GROUP BY 1) SELECT m.rec_id, least(total, coalesce((SELECT min(lo) FROM ex WHERE ex.rec_id = m.rec_id AND hi = 'infinity'::DOUBLE), total))::BIGINT AS total_ds FROM m")
+def _(seg):
+    return SG.cut_totals(X.recordings(seg), X.excludes(seg)).select("rec_id", ds("total").alias("total_ds"))
+
+
+@on_segments("ordered", " SELECT rec_id, seg_idx, start_ds, text FROM s")
+def _(seg):
+    return SG.ordered(seg).select("rec_id", "seg_idx", "start_ds", "text")
+
+
 @on_segments(
     "filter_recovered",
     """, q AS (SELECT rec_id, seg_idx, start_ds, text, string_split(text, ' ') AS ws FROM s WHERE seg_idx % 4 = 3 AND seg_idx % 30 <= 24 AND avg_logprob >= -0.9),
@@ -235,7 +249,7 @@ def _(seg):
     return LE.seen(X.token_pairs(seg))
 
 
-_NORM = r"trim(regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace({0}, '\(\d{{1,2}}(:\d{{2}}){{1,2}}\)', ' ', 'g'), '[\x{{0610}}-\x{{061A}}\x{{064B}}-\x{{065F}}\x{{0670}}\x{{06D6}}-\x{{06ED}}\x{{200C}}\x{{200D}}\x{{200F}}]', '', 'g'), 'يىكةۃهأإۓ', 'ییکہہہااے'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace({0}, '\(\p{{Nd}}{{1,2}}(:\p{{Nd}}{{2}}){{1,2}}\)', ' ', 'g'), '[\x{{0610}}-\x{{061A}}\x{{064B}}-\x{{065F}}\x{{0670}}\x{{06D6}}-\x{{06ED}}\x{{200C}}\x{{200D}}\x{{200F}}]', '', 'g'), 'يىكةۃهأإۓ', 'ییکہہہااے'), '[^\p{{L}}\p{{N}}\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g'), '[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
 _FIXES = X.TOKEN_PAIRS + f", fx AS (SELECT model AS wrong, ref AS \"right\", count(*) AS n FROM tp WHERE {_NORM.format('model')} <> {_NORM.format('ref')} GROUP BY 1, 2)"
 _BEST = _FIXES + ", bf AS (SELECT wrong, \"right\", n FROM fx QUALIFY row_number() OVER (PARTITION BY wrong ORDER BY n DESC, \"right\" DESC) = 1), sn AS (SELECT model AS wrong, count(*) AS seen FROM tp GROUP BY 1)"
 _RULES = _BEST + ", rl AS (SELECT wrong, \"right\", n, n / seen AS share FROM bf JOIN sn USING (wrong) WHERE n >= 2 AND n / seen >= 0.6 AND length(replace(wrong, ' ', '')) >= 3 AND wrong NOT IN ('that', 'oned'))"
@@ -302,37 +316,78 @@ def _(seg):
 # scoring
 
 
-def _ascii(seg: DataFrame) -> DataFrame:
-    return _read(seg.where(F.col("text").rlike("^[ -~]*$")))
+# The machine's texts are the human ones with three letters for others that occur nowhere: what holds one of the three can
+# match nothing, so the cheapest alignment is one for one, and SQL can count the edits without a distance. Words that are
+# left out of the human texts are insertions.
+def _read(seg: DataFrame) -> DataFrame:
+    norm = T.normalize(F.col("text"))
+    return seg.withColumn("ref", norm).withColumn("hyp", F.translate(norm, "esn", "þđŋ")).where("ref <> ''")
 
 
-def _read(seg: DataFrame) -> DataFrame:
-    return seg.withColumn("ref", F.translate(T.normalize(F.col("text")), "esn", "xyz")).withColumn("hyp", T.normalize(F.col("text"))).where("hyp <> ''")
+_READ = f", q AS (SELECT rec_id, seg_idx, language, {_NORM.format('text')} AS ref FROM s), u AS (SELECT rec_id, seg_idx, language, unnest(string_split(ref, ' ')) AS h FROM q WHERE ref <> '')"
 
 
-@on_segments("char_error", f", q AS (SELECT rec_id, seg_idx, {_NORM.format('text')} AS hyp FROM s WHERE regexp_matches(text, '^[ -~]*$')) SELECT rec_id, seg_idx, levenshtein(translate(hyp, 'esn', 'xyz'), hyp) AS edits, length(hyp) AS n FROM q WHERE hyp <> ''")
+@on_segments("char_error", _READ + " SELECT rec_id, seg_idx, length(ref) - length(regexp_replace(ref, '[esn]', '', 'g')) AS edits, length(ref) AS n FROM q WHERE ref <> ''")
 def _(seg):
-    q = _ascii(seg)
-    return q.select("rec_id", "seg_idx", F.round(SC.char_error(F.col("ref"), F.col("hyp")) * F.length("ref")).cast("long").alias("edits"), F.length("hyp").cast("long").alias("n"))
+    q = _read(seg)
+    return q.select("rec_id", "seg_idx", F.round(SC.char_error(F.col("ref"), F.col("hyp")) * F.length("ref")).cast("long").alias("edits"), F.length("ref").cast("long").alias("n"))
 
 
-# substitutions only: words stand one for one, so SQL can count them
-@on_segments("word_error", f", q AS (SELECT rec_id, seg_idx, {_NORM.format('text')} AS hyp FROM s WHERE regexp_matches(text, '^[ -~]*$')), u AS (SELECT rec_id, seg_idx, unnest(string_split(hyp, ' ')) AS h FROM q WHERE hyp <> '') SELECT rec_id, seg_idx, count(*) AS n, count(*) FILTER (WHERE h <> upper(h)) AS wrong FROM u GROUP BY 1, 2")
+@on_segments("word_error", _READ + " SELECT rec_id, seg_idx, count(*) AS n, count(*) FILTER (WHERE regexp_matches(h, '[esn]')) AS wrong FROM u GROUP BY 1, 2")
 def _(seg):
-    q = _ascii(seg).withColumn("ref", F.upper("hyp"))
-    out = SC.word_error(q.select("rec_id", "seg_idx", "ref", "hyp"))
+    out = SC.word_error(_read(seg).select("rec_id", "seg_idx", "ref", "hyp"))
     return out.select("rec_id", "seg_idx", F.col("ref_words").cast("long").alias("n"), F.round(F.col("wer") * F.col("ref_words")).cast("long").alias("wrong"))
 
 
-@on_segments("score_pairs")
+_EDITS = "count(*) FILTER (WHERE NOT regexp_matches(h, '[esn]')) AS hits, count(*) FILTER (WHERE regexp_matches(h, '[esn]')) AS substitutions"
+
+
+@on_segments("edit_ops", _READ + f" SELECT rec_id, seg_idx, {_EDITS}, 0 AS deletions, 2::BIGINT AS insertions FROM u GROUP BY 1, 2")
 def _(seg):
-    return J.score(SE.load_sections(X.lines(seg)), seg.withColumn("text", F.translate("text", "s", "z")), RULES).drop("candidate")
+    ops = H.edit_ops(F.split("ref", " "), F.split(F.concat("hyp", F.lit(" ŋŋ ŋŋŋ")), " ")).alias("o")
+    return _read(seg).select("rec_id", "seg_idx", ops).select("rec_id", "seg_idx", "o.*")
 
 
-@on_segments("corpus_error")
+@on_segments(
+    "corpus_error",
+    _READ + """, e AS (SELECT language, count(*) AS n, count(*) FILTER (WHERE regexp_matches(h, '[esn]')) AS wrong FROM u GROUP BY 1), d AS (SELECT language, count(*) AS m FROM q WHERE ref <> '' GROUP BY 1)
+SELECT language, n + m AS ref_words, n AS hyp_words, (wrong + m)::DOUBLE / (n + m) AS wer, (wrong + m)::DOUBLE / (n + m) AS miss FROM e JOIN d USING (language)""",
+)
 def _(seg):
-    q = SC.word_error(_read(seg).select("rec_id", "language", "ref", "hyp"))
-    return SC.corpus_error(q, ["language"])
+    # the human texts have a word more
+    q = _read(seg).withColumn("ref", F.concat(F.lit("ŋŋŋ "), "ref"))
+    return SC.corpus_error(SC.word_error(q.select("rec_id", "language", "ref", "hyp")), ["language"])
+
+
+_SCORED = """, r AS (SELECT rec_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM s {0} GROUP BY 1), nn AS (SELECT rec_id, {1} AS ref FROM r),
+v AS (SELECT rec_id, unnest(string_split(ref, ' ')) AS h FROM nn WHERE ref <> ''), e AS (SELECT rec_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(h, '[esn]')) AS wrong FROM v GROUP BY 1)
+SELECT nn.rec_id, coalesce(e.n, 0) AS ref_words, coalesce(e.n, 0) AS hyp_words, coalesce(e.wrong, 0) AS wrong, length(ref) - length(regexp_replace(ref, '[esn]', '', 'g')) AS letters FROM nn LEFT JOIN e USING (rec_id)"""
+
+
+def _scores(out: DataFrame, seg: DataFrame) -> DataFrame:
+    size = seg.groupBy("rec_id").agg(F.length(T.normalize(SG.joined(["seg_idx"]))).alias("size"))
+    letters = F.round(F.coalesce(F.col("cer"), F.lit(0.0)) * F.col("size")).cast("long")
+    both = out.join(size, "rec_id")
+    return both.select("rec_id", F.col("ref_words").cast("long").alias("ref_words"), F.col("hyp_words").cast("long").alias("hyp_words"), F.col("substitutions").cast("long").alias("wrong"), letters.alias("letters"))
+
+
+def _misheard(seg: DataFrame) -> DataFrame:
+    return seg.withColumn("text", F.translate("text", "esn", "þđŋ"))
+
+
+@on_segments("score_cut", _SCORED.format("WHERE start_ds >= 100 AND start_ds < 900", _NORM.format("text")))
+def _(seg):
+    """Every third recording has no sections and is held against its whole transcript, which is the same stretch here."""
+    own = seg.where("start_ds >= 100 and start_ds < 900")
+    sections = own.where("rec_id % 3 <> 0").select("rec_id", F.col("seg_idx").alias("sec_idx"), "start", "end", "text")
+    raw = own.groupBy("rec_id").agg(SG.joined(["seg_idx"]).alias("text"))
+    out = J.score(sections, _misheard(seg), raw=raw, start=10, end=90)
+    return _scores(out, own)
+
+
+@on_segments("score_pairs")
+def _(seg):
+    return J.score(SE.load_sections(X.lines(seg)), seg.withColumn("text", F.translate("text", "s", "z")), RULES).drop("candidate")
 
 
 # paragraphs
@@ -422,6 +477,27 @@ def _(seg):
     return out.groupBy("rec_id").agg(F.count("*").alias("segments"), F.sum(ds("start")).alias("starts"), F.sum(T.word_count(F.col("text"))).alias("n"))
 
 
+@on_segments(
+    "recover",
+    _REGIONS
+    + """, wd AS (SELECT DISTINCT rg.rec_id, coalesce((SELECT max(end_ds) FROM s WHERE s.rec_id = rg.rec_id AND s.seg_idx % 4 <> 3 AND s.end_ds <= rg.start_ds + 0.5), 0) AS lo,
+ coalesce((SELECT min(start_ds) FROM s WHERE s.rec_id = rg.rec_id AND s.seg_idx % 4 <> 3 AND s.start_ds >= rg.end_ds - 0.5), total) AS hi FROM rg JOIN m USING (rec_id)),
+found AS (SELECT s.rec_id, s.start_ds, s.text FROM s JOIN wd ON wd.rec_id = s.rec_id AND s.start_ds >= lo AND s.start_ds < hi WHERE seg_idx % 4 = 3)
+SELECT rec_id, start_ds, text FROM s WHERE seg_idx % 4 <> 3 UNION ALL SELECT rec_id, start_ds, text FROM found""",
+)
+def _(seg):
+    recs = X.recordings(seg)
+    regions = J.recovery_regions(_recognized(seg), X.voice(seg), recs)
+    # the second recognizer hears what the first passed over, and half a second more on both sides
+    lost = X.with_words(seg).where("seg_idx % 4 = 3").select("rec_id", "seg_idx", F.col("start").alias("s"), "words")
+    spans = regions.select("rec_id", "region_idx", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    heard = spans.join(lost, "rec_id").where("s >= lo and s < hi").withColumn("clip_start", F.col("lo") - 0.5)
+    local = lambda w: F.struct((w["start"] - F.col("clip_start")).alias("start"), (w["end"] - F.col("clip_start")).alias("end"), F.concat(F.lit(" "), w["word"]).alias("word"))
+    noise = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.2).alias("end"), F.lit(" noise").alias("word")))
+    pieces = heard.select("rec_id", "region_idx", F.col("seg_idx").alias("piece_idx"), "clip_start", F.lit("x").alias("text"), F.lit(-0.2).alias("avg_logprob"), F.lit(1.5).alias("compression_ratio"), F.concat(noise, F.transform("words", local)).alias("words"))
+    return J.recover(_recognized(seg), regions, pieces, recs).select("rec_id", ds("start").alias("start_ds"), "text")
+
+
 # frames
 
 
@@ -479,6 +555,23 @@ def _(seg):
     return out.select("rec_id", F.col("unit_idx").cast("long").alias("unit_idx"), ds("left").alias("left_ds"), ds("right").alias("right_ds"), ds("pause").alias("pause_ds"))
 
 
+@on_segments(
+    "word_edges_with_sound",
+    X.WORDS
+    + _UNITS
+    + """, g AS (SELECT *, lead(start_ds) OVER w AS nx, lag(end_ds) OVER w AS pv FROM u WINDOW w AS (PARTITION BY rec_id ORDER BY unit_idx)),
+h AS (SELECT rec_id, unit_idx, start_ds, end_ds, CASE WHEN kind = 'word' AND nx - end_ds >= 5 THEN 10 * end_ds + 5 ELSE 10 * end_ds END AS right_cs, CASE WHEN start_ds - pv >= 5 AND pk = 'word' THEN 10 * start_ds - 5 ELSE 10 * start_ds END AS left_cs
+  FROM (SELECT *, lag(kind) OVER (PARTITION BY rec_id ORDER BY unit_idx) AS pk FROM g))
+SELECT rec_id, unit_idx, left_cs, right_cs, CASE WHEN lead(left_cs) OVER v IS NULL THEN 100 ELSE greatest(0, lead(left_cs) OVER v - right_cs) END::BIGINT AS pause_cs FROM h WINDOW v AS (PARTITION BY rec_id ORDER BY unit_idx)""",
+)
+def _(seg):
+    spoken = seg.where("seg_idx % 9 <> 4")  # Arabic segments have no words here, and no quiet beside them
+    gaps = X.quiet_gaps(seg).join(spoken.select("rec_id", ((F.col("start_ds") + 4 * F.col("n_words") - 0.5) / 10).alias("start")), ["rec_id", "start"], "left_semi")
+    out = CL.word_edges(_units(seg), X.recordings(seg), gaps)
+    cs = lambda c: F.round(F.col(c) * 100).cast("long")
+    return out.select("rec_id", F.col("unit_idx").cast("long").alias("unit_idx"), cs("left").alias("left_cs"), cs("right").alias("right_cs"), cs("pause").alias("pause_cs"))
+
+
 @on_segments(
     "speech_runs",
     _EDGES
@@ -532,11 +625,24 @@ def _(seg):
     return CL.median_rate(clips).select("rec_id", F.round("median", 4).alias("median"))
 
 
-@on_segments("review_reasons", " SELECT rec_id, seg_idx AS clip_idx, (rec_id + seg_idx) % 10 < 6 AS unsure, regexp_matches(text, '[A-Za-z]') AS latin, end_ds - start_ds + 0.3 < 18 OR end_ds - start_ds + 0.3 > 152 AS length, seg_idx % 7 = 0 AS recovered, seg_idx % 13 = 0 AS tight FROM s")
+@on_segments(
+    "review_reasons",
+    r""", t AS (SELECT *, CASE WHEN seg_idx % 5 = 1 THEN translate(text, 'abcdefghij', 'ايكةهأإىۃۓ') WHEN seg_idx % 5 = 2 THEN text || ' नमस्ते' WHEN seg_idx % 5 = 3 THEN text || ' ab cd ab cd ab cd' ELSE text END AS t, end_ds::DOUBLE / 10 + 0.03 - start_ds::DOUBLE / 10 AS d FROM s),
+r AS (SELECT *, length(replace(t, ' ', '')) / d AS rate FROM t), m AS (SELECT rec_id, median(rate) AS typical FROM r GROUP BY 1)
+SELECT rec_id, seg_idx AS clip_idx, (rec_id + seg_idx) % 10 < 6 AS unsure, regexp_matches(t, '[A-Za-z]') AS latin, regexp_matches(t, '[\x{0900}-\x{097F}]') AS devanagari, regexp_matches(t, '[\x{0629}\x{064A}\x{0643}\x{0649}\x{0625}\x{0623}]') AS arabic,
+ rate < typical * 0.5 OR rate > typical * 1.8 AS rate, end_ds - start_ds + 0.3 < 18 OR end_ds - start_ds + 0.3 > 152 AS length, seg_idx % 7 = 0 AS recovered, seg_idx % 13 = 0 AS tight, seg_idx % 5 = 3 OR len(list_filter(generate_series(1, len(string_split(t, ' ')) - 2), lambda i: string_split(t, ' ')[i] = string_split(t, ' ')[i + 1] AND string_split(t, ' ')[i] = string_split(t, ' ')[i + 2])) > 0
+  OR len(list_filter(generate_series(1, len(string_split(t, ' ')) - 5), lambda i: string_split(t, ' ')[i:i+1] = string_split(t, ' ')[i+2:i+3] AND string_split(t, ' ')[i:i+1] = string_split(t, ' ')[i+4:i+5])) > 0
+  OR len(list_filter(generate_series(1, len(string_split(t, ' ')) - 8), lambda i: string_split(t, ' ')[i:i+2] = string_split(t, ' ')[i+3:i+5] AND string_split(t, ' ')[i:i+2] = string_split(t, ' ')[i+6:i+8])) > 0
+  OR len(list_filter(generate_series(1, len(string_split(t, ' ')) - 11), lambda i: string_split(t, ' ')[i:i+3] = string_split(t, ' ')[i+4:i+7] AND string_split(t, ' ')[i:i+3] = string_split(t, ' ')[i+8:i+11])) > 0 AS repeated
+FROM r JOIN m USING (rec_id)""",
+)
 def _(seg):
-    out = CL.review_reasons(_as_clips(seg))
-    has = lambda start: F.exists("review", lambda r: r.rlike(start))
-    return out.select("rec_id", "clip_idx", has("^low").alias("unsure"), has("^Latin").alias("latin"), has("s long").alias("length"), has("^recovered").alias("recovered"), has("^no clear").alias("tight"))
+    kind, text = F.col("clip_idx") % 5, F.col("text")
+    mixed = F.when(kind == 1, F.translate(text, "abcdefghij", "ايكةهأإىۃۓ")).when(kind == 2, F.concat(text, F.lit(" नमस्ते"))).when(kind == 3, F.concat(text, F.lit(" ab cd ab cd ab cd"))).otherwise(text)
+    out = CL.review_reasons(_as_clips(seg).withColumn("text", mixed))
+    has = lambda start: F.exists("review", lambda r: r.startswith(start))
+    starts = {"unsure": "unsure", "latin": "has Latin", "devanagari": "has Devanagari", "arabic": "has letters of Arabic", "rate": "odd rate", "repeated": "says three", "length": "odd length", "recovered": "recovered", "tight": "hardly"}
+    return out.select("rec_id", "clip_idx", *(has(v).alias(k) for k, v in starts.items()))
 
 
 @on_segments("build_clips")
@@ -552,9 +658,9 @@ def _(seg):
 # scalar functions
 
 
-@query("normalize", X.ARABIC + f" SELECT rec_id, {_NORM.format('text')} AS text FROM a WHERE text NOT LIKE '%' || chr(160) || '%'")
+@query("normalize", X.ARABIC + f" SELECT rec_id, {_NORM.format('text')} AS text FROM a")
 def _(spark, d):
-    return X.arabic_text(spark, d).where(~F.col("text").contains(" ")).select("rec_id", T.normalize(F.col("text")).alias("text"))
+    return X.arabic_text(spark, d).select("rec_id", T.normalize(F.col("text")).alias("text"))
 
 
 @on_segments("tokens", r""" SELECT rec_id, seg_idx, array_to_string(list_filter(string_split(regexp_replace(text, '[،۔؟؛٫!?.,:;"''«»()\[\]{}—–\-…]', ' ', 'g'), ' '), lambda x: x <> ''), ' ') AS tokens FROM s""")
@@ -615,12 +721,6 @@ def _(seg):
     return seg.select("rec_id", "seg_idx", T.clip_file(T.safe_name(F.substring("text", 1, 20)), F.col("seg_idx")).alias("file"))
 
 
-@on_segments("edit_ops")
-def _(seg):
-    q = _read(seg)
-    return q.select("rec_id", "seg_idx", H.edit_ops(F.split("ref", " "), F.split("hyp", " ")).alias("o")).select("rec_id", "seg_idx", "o.*")
-
-
 # sources, sinks, state
 
 
@@ -634,41 +734,79 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def _write_files(spark: SparkSession, d: str) -> str:
-    """Saved-segments files, an object each: a partition of recordings a file, written by Spark."""
+def _write_files(spark: SparkSession, seg: DataFrame) -> str:
+    """Saved-segments files, one for each recording, as the recognizer leaves them."""
     path = _folder(spark)
     w = F.transform("words", lambda x: F.array(x["start"].cast("string"), x["end"].cast("string"), x["word"], x["prob"].cast("string")))
-    seg = X.with_words(X.segments(spark, d)).withColumn("words", w)
-    rows = seg.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("seg_idx", F.struct("start", "end", F.col("text"), "language", "avg_logprob", "words").alias("s")))).alias("x"))
-    obj = F.to_json(F.struct(F.col("rec_id").cast("string").alias("source"), F.lit("m").alias("model"), F.transform("x", lambda x: x["s"]).alias("segments")))
-    rows.select(F.regexp_replace(obj, "\n", " ").alias("value")).write.text(path)
+    rows = X.with_words(seg).withColumn("words", w).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("seg_idx", F.struct("start", "end", F.col("text"), "language", "avg_logprob", "words").alias("s")))).alias("x"))
+    files = rows.select(F.struct(F.col("rec_id").cast("string").alias("source"), F.lit("m").alias("model"), F.transform("x", lambda x: x["s"]).alias("segments")).alias("o"))
+    files.select("o.*").write.option("maxRecordsPerFile", 1).json(path)
     return path
 
 
 @query("read_segments", X.SEGMENTS + " SELECT rec_id, seg_idx, start_ds, end_ds, text, n_words FROM s")
 def _(spark, d):
-    from . import schemas
-
-    files = spark.read.schema(schemas.FILE).json(_write_files(spark, d)).select(F.col("source").cast("long").alias("rec_id"), "*")
-    _, out = RD.split_segments(files)
-    return out.select("rec_id", F.col("seg_idx").cast("long").alias("seg_idx"), ds("start").alias("start_ds"), ds("end").alias("end_ds"), "text", F.size("words").cast("long").alias("n_words"))
+    recordings, out = RD.read_segments(spark, _write_files(spark, X.segments(spark, d)))
+    named = recordings.select("rec_id", F.col("source").cast("long").alias("doc"))  # Spark names the files
+    return out.join(named, "rec_id").select(F.col("doc").alias("rec_id"), F.col("seg_idx").cast("long").alias("seg_idx"), ds("start").alias("start_ds"), ds("end").alias("end_ds"), "text", F.size("words").cast("long").alias("n_words"))
 
 
-@query("stream_corrected", X.SEGMENTS + PLAIN + f" SELECT rec_id, seg_idx, {_ruled('text')} AS text FROM pl")
+@query("stream_corrected", X.SEGMENTS + PLAIN + f" SELECT rec_id, start_ds, {_ruled('text')} AS text FROM pl")
 def _(spark, d):
-    from . import schemas
+    source, folder = _write_files(spark, plain(X.segments(spark, d))), _folder(spark)
+    for _ in range(2):  # the second run finds nothing new
+        stream_corrected(spark, source, f"{folder}/out", f"{folder}/state", RULES).awaitTermination()
+    recordings, _ = RD.read_segments(spark, source)
+    out = spark.read.schema("rec_id string, start double, text string").parquet(f"{folder}/out")
+    return out.join(recordings.select("rec_id", F.col("source").cast("long").alias("doc")), "rec_id").select(F.col("doc").alias("rec_id"), ds("start").alias("start_ds"), "text")
 
-    # one recording a row; the stream reads the folder once, and its checkpoint knows that
-    source, folder = _folder(spark), _folder(spark)
-    seg = plain(X.segments(spark, d))
-    rows = seg.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("seg_idx", F.struct("start", "end", "text", "language").alias("s")))).alias("x"))
-    rows.select(F.struct(F.col("rec_id").cast("string").alias("source"), F.transform("x", lambda x: x["s"]).alias("segments")).alias("o")).select("o.*").write.json(source)
-    files = spark.readStream.schema(schemas.FILE).json(source)
-    _, parts = RD.split_segments(files.select(F.col("source").cast("long").alias("rec_id"), "*"))
-    fixed = parts.withColumn("text", T.apply_corrections(F.col("text"), RULES)).where("text <> ''").select("rec_id", "start", "text")
-    fixed.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    out = spark.read.schema("rec_id long, start double, text string").parquet(f"{folder}/out")
-    return out.join(seg.select("rec_id", "seg_idx", ds("start").alias("k")), (out["rec_id"] == seg["rec_id"]) & (ds(out["start"]) == F.col("k"))).select(out["rec_id"], "seg_idx", out["text"])
+
+@on_segments("write_segments", " SELECT rec_id, seg_idx, start_ds, end_ds, text, language FROM s")
+def _(seg):
+    path = _folder(seg.sparkSession)
+    WR.write_segments(seg.limit(0), path)
+    WR.write_segments(seg, path)  # replaces what was there
+    return seg.sparkSession.read.schema(seg.schema).parquet(path).select("rec_id", "seg_idx", "start_ds", "end_ds", "text", "language")
+
+
+@on_segments("read_transcript_lines", " SELECT sum(1 + (seg_idx % 5 = 0)::INT)::BIGINT AS lines, sum(length(text))::BIGINT AS letters, count(*) FILTER (WHERE seg_idx % 5 = 0) AS headings FROM s GROUP BY rec_id")
+def _(seg):
+    path = _folder(seg.sparkSession)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\r\n")
+    X.lines(seg).groupBy("rec_id").agg(F.concat(F.lit("\ufeff"), text).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    lines = RD.read_transcript_lines(seg.sparkSession, path)
+    heading = K.heading_seconds(F.col("line")).isNotNull() & F.col("line").rlike("^[0-9:]+$")
+    return lines.groupBy("rec_id").agg(F.count("*").alias("lines"), F.sum(F.when(~heading, F.length("line")).otherwise(0)).alias("letters"), F.count_if(heading).alias("headings")).drop("rec_id")
+
+
+@on_segments("read_word_list", " SELECT DISTINCT split_part(text, ' ', 1) AS word FROM s WHERE NOT starts_with(text, '#')")
+def _(seg):
+    path = _folder(seg.sparkSession)
+    first = F.substring_index("text", " ", 1)
+    line = F.when(first.startswith("#"), first).otherwise(F.concat(F.lit(" "), first, F.lit("\t")))
+    seg.select(F.explode(F.array(line, F.lit("# a note"), F.lit(" "))).alias("value")).write.text(path)
+    return RD.read_word_list(seg.sparkSession, path)
+
+
+@on_segments("learn_summary", X.SECTIONS + _RULES + " SELECT 'sections' AS what, count(*) AS n FROM c5 UNION ALL SELECT 'used', count(*) FROM c5 WHERE regexp_matches(text, '[^،۔؟؛٫!?.,:;\"''«»()\\[\\]{}—–\\-… ]') UNION ALL SELECT 'rules', count(*) FROM rl")
+def _(seg):
+    sections = X.sections(seg)
+    return J.learn_summary(sections, SE.section_pairs(sections, seg), _rules(seg))
+
+
+@on_segments(
+    "export_clips",
+    f""", z AS (SELECT rec_id, greatest(floor(max(end_ds) * {X.SOUND_RATE} / 10) - 2 * {X.SOUND_RATE}, 1)::BIGINT AS samples FROM s GROUP BY 1),
+t AS (SELECT s.rec_id, seg_idx, text, floor(start_ds / 10.0 * {X.SOUND_RATE})::BIGINT AS a, floor((end_ds / 10.0 + 0.03) * {X.SOUND_RATE})::BIGINT AS b, samples FROM s JOIN z USING (rec_id) WHERE end_ds - start_ds + 0.3 BETWEEN 10 AND 200),
+k AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seg_idx) AS n FROM t WHERE least(b, samples) - a >= 0.9 * (b - a) AND least(b, samples) > a)
+SELECT 'talk' || rec_id || '_' || lpad(n::VARCHAR, 4, '0') || '.wav' AS file_name, text, 44 + 2 * (least(b, samples) - a) AS bytes FROM k""",
+)
+def _(seg):
+    items = _as_clips(seg).select("rec_id", F.col("clip_idx").alias("item_idx"), "start", "end", "text")
+    names = seg.select("rec_id").distinct().select("rec_id", F.concat(F.lit("talk"), "rec_id").alias("name"))
+    old = names.select(F.concat("name", F.lit("_0001.wav")).alias("file_name"), F.lit("old").alias("text"))
+    metadata, files, _ = J.export_clips(items, X.sound(seg, WR.CHUNK), names, old, overwrite=True, rate=X.SOUND_RATE)
+    return metadata.join(files, "file_name").select("file_name", "text", F.octet_length("wav").cast("long").alias("bytes"))
 
 
 @on_segments("parse_corrections", _RULES + ' SELECT wrong, "right", \'# \' || n AS note FROM rl')
@@ -702,7 +840,8 @@ def _(seg):
 @on_segments("render_review")
 def _(seg):
     clips, left, summary = J.make_clips(X.with_words(seg), X.recordings(seg), X.excludes(seg))
-    return WR.render_review(clips, left, summary)
+    named = X.recordings(seg).select("rec_id", F.concat(F.lit("/talks/"), "rec_id", F.lit(".mp3")).alias("source"))
+    return WR.render_review(clips, left, summary, named)
 
 
 @on_segments(

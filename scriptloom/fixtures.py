@@ -109,7 +109,7 @@ EXCLUDES = """, ex AS (SELECT DISTINCT rec_id, 100 AS lo, 300::DOUBLE AS hi FROM
 
 def probes(seg: DataFrame) -> DataFrame:
     at = seg.where("seg_idx % 6 = 0")
-    return at.select("rec_id", "seg_idx", F.when(F.col("seg_idx") % 12 == 0, "ar").otherwise("ur").alias("detected"), (F.col("seg_idx") % 10 / 10).alias("probability"), F.upper("text").alias("arabic_text"))
+    return at.select("rec_id", "seg_idx", F.when(F.col("seg_idx") % 12 == 0, "ar").otherwise("ur").alias("detected"), (F.col("seg_idx") % 10 / 10).alias("probability"), F.concat(F.lit("AR "), "text").alias("arabic_text"))
 
 
 def voice(seg: DataFrame) -> DataFrame:
@@ -133,3 +133,24 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES = """WITH f AS (SELECT label AS rec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx,
   10 * log10(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * (((vec_id*37) % 50 + 1) / 50.0)) ** 2)) / len(embedding) + 1e-10) AS db FROM embeddings WHERE embedding IS NOT NULL)"""
+
+
+def quiet_gaps(seg: DataFrame) -> DataFrame:
+    """Quiet stretches between segments half a second apart or more, a twentieth of a second short of both."""
+    words = F.col("start_ds") + 4 * F.col("n_words") - 1  # where the last word ends
+    at = seg.select("rec_id", ((words + 0.5) / 10).alias("start"), ((F.lead("start_ds").over(W.partitionBy("rec_id").orderBy("seg_idx")) - 0.5) / 10).alias("end"))
+    return at.where("end - start > 0.35")
+
+
+#: Samples a second of the derived sound.
+SOUND_RATE = 20
+
+
+def sound(seg: DataFrame, chunk: int) -> DataFrame:
+    """Samples of each recording by formula, up to two seconds before its end, in rows of ``chunk``."""
+    n = F.greatest((F.max("end_ds") * SOUND_RATE / 10).cast("int") - 2 * SOUND_RATE, F.lit(1))
+    total = seg.groupBy("rec_id").agg(n.alias("n"))
+    rows = total.select("rec_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("chunk_idx"))
+    first = F.col("chunk_idx") * chunk
+    value = lambda i: F.pmod(F.col("rec_id") * 7 + i * 13, F.lit(2001)).cast("int") - 1000
+    return rows.select("rec_id", "chunk_idx", F.transform(F.sequence(first, F.least(first + chunk, F.col("n")) - 1), lambda i: value(i).cast("smallint")).alias("samples"))

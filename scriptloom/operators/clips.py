@@ -19,6 +19,10 @@ MIN_EXPORT, MAX_EXPORT = 1.0, 20.0
 FRAMES, MIN_QUIET = 100, 8
 
 
+#: Why something was left out.
+LEFT_ARABIC, LEFT_INVENTED, LEFT_EXCLUDED, LEFT_TRIMMED = "an Arabic passage", "made up by the recognizer", "in an excluded range", "runs into what was left out"
+
+
 def _along() -> WindowSpec:
     return W.partitionBy("rec_id").orderBy("unit_idx")
 
@@ -134,7 +138,7 @@ def speech_runs(edged: DataFrame, exclude: DataFrame) -> tuple[DataFrame, DataFr
     at = at.withColumn("run_id", F.sum(F.col("begins").cast("int")).over(_along()))
     run = W.partitionBy("rec_id", "run_id").orderBy("unit_idx")
     runs = at.where(~F.col("barrier")).withColumns({"open_start": F.first("from_open").over(run), "open_end": F.last("to_open").over(run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    reason = F.when(F.col("kind") == "arabic", "Arabic (Quran verse or dua)").when(F.col("kind") == "invented", "text the recognizer often invents").otherwise("inside an --exclude range")
+    reason = F.when(F.col("kind") == "arabic", LEFT_ARABIC).when(F.col("kind") == "invented", LEFT_INVENTED).otherwise(LEFT_EXCLUDED)
     out = at.where("barrier").select("rec_id", "start", "end", reason.alias("reason"), F.trim("text").alias("text"))
     return runs.select(*edged.columns, "run_id", "open_start", "open_end", "before", "has_before"), out
 
@@ -156,7 +160,7 @@ def trim_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     back = F.col("open_end") & (F.col("last_pause") < CLEAR) & F.coalesce((F.col("last_end") - F.col("tail_start") <= TRIM) & (F.col("unit_idx") > F.col("tail")), F.lit(False)) & ~F.col("front")
     at = at.withColumn("back", back)
     dropped = at.where("front or back").groupBy("rec_id", "run_id", "front").agg(F.min_by("start", "unit_idx").alias("start"), F.max_by("end", "unit_idx").alias("end"), F.sort_array(F.collect_list(F.struct("unit_idx", F.trim("text").alias("t")))).alias("w"))
-    out = dropped.select("rec_id", "start", "end", F.lit("next to a left-out passage with no clear pause").alias("reason"), F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("text"))
+    out = dropped.select("rec_id", "start", "end", F.lit(LEFT_TRIMMED).alias("reason"), F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("text"))
     return at.where("not front and not back").select(*runs.columns), out
 
 
@@ -245,15 +249,15 @@ def review_reasons(clips: DataFrame) -> DataFrame:
     fixed = lambda c, n: F.format_string(f"%.{n}f", c)
     sure = F.when(F.col("prob").isNotNull(), fixed(F.col("prob"), 2)).otherwise(F.concat(F.lit("log "), fixed(F.col("logprob"), 2)))
     reasons = F.array(
-        F.when((F.col("prob") < 0.6) | (F.col("logprob") < -0.6), F.concat(F.lit("low confidence ("), sure, F.lit(")"))),
-        F.when(X.has_latin(text), "Latin letters (write English words in Urdu script)"),
-        F.when(X.has_devanagari(text), "Hindi (Devanagari) letters"),
-        F.when(X.has_arabic_letters(text), "Arabic letters (an Arabic passage that was not detected?)"),
-        F.when((typical > 0) & ~rate.between(typical * 0.5, typical * 1.8), F.concat(F.lit("speaking rate "), fixed(rate, 1), F.lit(" chars/s vs typical "), fixed(typical, 1), F.lit(" (text may not match audio)"))),
-        F.when(X.repeated_phrase(text).isNotNull(), F.concat(F.lit('repeated phrase "'), X.repeated_phrase(text), F.lit('"'))),
-        F.when(~d.between(1.8, 15.2), F.concat(fixed(d, 1), F.lit("s long (aim for 2-15 s)"))),
-        F.when(F.col("recovered"), "recovered in the second pass (no word timings; check the ends)"),
-        F.when(F.size("tight") > 0, F.concat(F.lit("no clear pause at the "), F.array_join("tight", " and "), F.lit("; check that no word is cut"))),
+        F.when((F.col("prob") < 0.6) | (F.col("logprob") < -0.6), F.concat(F.lit("unsure: "), sure)),
+        F.when(X.has_latin(text), "has Latin letters"),
+        F.when(X.has_devanagari(text), "has Devanagari letters"),
+        F.when(X.has_arabic_letters(text), "has letters of Arabic, not of Urdu"),
+        F.when((typical > 0) & ~rate.between(typical * 0.5, typical * 1.8), F.concat(F.lit("odd rate: "), fixed(rate, 1), F.lit(" letters a second, where "), fixed(typical, 1), F.lit(" are usual"))),
+        F.when(X.repeated_phrase(text).isNotNull(), F.concat(F.lit("says three times: "), X.repeated_phrase(text))),
+        F.when(~d.between(1.8, 15.2), F.concat(F.lit("odd length: "), fixed(d, 1), F.lit(" s"))),
+        F.when(F.col("recovered"), "recovered, without times of words"),
+        F.when(F.size("tight") > 0, F.concat(F.lit("hardly a pause at its "), F.array_join("tight", " and its "))),
     )
     return clips.withColumn("review", F.array_compact(reasons)).drop("median")
 

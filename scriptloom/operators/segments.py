@@ -71,6 +71,12 @@ def apply_exclude(segments: DataFrame, ranges: DataFrame) -> DataFrame:
     return flag_overlaps(segments, ranges, "__out").where(~F.col("__out")).drop("__out")
 
 
+def cut_totals(recordings: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Recordings whose ``total`` ends where a range that is excluded to the end begins; others as they are."""
+    ends = ranges.where(F.col("end") == float("inf")).groupBy("rec_id").agg(F.min(F.greatest("start", F.lit(0.0))).alias("__cut"))
+    return recordings.join(ends, "rec_id", "left").withColumn("total", F.least("total", "__cut")).drop("__cut")
+
+
 def filter_recovered(pieces: DataFrame, regions: DataFrame) -> DataFrame:
     """Pieces recognized once more, cut to their region: sure enough, not made up, words whose middle lies inside."""
     at = pieces.where("compression_ratio <= 2.4 and avg_logprob >= -1.0").where(~X.is_invented(F.col("text"))).join(regions.select("rec_id", "region_idx", F.col("start").alias("lo"), F.col("end").alias("hi"), "total"), ["rec_id", "region_idx"])

@@ -41,15 +41,21 @@ def render_clip_tsv(clips: DataFrame) -> DataFrame:
     return clips.select("rec_id", "clip_idx", F.concat_ws("\t", K.clock(F.col("start")), K.clock(F.col("end")), "text").alias("line"))
 
 
-def render_review(clips: DataFrame, left_out: DataFrame, summary: DataFrame) -> DataFrame:
-    """``rec_id, text`` of review lists: counts, the clips to check, what was left out."""
+def render_review(clips: DataFrame, left_out: DataFrame, summary: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
+    """``rec_id, text`` of review lists: counts, the clips to check, what was left out.
+
+    recordings: ``rec_id, source``, for a title line with the file's name.
+    """
     spaced = F.format_string("#%-5d %s - %s  %s\n        %s", F.col("clip_idx") + 1, K.clock(F.col("start")), K.clock(F.col("end")), F.array_join("review", "; "), F.col("text"))
     span = F.concat(K.clock(F.col("start")), F.lit(" - "), K.clock(F.col("end")), F.lit("  "), F.col("reason"), F.when(F.col("text") != "", F.concat(F.lit(": "), F.col("text"))).otherwise(""))
     none = F.lit(0.0)
     head = F.format_string("%d clips, %.1f minutes of speech; %d to check, %d left out.", "clips", "minutes", "flagged", "left_out")
     title = lambda part, line: summary.select("rec_id", F.lit(part).alias("part"), none.alias("o"), F.lit(line).alias("line"))
     rows = summary.select("rec_id", F.lit(0).alias("part"), none.alias("o"), head.alias("line"))
-    rows = rows.unionByName(title(1, "\nCHECK THESE CLIPS (numbers match the SRT)")).unionByName(title(3, "\nLEFT OUT (not in the SRT)"))
+    if recordings is not None:
+        name = F.concat(F.lit("Review of "), F.element_at(F.split("source", "/"), -1), F.lit("; all times count from the start of that file"))
+        rows = rows.unionByName(recordings.join(summary.select("rec_id"), "rec_id").select("rec_id", F.lit(-1).alias("part"), none.alias("o"), name.alias("line")))
+    rows = rows.unionByName(title(1, "\nTo check, by the numbers of the subtitles:")).unionByName(title(3, "\nNot in the subtitles:"))
     rows = rows.unionByName(clips.where(F.size("review") > 0).select("rec_id", F.lit(2).alias("part"), F.col("clip_idx").cast("double").alias("o"), spaced.alias("line")))
     rows = rows.unionByName(left_out.select("rec_id", F.lit(4).alias("part"), F.col("start").alias("o"), span.alias("line")))
     return _together(rows, F.col("line"), ["part", "o"])
@@ -75,10 +81,10 @@ def render_vocabulary(vocab: DataFrame) -> DataFrame:
     return vocab.orderBy(F.desc("count"), "word").select(F.col("word").alias("line"))
 
 
-def metadata_rows(clips: DataFrame) -> DataFrame:
-    """``name, clip_idx, text`` of eligible clips to ``name, file_name, text``, numbered over those kept."""
+def metadata_rows(clips: DataFrame, *more: str) -> DataFrame:
+    """``name, clip_idx, text`` of eligible clips to ``name, file_name, text`` and ``more``, numbered over those kept."""
     number = F.row_number().over(W.partitionBy("name").orderBy("clip_idx"))
-    return clips.select("name", X.clip_file(F.col("name"), number).alias("file_name"), "text")
+    return clips.select("name", X.clip_file(F.col("name"), number).alias("file_name"), "text", *more)
 
 
 def merge_metadata(existing: DataFrame, clips: DataFrame, overwrite: bool = False) -> DataFrame:
