@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, stored, table
+from .common import give_back, short_batches, stored, table
 
 #: Bounds of the dictionary of frequent pieces that is sent to all tasks.
 MAX_PIECES = 500_000
@@ -318,7 +318,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int =
     # the driver keeps a file of it, not the value
     words = spark.sparkContext.broadcast(_dictionary(frequent.select("piece", encode(F.col("piece")).alias("ids")), tokens))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(tokens))
-    pa.default_memory_pool().release_unused()
+    give_back()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from functools import cache
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,13 @@ def release(*tables: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+def give_back() -> None:
+    """Return memory that this Python process has freed to the system, as far as its C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 BATCH_ROWS = 1000
 
 

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fifth, release, short_batches, stored, table
+from .common import fifth, give_back, release, short_batches, stored, table
 
 #: Hash buckets that n-grams are counted in, and their orders.
 BITS = 16
@@ -129,6 +129,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     columns pass; columns of these two names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    give_back()
 
     def judge(texts: pa.Array) -> pa.Array:
         m, best, score = sent.value, [], []

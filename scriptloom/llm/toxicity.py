@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fifth, short_batches, stored, table
+from .common import fifth, give_back, short_batches, stored, table
 from .wordhash import Words, chunks
 
 BITS = 18
@@ -224,7 +224,7 @@ def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS, ter
     row, bucket = _rows(got.column("on").combine_chunks())
     of_swap, changed, sign, swaps = _changes(_rows(got.column("swaps").combine_chunks())[1])
     del got
-    pa.default_memory_pool().release_unused()
+    give_back()
     weigh = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
     v, bias = np.zeros(DIM), float(np.log(rate / (1 - rate)))
     past, past_bias, speed = np.full(DIM, 1e-6), 1e-6, 0.3
