@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, embeddings, langid, licenses, simhash, toxicity, urlrules, warc
+from . import bpe, chat, decontam, embeddings, importance, langid, licenses, packing, search, simhash, toxicity, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_chat_format": chat.query,
     "op10_url_filter": urlrules.query,
+    "op11_importance_resampling": importance.query,
+    "op12_packing": packing.query,
+    "op13_ranked_search": search.query,
 }
-ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE, "op9_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE, "op9_chat_format": chat.ORACLE, "op11_importance_resampling": importance.ORACLE, "op13_ranked_search": search.ORACLE}
