@@ -196,26 +196,29 @@ class _Searcher:
                 self._merge(sorted(lists, key=lambda x: x[0]), ids, heap)
 
     def _merge(self, lists: list[tuple], ids: list[int], heap: list[tuple[int, int]]) -> None:
-        """One item's lists, those that can give least first."""
+        """One item's lists, those that can give least first.
+
+        The lists from ``lead`` on are merged. Those before can't reach the floor together, so they are only looked up; as the floor rises
+        in the course of the merge, lists leave it.
+        """
         most = list(accumulate(x[0] for x in lists))  # what a list and all before it can give at most
         floor = heap[0][0] if len(heap) == self.k else 1
-        lead = bisect_left(most, floor)  # the lists before can't reach the floor together
-        if lead == len(lists):
-            return
-        docs = [x[2].tolist() for x in lists[lead:]]
-        gains = [(x[3] * x[1]).tolist() for x in lists[lead:]]
-        looked = [None] * lead
-        place = [0] * len(docs)
-        front = [(d[0], i) for i, d in enumerate(docs)]
+        lead = bisect_left(most, floor)
+        docs, gains, looked = [None] * len(lists), [None] * len(lists), [None] * len(lists)
+        place, front = [0] * len(lists), []
+        for i in range(lead, len(lists)):
+            docs[i], gains[i] = lists[i][2].tolist(), (lists[i][3] * lists[i][1]).tolist()
+            front.append((docs[i][0], i))
         heapq.heapify(front)
         while front:
             now, score = front[0][0], 0
             while front and front[0][0] == now:
                 i = front[0][1]
-                score += gains[i][place[i]]
-                place[i] += 1
-                if place[i] < len(docs[i]):
-                    heapq.heapreplace(front, (docs[i][place[i]], i))
+                own, at = docs[i], place[i]
+                score += gains[i][at]
+                place[i] = at = at + 1
+                if at < len(own):
+                    heapq.heapreplace(front, (own[at], i))
                 else:
                     heapq.heappop(front)
             for j in range(lead - 1, -1, -1):
@@ -225,13 +228,19 @@ class _Searcher:
                     looked[j] = dict(zip(lists[j][2].tolist(), (lists[j][3] * lists[j][1]).tolist(), strict=True))
                 score += looked[j].get(now, 0)
             else:
-                if score >= floor:
-                    found = (score, -ids[now])
-                    if len(heap) < self.k:
-                        heapq.heappush(heap, found)
-                    elif found > heap[0]:
-                        heapq.heapreplace(heap, found)
-                    floor = heap[0][0] if len(heap) == self.k else 1
+                found = (score, -ids[now])
+                if score < floor:
+                    continue
+                if len(heap) < self.k:
+                    heapq.heappush(heap, found)
+                elif found > heap[0]:
+                    heapq.heapreplace(heap, found)
+                if len(heap) == self.k and heap[0][0] > floor:
+                    floor = heap[0][0]
+                    if most[lead] < floor:
+                        lead = bisect_left(most, floor)
+                        front = [x for x in front if x[1] >= lead]
+                        heapq.heapify(front)
 
 
 def search(index: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
