@@ -128,9 +128,9 @@ def _(seg):
     return SG.resolve_language(seg, X.probes(seg)).select("rec_id", "seg_idx", "text", "language")
 
 
-@on_segments("sparse_segments", " SELECT rec_id, seg_idx FROM s WHERE end_ds - start_ds + 60 > 40 AND n_words / ((end_ds - start_ds + 60) / 10.0) < 1.3")
+@on_segments("sparse_segments", " SELECT rec_id, seg_idx FROM s WHERE (end_ds - start_ds) * 2 > 40 AND n_words / ((end_ds - start_ds) * 2 / 10.0) < 1.3")
 def _(seg):
-    return SG.sparse_segments(seg.withColumn("end", F.col("end") + 6)).select("rec_id", "seg_idx")
+    return SG.sparse_segments(seg.withColumns({"start": F.col("start") * 2, "end": F.col("end") * 2})).select("rec_id", "seg_idx")
 
 
 @on_segments("slice_text", " SELECT rec_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM s WHERE start_ds >= 100 AND start_ds < 600 GROUP BY 1")
@@ -396,12 +396,12 @@ def _(seg):
 @on_segments(
     "paragraphs",
     PLAIN
-    + f""", r0 AS (SELECT rec_id, seg_idx, start_ds, end_ds, language, {_ruled("text")} AS text FROM pl), b AS (SELECT *, CASE WHEN lag(language) OVER w = language AND start_ds - lag(end_ds) OVER w <= 17 THEN 0 ELSE 1 END AS brk FROM r0 WINDOW w AS (PARTITION BY rec_id ORDER BY start_ds, seg_idx)),
+    + f""", r0 AS (SELECT rec_id, seg_idx, start_ds, end_ds, language, {_ruled("text")} AS text FROM pl), b AS (SELECT *, CASE WHEN lag(language) OVER w = language AND start_ds - lag(end_ds) OVER w <= 15 THEN 0 ELSE 1 END AS brk FROM r0 WINDOW w AS (PARTITION BY rec_id ORDER BY start_ds, seg_idx)),
 g AS (SELECT *, sum(brk) OVER (PARTITION BY rec_id ORDER BY start_ds, seg_idx) AS grp FROM b)
 SELECT rec_id, (grp - 1)::BIGINT AS par_idx, min(start_ds) AS start_ds, max(end_ds) AS end_ds, any_value(language) AS language, string_agg(text, ' ' ORDER BY seg_idx) || CASE WHEN any_value(language) = 'ur' THEN '۔' ELSE '' END AS text FROM g GROUP BY 1, 2""",
 )
 def _(seg):
-    out = PA.paragraphs(plain(seg), RULES, pause=1.7, max_words=1 << 30)
+    out = PA.paragraphs(plain(seg), RULES, max_words=1 << 30)
     return out.select("rec_id", F.col("par_idx").cast("long").alias("par_idx"), ds("start").alias("start_ds"), ds("end").alias("end_ds"), "language", "text")
 
 
@@ -410,11 +410,11 @@ def _(seg):
     PLAIN
     + """, x AS (SELECT *, len(string_split(text, ' ')) AS m, row_number() OVER (PARTITION BY rec_id ORDER BY start_ds, seg_idx) AS k FROM pl),
 g AS (WITH RECURSIVE r AS (SELECT rec_id, k, m AS held, end_ds, language, 0 AS p FROM x WHERE k = 1
-  UNION ALL SELECT x.rec_id, x.k, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 17 OR r.held > 110 THEN x.m ELSE r.held + x.m END, x.end_ds, x.language, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 17 OR r.held > 110 THEN r.p + 1 ELSE r.p END FROM r JOIN x ON x.rec_id = r.rec_id AND x.k = r.k + 1) SELECT * FROM r)
+  UNION ALL SELECT x.rec_id, x.k, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 15 OR r.held > 110 THEN x.m ELSE r.held + x.m END, x.end_ds, x.language, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 15 OR r.held > 110 THEN r.p + 1 ELSE r.p END FROM r JOIN x ON x.rec_id = r.rec_id AND x.k = r.k + 1) SELECT * FROM r)
 SELECT rec_id, p AS par_idx, max(held) AS n_words FROM g GROUP BY 1, 2""",
 )
 def _(seg):
-    out = PA.paragraphs(plain(seg), pause=1.7)
+    out = PA.paragraphs(plain(seg))
     return out.select("rec_id", F.col("par_idx").cast("int").alias("par_idx"), T.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
@@ -610,10 +610,10 @@ def _(seg):
 
 def _as_clips(seg: DataFrame) -> DataFrame:
     at = F.when(F.col("seg_idx") % 13 == 0, F.array(F.lit("end"))).otherwise(F.array().cast("array<string>"))
-    return seg.select("rec_id", F.col("seg_idx").alias("clip_idx"), "start", (F.col("end") + 0.03).alias("end"), "text", ((F.col("rec_id") + F.col("seg_idx")) % 10 / 10).alias("prob"), F.lit(-0.1).alias("logprob"), (F.col("seg_idx") % 7 == 0).alias("recovered"), at.alias("tight"))
+    return seg.select("rec_id", F.col("seg_idx").alias("clip_idx"), "start", "end", "text", ((F.col("rec_id") + F.col("seg_idx")) % 10 / 10).alias("prob"), F.lit(-0.1).alias("logprob"), (F.col("seg_idx") % 7 == 0).alias("recovered"), at.alias("tight"))
 
 
-@on_segments("split_eligible", " SELECT rec_id, seg_idx AS clip_idx, CASE WHEN end_ds - start_ds + 0.3 < 10 OR end_ds - start_ds + 0.3 > 200 THEN printf('%.1f', ((end_ds - start_ds) / 10.0 + 0.03)::DOUBLE) || 's is outside 1-20 s' END AS reason FROM s")
+@on_segments("split_eligible", " SELECT rec_id, seg_idx AS clip_idx, CASE WHEN end_ds - start_ds < 10 OR end_ds - start_ds > 200 THEN printf('%.1f', ((end_ds - start_ds) / 10.0)::DOUBLE) || 's is outside 1-20 s' END AS reason FROM s")
 def _(seg):
     good, bad = CL.split_eligible(_as_clips(seg))
     return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("rec_id", "clip_idx", F.replace("reason", F.lit(","), F.lit("")).alias("reason"))
@@ -627,10 +627,10 @@ def _(seg):
 
 @on_segments(
     "review_reasons",
-    r""", t AS (SELECT *, CASE WHEN seg_idx % 5 = 1 THEN translate(text, 'abcdefghij', 'ايكةهأإىۃۓ') WHEN seg_idx % 5 = 2 THEN text || ' नमस्ते' WHEN seg_idx % 5 = 3 THEN text || ' ab cd ab cd ab cd' ELSE text END AS t, end_ds::DOUBLE / 10 + 0.03 - start_ds::DOUBLE / 10 AS d FROM s),
+    r""", t AS (SELECT *, CASE WHEN seg_idx % 5 = 1 THEN translate(text, 'abcdefghij', 'ايكةهأإىۃۓ') WHEN seg_idx % 5 = 2 THEN text || ' नमस्ते' WHEN seg_idx % 5 = 3 THEN text || ' ab cd ab cd ab cd' ELSE text END AS t, (end_ds - start_ds)::DOUBLE / 10 AS d FROM s),
 r AS (SELECT *, length(replace(t, ' ', '')) / d AS rate FROM t), m AS (SELECT rec_id, median(rate) AS typical FROM r GROUP BY 1)
 SELECT rec_id, seg_idx AS clip_idx, (rec_id + seg_idx) % 10 < 6 AS unsure, regexp_matches(t, '[A-Za-z]') AS latin, regexp_matches(t, '[\x{0900}-\x{097F}]') AS devanagari, regexp_matches(t, '[\x{0629}\x{064A}\x{0643}\x{0649}\x{0625}\x{0623}]') AS arabic,
- rate < typical * 0.5 OR rate > typical * 1.8 AS rate, end_ds - start_ds + 0.3 < 18 OR end_ds - start_ds + 0.3 > 152 AS length, seg_idx % 7 = 0 AS recovered, seg_idx % 13 = 0 AS tight, seg_idx % 5 = 3 OR len(list_filter(generate_series(1, len(string_split(t, ' ')) - 2), lambda i: string_split(t, ' ')[i] = string_split(t, ' ')[i + 1] AND string_split(t, ' ')[i] = string_split(t, ' ')[i + 2])) > 0
+ rate < typical * 0.5 OR rate > typical * 1.8 AS rate, end_ds - start_ds < 18 OR end_ds - start_ds > 152 AS length, seg_idx % 7 = 0 AS recovered, seg_idx % 13 = 0 AS tight, seg_idx % 5 = 3 OR len(list_filter(generate_series(1, len(string_split(t, ' ')) - 2), lambda i: string_split(t, ' ')[i] = string_split(t, ' ')[i + 1] AND string_split(t, ' ')[i] = string_split(t, ' ')[i + 2])) > 0
   OR len(list_filter(generate_series(1, len(string_split(t, ' ')) - 5), lambda i: string_split(t, ' ')[i:i+1] = string_split(t, ' ')[i+2:i+3] AND string_split(t, ' ')[i:i+1] = string_split(t, ' ')[i+4:i+5])) > 0
   OR len(list_filter(generate_series(1, len(string_split(t, ' ')) - 8), lambda i: string_split(t, ' ')[i:i+2] = string_split(t, ' ')[i+3:i+5] AND string_split(t, ' ')[i:i+2] = string_split(t, ' ')[i+6:i+8])) > 0
   OR len(list_filter(generate_series(1, len(string_split(t, ' ')) - 11), lambda i: string_split(t, ' ')[i:i+3] = string_split(t, ' ')[i+4:i+7] AND string_split(t, ' ')[i:i+3] = string_split(t, ' ')[i+8:i+11])) > 0 AS repeated
@@ -797,7 +797,7 @@ def _(seg):
 @on_segments(
     "export_clips",
     f""", z AS (SELECT rec_id, greatest(floor(max(end_ds) * {X.SOUND_RATE} / 10) - 2 * {X.SOUND_RATE}, 1)::BIGINT AS samples FROM s GROUP BY 1),
-t AS (SELECT s.rec_id, seg_idx, text, floor(start_ds / 10.0 * {X.SOUND_RATE})::BIGINT AS a, floor((end_ds / 10.0 + 0.03) * {X.SOUND_RATE})::BIGINT AS b, samples FROM s JOIN z USING (rec_id) WHERE end_ds - start_ds + 0.3 BETWEEN 10 AND 200),
+t AS (SELECT s.rec_id, seg_idx, text, floor(start_ds * {X.SOUND_RATE} / 10)::BIGINT AS a, floor(end_ds * {X.SOUND_RATE} / 10)::BIGINT AS b, samples FROM s JOIN z USING (rec_id) WHERE end_ds - start_ds BETWEEN 10 AND 200),
 k AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seg_idx) AS n FROM t WHERE least(b, samples) - a >= 0.9 * (b - a) AND least(b, samples) > a)
 SELECT 'talk' || rec_id || '_' || lpad(n::VARCHAR, 4, '0') || '.wav' AS file_name, text, 44 + 2 * (least(b, samples) - a) AS bytes FROM k""",
 )
@@ -846,12 +846,12 @@ def _(seg):
 
 @on_segments(
     "merge_metadata",
-    """, q AS (SELECT rec_id, seg_idx, text, row_number() OVER (PARTITION BY rec_id ORDER BY seg_idx) AS n FROM s WHERE end_ds - start_ds + 0.3 BETWEEN 10 AND 200 AND rec_id % 2 = 0)
-SELECT 'talk' || rec_id || '_' || lpad(n::VARCHAR, 4, '0') || '.wav|' || text AS value FROM q UNION ALL SELECT 'talk' || rec_id || '_0001.wav|old' FROM s WHERE seg_idx = 0 AND (rec_id % 2 = 1 OR NOT EXISTS (SELECT 1 FROM q WHERE q.rec_id = s.rec_id))""",
+    """, q AS (SELECT rec_id, seg_idx, text, row_number() OVER (PARTITION BY rec_id ORDER BY seg_idx) AS n FROM s WHERE end_ds - start_ds BETWEEN 10 AND 200)
+SELECT 'talk' || rec_id || '_' || lpad(n::VARCHAR, 4, '0') || '.wav|' || text AS value FROM q UNION ALL SELECT 'talk' || rec_id || '_0001.wav|old' FROM s WHERE seg_idx = 0 AND NOT EXISTS (SELECT 1 FROM q WHERE q.rec_id = s.rec_id)""",
 )
 def _(seg):
     name = F.concat(F.lit("talk"), "rec_id")
-    clips = CL.split_eligible(_as_clips(seg).where("rec_id % 2 = 0"))[0].select(name.alias("name"), "clip_idx", "text")
+    clips = CL.split_eligible(_as_clips(seg))[0].select(name.alias("name"), "clip_idx", "text")
     old = seg.where("seg_idx = 0").select(F.concat(name, F.lit("_0001.wav")).alias("file_name"), F.lit("old").alias("text"))
     return WR.metadata_line(WR.merge_metadata(old, clips, overwrite=True))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import clock as K
 from ..functions import helpers as H
 from ..functions import text as X
 from .segments import flag_overlaps
@@ -108,7 +109,7 @@ def word_edges(units: DataFrame, recordings: DataFrame | None = None, quiet: Dat
     meet = edged.withColumn("meet", F.when(meets, middle))
     left = F.coalesce(F.lag("meet").over(_along()), F.col("left"))
     out = meet.withColumns({"right": F.coalesce("meet", "right"), "left": left})
-    gap = F.lead("left").over(_along()) - F.col("right")
+    gap = K.lasting(F.col("right"), F.lead("left").over(_along())) / 1000
     out = out.withColumn("pause", F.when(gap.isNotNull(), F.greatest(F.lit(0.0), gap)).otherwise(LONG_PAUSE))
     return out.select(*units.columns, "left", "right", "pause")
 
@@ -150,14 +151,14 @@ def trim_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     head = F.min(F.when(clear, F.col("unit_idx"))).over(whole)
     at = runs.withColumns({"first_idx": F.min("unit_idx").over(whole), "head": head})
     at = at.withColumns({"run_start": F.min_by("start", "unit_idx").over(whole), "head_end": F.max(F.when(F.col("unit_idx") == F.col("head"), F.col("end"))).over(whole), "run_before": F.max(F.when(F.col("unit_idx") == F.col("first_idx"), F.col("before"))).over(whole)})
-    front = F.col("open_start") & (F.col("run_before") < CLEAR) & F.coalesce((F.col("head_end") - F.col("run_start") <= TRIM) & (F.col("unit_idx") <= F.col("head")), F.lit(False))
+    front = F.col("open_start") & (F.col("run_before") < CLEAR) & F.coalesce((K.lasting(F.col("run_start"), F.col("head_end")) <= K.limit(TRIM)) & (F.col("unit_idx") <= F.col("head")), F.lit(False))
     at = at.withColumn("front", front)
     left = F.when(~F.col("front"), F.col("unit_idx"))
     last = F.max(left).over(whole)
     at = at.withColumn("last_idx", last)
     at = at.withColumns({"last_pause": F.max(F.when(F.col("unit_idx") == F.col("last_idx"), F.col("pause"))).over(whole), "last_end": F.max(F.when(F.col("unit_idx") == F.col("last_idx"), F.col("end"))).over(whole), "tail": F.max(F.when(clear & ~F.col("front") & (F.col("unit_idx") < F.col("last_idx")), F.col("unit_idx"))).over(whole)})
     at = at.withColumn("tail_start", F.min(F.when(F.col("unit_idx") > F.col("tail"), F.col("start"))).over(whole))
-    back = F.col("open_end") & (F.col("last_pause") < CLEAR) & F.coalesce((F.col("last_end") - F.col("tail_start") <= TRIM) & (F.col("unit_idx") > F.col("tail")), F.lit(False)) & ~F.col("front")
+    back = F.col("open_end") & (F.col("last_pause") < CLEAR) & F.coalesce((K.lasting(F.col("tail_start"), F.col("last_end")) <= K.limit(TRIM)) & (F.col("unit_idx") > F.col("tail")), F.lit(False)) & ~F.col("front")
     at = at.withColumn("back", back)
     dropped = at.where("front or back").groupBy("rec_id", "run_id", "front").agg(F.min_by("start", "unit_idx").alias("start"), F.max_by("end", "unit_idx").alias("end"), F.sort_array(F.collect_list(F.struct("unit_idx", F.trim("text").alias("t")))).alias("w"))
     out = dropped.select("rec_id", "start", "end", F.lit(LEFT_TRIMMED).alias("reason"), F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("text"))
@@ -194,9 +195,9 @@ def clip_stats(words: DataFrame, by: Sequence[str] = ("rec_id", "clip_idx"), ord
 
 def split_eligible(clips: DataFrame, min_s: float = MIN_EXPORT, max_s: float = MAX_EXPORT) -> tuple[DataFrame, DataFrame]:
     """Clips with text and of a fit length, and the others with a reason."""
-    d = F.col("end") - F.col("start")
-    length = F.concat(F.format_number(d, 1), F.lit(f"s is outside {min_s:g}-{max_s:g} s"))
-    judged = clips.withColumn("reason", F.when(F.col("text") == "", "no text").when(~d.between(min_s, max_s), length))
+    d = K.lasting(F.col("start"), F.col("end"))
+    length = F.concat(F.format_number(d / 1000, 1), F.lit(f"s is outside {min_s:g}-{max_s:g} s"))
+    judged = clips.withColumn("reason", F.when(F.col("text") == "", "no text").when(~d.between(K.limit(min_s), K.limit(max_s)), length))
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
@@ -225,8 +226,8 @@ def build_clips(segments: DataFrame, recordings: DataFrame, exclude: DataFrame,
     at = at.withColumn("span", F.aggregate(F.coalesce("__r", F.array().cast("array<struct<start:double,end:double>>")), F.struct(start.alias("start"), end.alias("end")), kept_out))
     tight = F.array_compact(F.array(F.when(F.col("a.has_before") & (F.col("a.before") < EDGE), "start"), F.when(F.col("z.pause") < EDGE, "end")))
     text = X.apply_corrections(F.col("text"), rules) if rules else X.squeeze(F.col("text"))
-    clips = at.select("rec_id", F.round("span.start", 2).alias("start"), F.round("span.end", 2).alias("end"), (F.col("span.end") - F.col("span.start")).alias("__d"), text.alias("text"), "prob", "logprob", "recovered", tight.alias("tight"))
-    reason = F.when(F.col("text") == "", "no text").when(F.col("__d") < MIN_EXPORT, F.concat(F.lit("too short ("), F.format_number("__d", 1), F.lit("s)")))
+    clips = at.select("rec_id", F.round("span.start", 2).alias("start"), F.round("span.end", 2).alias("end"), K.lasting(F.col("span.start"), F.col("span.end")).alias("__d"), text.alias("text"), "prob", "logprob", "recovered", tight.alias("tight"))
+    reason = F.when(F.col("text") == "", "no text").when(F.col("__d") < K.limit(MIN_EXPORT), F.concat(F.lit("too short ("), F.format_number(F.col("__d") / 1000, 1), F.lit("s)")))
     judged = clips.withColumn("reason", reason)
     number = F.row_number().over(W.partitionBy("rec_id").orderBy("start", "end", "text")) - 1
     good = judged.where("reason is null").drop("reason", "__d").withColumn("clip_idx", number)
@@ -238,13 +239,13 @@ def build_clips(segments: DataFrame, recordings: DataFrame, exclude: DataFrame,
 
 def median_rate(clips: DataFrame) -> DataFrame:
     """The exact median of the letters a second of a recording's clips: ``rec_id, median``."""
-    return clips.groupBy("rec_id").agg(F.median(X.speaking_rate(F.col("text"), F.col("end") - F.col("start"))).alias("median"))
+    return clips.groupBy("rec_id").agg(F.median(X.speaking_rate(F.col("text"), K.lasting(F.col("start"), F.col("end")) / 1000)).alias("median"))
 
 
 def review_reasons(clips: DataFrame) -> DataFrame:
     """Clips with ``review``: what to check, in a fixed order; an empty array for a clip that looks right."""
-    d, text = F.col("end") - F.col("start"), F.col("text")
-    rate, typical = X.speaking_rate(text, d), F.col("median")
+    d, text = K.lasting(F.col("start"), F.col("end")), F.col("text")
+    rate, typical = X.speaking_rate(text, d / 1000), F.col("median")
     clips = clips.withColumn("median", F.median(rate).over(W.partitionBy("rec_id")))
     fixed = lambda c, n: F.format_string(f"%.{n}f", c)
     sure = F.when(F.col("prob").isNotNull(), fixed(F.col("prob"), 2)).otherwise(F.concat(F.lit("log "), fixed(F.col("logprob"), 2)))
@@ -255,7 +256,7 @@ def review_reasons(clips: DataFrame) -> DataFrame:
         F.when(X.has_arabic_letters(text), "has letters of Arabic, not of Urdu"),
         F.when((typical > 0) & ~rate.between(typical * 0.5, typical * 1.8), F.concat(F.lit("odd rate: "), fixed(rate, 1), F.lit(" letters a second, where "), fixed(typical, 1), F.lit(" are usual"))),
         F.when(X.repeated_phrase(text).isNotNull(), F.concat(F.lit("says three times: "), X.repeated_phrase(text))),
-        F.when(~d.between(1.8, 15.2), F.concat(F.lit("odd length: "), fixed(d, 1), F.lit(" s"))),
+        F.when(~d.between(K.limit(1.8), K.limit(15.2)), F.concat(F.lit("odd length: "), fixed(d / 1000, 1), F.lit(" s"))),
         F.when(F.col("recovered"), "recovered, without times of words"),
         F.when(F.size("tight") > 0, F.concat(F.lit("hardly a pause at its "), F.array_join("tight", " and its "))),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
+from ..functions import clock as K
 from ..functions import text as X
 
 
@@ -29,7 +30,7 @@ def clean_segments(raw: DataFrame, recordings: DataFrame) -> DataFrame:
 def arabic_candidates(segments: DataFrame) -> DataFrame:
     """Segments of two seconds or more with Arabic letters or marks, or of low probability."""
     odd = X.has_arabic_only(F.col("text")) | (F.col("avg_logprob") < -0.6)
-    return segments.where(odd & (F.col("end") - F.col("start") >= 2.0))
+    return segments.where(odd & (K.lasting(F.col("start"), F.col("end")) >= K.limit(2.0)))
 
 
 def resolve_language(segments: DataFrame, probes: DataFrame) -> DataFrame:
@@ -41,8 +42,8 @@ def resolve_language(segments: DataFrame, probes: DataFrame) -> DataFrame:
 
 def sparse_segments(segments: DataFrame, longer: float = 4.0, least: float = 1.3) -> DataFrame:
     """Long segments with fewer words a second than speech has."""
-    seconds = F.col("end") - F.col("start")
-    return segments.where((seconds > longer) & (X.density(F.col("text"), seconds) < least))
+    long = K.lasting(F.col("start"), F.col("end"))
+    return segments.where((long > K.limit(longer)) & (X.density(F.col("text"), long / 1000) < least))
 
 
 def slice_text(df: DataFrame, start: float, end: float, order: str = "seg_idx") -> DataFrame:
