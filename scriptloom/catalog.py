@@ -269,7 +269,7 @@ def _(seg):
 def _rules(seg: DataFrame, alike: float | None = None) -> DataFrame:
     p = X.token_pairs(seg)
     ignore = seg.sparkSession.createDataFrame([("that",), ("oned",)], "word string")
-    return LE.select_rules(LE.best_fix(LE.fixes(p)), LE.seen(p), ignore, alike=alike)
+    return LE.select_rules(LE.alignment_counts(p), ignore=ignore, alike=alike)
 
 
 @on_segments("select_rules", _RULES + ' SELECT wrong, "right", n AS count, share FROM rl')
@@ -443,13 +443,26 @@ def _(seg):
     return RE.islands(bins, ["rec_id"], "bin", 5, 8)
 
 
-_REGIONS = _BINS + """, rg AS (SELECT rec_id, a AS start_ds, z + 1 AS end_ds, NULL::INT AS seg_idx FROM runs WHERE z - a + 1 >= 8 UNION ALL SELECT rec_id, start_ds, end_ds, seg_idx::INT FROM s WHERE FALSE)"""
+_REGIONS = _BINS + """, rg AS (SELECT rec_id, a AS start_ds, z + 1 AS end_ds, NULL::INT AS seg_idx FROM runs WHERE z - a + 1 >= 8)"""
 
 
-@on_segments("missed_regions", _REGIONS + " SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start_ds) - 1 AS region_idx, start_ds, end_ds FROM rg")
+@on_segments(
+    "missed_regions",
+    _REGIONS
+    + """, sp AS (SELECT * FROM rg UNION ALL SELECT rec_id, start_ds, end_ds, seg_idx::INT FROM s WHERE seg_idx % 4 <> 3 AND seg_idx % 5 = 2 AND end_ds - start_ds > 40 AND least(n_words, 2) / ((end_ds - start_ds) / 10.0) < 1.3)
+SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start_ds, seg_idx IS NOT NULL, seg_idx) - 1 AS region_idx, start_ds, end_ds, seg_idx FROM sp""",
+)
+def _(seg):
+    # of every fifth segment only the first two words were recognized
+    heard = seg.withColumn("text", F.when(F.col("seg_idx") % 5 == 2, F.substring_index("text", " ", 2)).otherwise(F.col("text")))
+    out = RE.missed_regions(_recognized(heard), X.voice(seg), X.recordings(seg))
+    return out.select("rec_id", F.col("region_idx").cast("long").alias("region_idx"), ds("start").alias("start_ds"), ds("end").alias("end_ds"), F.col("replaced_seg_idx").alias("seg_idx"))
+
+
+@on_segments("uncovered_stretches", _BINS + ", b AS (SELECT *, bin - row_number() OVER (PARTITION BY rec_id ORDER BY bin) AS g FROM u) SELECT rec_id, min(bin) AS first, max(bin) AS last FROM b GROUP BY rec_id, g")
 def _(seg):
-    out = RE.missed_regions(_recognized(seg), X.voice(seg), X.recordings(seg))
-    return out.select("rec_id", F.col("region_idx").cast("long").alias("region_idx"), ds("start").alias("start_ds"), ds("end").alias("end_ds"))
+    # neighbours that touch where a voice begins or ends are one stretch
+    return RE.bridged(RE.uncovered_stretches(_recognized(seg), X.voice(seg), X.recordings(seg)), ["rec_id"], 1)
 
 
 @on_segments(

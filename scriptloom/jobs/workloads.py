@@ -30,7 +30,7 @@ def learn(lines: DataFrame, segments: DataFrame, ignore: DataFrame | None = None
     sections = SE.merge_sections(SE.load_sections(lines), min_seconds)
     used = SE.section_pairs(sections, segments, limits)
     pairs = LE.align(used)
-    rules = LE.select_rules(LE.best_fix(LE.fixes(pairs)), LE.seen(pairs), ignore)
+    rules = LE.select_rules(LE.alignment_counts(pairs), ignore=ignore)
     return rules, LE.vocabulary(rules, LE.ref_words(used))
 
 

@@ -25,6 +25,18 @@ def fixes(pairs: DataFrame) -> DataFrame:
     return counted.where(X.normalize(F.col("wrong")) != X.normalize(F.col("right")))
 
 
+def alignment_counts(pairs: DataFrame) -> DataFrame:
+    """``wrong, right, count, seen``: of each machine form that was aligned at all, its best fix, if it has any, and how often it was seen.
+
+    One pass over the pairs, counted by both forms; tasks count first, so a word that is everywhere is a row a task. The
+    rest are sums over these counts.
+    """
+    counted = pairs.groupBy(F.col("model").alias("wrong"), F.col("ref").alias("right")).agg(F.count("*").alias("count"))
+    differs = X.normalize(F.col("wrong")) != X.normalize(F.col("right"))
+    best = counted.groupBy("wrong").agg(F.max(F.when(differs, F.struct("count", "right"))).alias("b"), F.sum("count").alias("seen"))
+    return best.select("wrong", "b.right", "b.count", "seen")
+
+
 def ref_words(sections: DataFrame) -> DataFrame:
     """How often each word stands in the human text of the sections used: ``word, count``."""
     return sections.select(F.explode("ref").alias("word")).groupBy("word").agg(F.count("*").alias("count"))
@@ -41,12 +53,13 @@ def without_ignored(rules: DataFrame, ignore: DataFrame) -> DataFrame:
     return rules.join(ignore.select(F.col("word").alias("wrong")), "wrong", "left_anti")
 
 
-def select_rules(best: DataFrame, seen_: DataFrame, ignore: DataFrame | None = None, min_count: int = 2, min_share: float = 0.6, alike: float | None = 0.5) -> DataFrame:
+def select_rules(best: DataFrame, seen_: DataFrame | None = None, ignore: DataFrame | None = None, min_count: int = 2, min_share: float = 0.6, alike: float | None = 0.5) -> DataFrame:
     """``wrong, right, count, share`` of the fixes that are frequent, sure, long and alike enough.
 
-    The dear test, of likeness, comes last, on the few that are left.
+    best: ``wrong, right, count``, with ``seen`` (of ``alignment_counts``) or with ``seen_`` beside it. The dear test, of likeness, comes last, on the few that are left.
     """
-    rules = best.where(F.col("count") >= min_count).join(seen_, "wrong").withColumn("share", F.col("count") / F.col("seen"))
+    rules = best.where(F.col("count") >= min_count)
+    rules = (rules if seen_ is None else rules.join(seen_, "wrong")).withColumn("share", F.col("count") / F.col("seen"))
     rules = rules.where((F.col("share") >= min_share) & (X.letters(F.col("wrong")) >= 3))
     if ignore is not None:
         rules = without_ignored(rules, ignore)
