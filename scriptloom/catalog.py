@@ -238,10 +238,22 @@ def _(seg):
     return SE.merge_sections(X.sections(seg), 60).select("rec_id", "sec_idx", ds("start").alias("start_ds"), F.coalesce(ds("end"), F.lit(-1)).alias("end_ds"), "text")
 
 
-@on_segments("aligned_pairs")
+@on_segments(
+    "aligned_pairs",
+    X.TOKEN_PAIRS
+    + """, x AS (SELECT *, (rec_id + pos) % 17 = 5 AS lost FROM tp), e AS (SELECT model, ref FROM x WHERE model = ref AND NOT lost),
+o AS (SELECT *, pos - row_number() OVER (PARTITION BY rec_id, seg_idx ORDER BY pos) AS run FROM x WHERE model <> ref OR lost),
+gr AS (SELECT rec_id, seg_idx, run, count(*) AS m, count(*) FILTER (WHERE NOT lost) AS r, string_agg(model, ' ' ORDER BY pos) AS ms, string_agg(ref, ' ' ORDER BY pos) FILTER (WHERE NOT lost) AS rs FROM o GROUP BY 1, 2, 3),
+pr AS (SELECT * FROM e UNION ALL SELECT model, ref FROM o JOIN gr USING (rec_id, seg_idx, run) WHERE m = r AND m <= 2 UNION ALL SELECT ms, rs FROM gr WHERE m = 2 AND r = 1) SELECT model, ref, count(*) AS count FROM pr GROUP BY 1, 2""",
+)
 def _(seg):
-    both = X.token_pairs(seg).groupBy("rec_id", "seg_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "model", "ref"))), lambda x: F.struct(x["model"], x["ref"])).alias("p"))
-    return LE.align(both.select(F.transform("p", lambda x: x["model"]).alias("model"), F.transform("p", lambda x: x["ref"]).alias("ref"))).groupBy("model", "ref").count()
+    # each word carries its place, so only one alignment is right; some words are missing in the human text
+    marked = lambda x, c: F.concat(x[c], F.lit("#"), x["pos"].cast("string"))
+    rows = X.token_pairs(seg).groupBy("rec_id", "seg_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "model", "ref"))).alias("p"))
+    heard = F.filter("p", lambda x: (F.col("rec_id") + x["pos"]) % 17 != 5)
+    out = LE.align(rows.select(F.transform("p", lambda x: marked(x, "model")).alias("model"), F.transform(heard, lambda x: marked(x, "ref")).alias("ref")))
+    bare = lambda c: F.regexp_replace(c, r"#\d+(?= |$)", "").alias(c)
+    return out.select(bare("model"), bare("ref")).groupBy("model", "ref").count()
 
 
 @on_segments("alignment_seen", X.TOKEN_PAIRS + " SELECT model AS wrong, count(*) AS seen FROM tp GROUP BY 1")
@@ -385,9 +397,17 @@ def _(seg):
     return _scores(out, own)
 
 
+@on_segments("anchored_error", _SCORED.format("", _NORM.format("text")))
+def _(seg):
+    """Whole recordings, in pieces."""
+    raw = seg.groupBy("rec_id").agg(SG.joined(["seg_idx"]).alias("text"))
+    none = X.sections(seg).where("rec_id is null")
+    return _scores(J.score(none, _misheard(seg), raw=raw, anchors=True), seg)
+
+
 @on_segments("score_pairs")
 def _(seg):
-    return J.score(SE.load_sections(X.lines(seg)), seg.withColumn("text", F.translate("text", "s", "z")), RULES).drop("candidate")
+    return J.score(SE.load_sections(X.lines(seg)), seg.withColumn("text", F.translate("text", "s", "z")), RULES, anchors=True).drop("candidate")
 
 
 # paragraphs

@@ -40,12 +40,13 @@ def learn_summary(sections: DataFrame, used: DataFrame, rules: DataFrame) -> Dat
     return one(sections, "sections").unionByName(one(used, "used")).unionByName(one(rules, "rules"))
 
 
-def score(sections: DataFrame, segments: DataFrame, rules: Rules | None = None, raw: DataFrame | None = None, plain: DataFrame | None = None, start: float = 0.0, end: float = float("inf")) -> DataFrame:
+def score(sections: DataFrame, segments: DataFrame, rules: Rules | None = None, raw: DataFrame | None = None, plain: DataFrame | None = None, start: float = 0.0, end: float = float("inf"), anchors: bool = False) -> DataFrame:
     """Scores of the machine's text of each recording against its human text, as far as it begins in [start, end).
 
     raw: ``rec_id, text`` of whole human transcripts; a recording without sections is held against all of it, and one
     whose sections all begin outside the cut against nothing. plain: further candidates ``rec_id, candidate, text``, not
-    from segments, which are neither cut nor corrected. Segments may have an ``offset`` column (else 0).
+    from segments, which are neither cut nor corrected. Segments may have an ``offset`` column (else 0). anchors: whether long texts
+    are cut where they agree (``scoring.anchored``).
     """
     human = sections.select("rec_id").distinct().join(slice_text(sections, start, end, "sec_idx"), "rec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     if raw is not None:
@@ -55,7 +56,7 @@ def score(sections: DataFrame, segments: DataFrame, rules: Rules | None = None,
     machine = machine.select("rec_id", F.lit("segments").alias("candidate"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("from_segments"))
     if plain is not None:
         machine = machine.unionByName(plain.select("rec_id", "candidate", "text", F.lit(False).alias("from_segments")))
-    return SC.score_pairs(human, machine, rules)
+    return SC.score_pairs(human, machine, rules, anchors)
 
 
 def make_clips(segments: DataFrame, recordings: DataFrame, exclude: DataFrame, rules: Rules = (), quiet: DataFrame | None = None, energies: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
