@@ -46,7 +46,7 @@ def corpus_error(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def anchored(texts: DataFrame) -> DataFrame:
     """``ref, hyp`` (normalized) and other columns to the same with ``piece``: both texts cut where they agree, in rows of their own.
 
-    Cuts are found in time in proportion to the words; a piece has some 2^16 to 2^20 pairs of words, and more only where no
+    Cuts are found in time in proportion to the words; a piece has some 2^13 to 2^17 pairs of words, and more only where no
     word or run of four words stands once on both sides. Pieces are dealt over tasks. An alignment through all cuts is as cheap as the cheapest unless that one
     passes by a cut; it is never cheaper.
     """
