@@ -105,7 +105,7 @@ PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 
 
 #: Code points of a delta of the derived log.
-DELTA = 120
+DELTA = 24
 
 
 def derived_log(turns: DataFrame) -> DataFrame:
