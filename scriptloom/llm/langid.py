@@ -22,8 +22,6 @@ ORDERS = (1, 2, 3)
 CELLS = 1 << 22
 #: Characters worked on at once.
 PIECE = 1 << 19
-#: The score (not the choice) takes a text's evidence for that of so many n-grams at most, so that it tells sure from doubtful.
-EVIDENCE = 200
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -110,22 +108,20 @@ def fit(labelled: DataFrame, smoothing: float = 0.1, cells: int = CELLS) -> Mode
     return Model(langs, np.log(n[size] / max(n[size].sum(), 1)), np.log(seen / seen.sum(axis=0)).astype(np.float32), shift)
 
 
-def log_likelihoods(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text, the log-probability of its n-grams in each language, and how many n-grams it has."""
-    total, grams = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts))
+def log_likelihoods(model: Model, texts: list[str]) -> np.ndarray:
+    """Of each text, the log-probability of its n-grams in each language."""
+    total = np.zeros((len(texts), len(model.langs)))
     for buckets, begins in _grams(texts):
         at = buckets >> model.shift
         for lang in range(len(model.langs)):
             total[:, lang] += np.add.reduceat(model.weight[:, lang][at].astype(np.float64), begins[:-1])
-        grams += np.diff(begins)
-    return total, grams
+    return total
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred, score``: the likeliest language, by all of the text; on a tie the first by name.
 
-    score: its probability if the text had EVIDENCE n-grams at most, of the same kind. A text that is null or has no
-    letter, and any text if no language was learned, is ``und`` with score 0. Repeated rows are judged alike. Other
+    score: its probability given all of the text, however long it is. A text that is null or has no letter, and any text if no language was learned, is ``und`` with score 0. Repeated rows are judged alike. Other
     columns pass; columns of these two names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -135,10 +131,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m, best, score = sent.value, [], []
         for _, run in _runs(texts):
             if m.langs:
-                total, grams = log_likelihoods(m, run)
-                top = (total + m.prior).argmax(axis=1)
-                less = total * np.minimum(1, EVIDENCE / np.maximum(grams, 1))[:, None] + m.prior
-                share = 1 / np.exp(np.minimum(less - less[np.arange(len(run)), top][:, None], 700)).sum(axis=1)
+                total = log_likelihoods(m, run) + m.prior
+                top = total.argmax(axis=1)
+                share = 1 / np.exp(total - total[np.arange(len(run)), top][:, None]).sum(axis=1)
             for i, t in enumerate(run):
                 known = bool(m.langs) and _LETTER.search(t) is not None
                 best.append(m.langs[top[i]] if known else UNKNOWN)
