@@ -89,8 +89,8 @@ def write(typed: DataFrame, path: str) -> None:
     records(typed).write.option("lineSep", GAP).text(path)
 
 
-CANDIDATE = "file string, split long, inside long, size long, skip long, length long, record_type string, record_id string, refers string, named_digest string, digest string"
-TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+CANDIDATE = "file string, split long, inside long, size long, body_key string, skip long, length long, record_type string, record_id string, refers string, named_digest string, digest string"
+TYPES = {"string": pa.string(), "long": pa.int64()}
 
 
 def _fields(head: bytes) -> dict[bytes, str]:
@@ -109,27 +109,29 @@ def _described(body: bytes) -> tuple:
     return end + 4, length, *(fields.get(f) for f in (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")), digest
 
 
-def _pieces(spark: SparkSession, path: str, columns: str, describe: Callable[[bytes], tuple]) -> DataFrame:
-    """Every piece from one version line to the next: ``file, split, inside, size`` and what ``describe`` says of its bytes.
-
-    inside: the sum of the sizes of the split's pieces before it.
-    """
+def _bodies(spark: SparkSession, path: str) -> DataFrame:
+    """``file, split, body, body_key`` of every piece from one version line to the next."""
     # the reader drops the version line, its separator; a file begins with one, so its first piece is empty
     rows = spark.read.option("lineSep", VERSION).text(path).select(F.col("value").cast("binary").alias("body"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
-    schema = pa.schema([(name, TYPES[kind]) for name, kind in map(str.split, columns.split(", "))])
+    return rows.withColumn("body_key", F.concat(F.md5("body"), F.octet_length("body").cast("string")))
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """``CANDIDATE`` of every piece. inside: the sum of the sizes of the split's pieces before it."""
+    schema = pa.schema([(name, TYPES[kind]) for name, kind in map(str.split, CANDIDATE.split(", "))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone: dict[tuple[str, int], int] = {}
         for batch in batches:
             out = []
-            for body, file, split in zip(batch.column("body"), batch.column("file").to_pylist(), batch.column("split").to_pylist(), strict=True):
+            for body, file, split, key in zip(batch.column("body"), *(batch.column(c).to_pylist() for c in ("file", "split", "body_key")), strict=True):
                 body = body.as_buffer().to_pybytes()
                 inside, size = gone.get((file, split), 0), len(body) + len(VERSION)
                 gone[file, split] = inside + size
-                out.append((file, split, inside, size, *describe(body)))
+                out.append((file, split, inside, size, key, *_described(body)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
-    return short_batches(rows).mapInArrow(emit, columns)
+    return short_batches(_bodies(spark, path)).mapInArrow(emit, CANDIDATE)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -138,7 +140,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     at: its place in the file; next: the place that its header gives its successor, null if it gives none. A piece's
     place is the sum of the sizes before it: a task sums along its split, a window along the splits of a file.
     """
-    found = stored(_pieces(spark, path, CANDIDATE, _described))
+    found = stored(_pieces(spark, path))
     sums = found.groupBy("file", "split").agg(F.sum("size").alias("total"))
     before = F.sum("total").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
     splits = sums.select("file", "split", F.coalesce(before, F.lit(0)).alias("base"))
@@ -181,15 +183,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # a record that holds version lines, and the pieces that they cut from it: each belongs to the last such record before it
     owner = F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(W.partitionBy("file").orderBy("at"))
     broken = stored(own.where("(real and digest is null) or real is null").withColumn("owner", owner).where("owner is not null"))
-    # their bytes are read once more; no others leave the archives
-    bytes_of = _pieces(spark, path, "file string, split long, inside long, size long, body binary", lambda body: (body,)).drop("size")
-    if broken.count() <= BROADCAST_ROWS:
-        parts = bytes_of.join(F.broadcast(broken), ["file", "split", "inside"])
-    else:
-        place = F.xxhash64("file", "split", "inside")
-        named = broken.withColumnsRenamed({c: f"__{c}" for c in ("file", "split", "inside")}).withColumn("place", F.xxhash64("__file", "__split", "__inside"))
-        parts = skew_join(bytes_of.withColumn("place", place), named, "place").where("file = __file and split = __split and inside = __inside")
-    parts = parts.withColumn("body", F.col("body").cast("string"))
+    # their bytes are read once more, no others leave the archives; they are known by size and digest, not by where a
+    # task reads them, as the files may be split otherwise by then
+    wanted = stored(broken.select("body_key").distinct())
+    again = _bodies(spark, path).select("body_key", "body")
+    again = again.join(F.broadcast(wanted), "body_key") if wanted.count() <= BROADCAST_ROWS else skew_join(again, wanted, "body_key")
+    bodies = again.groupBy("body_key").agg(F.first("body").alias("body"))
+    lost = F.raise_error(F.concat(F.lit("bytes are missing of a record in "), F.col("file"))).cast("binary")
+    parts = skew_join(broken, bodies.hint("merge"), "body_key", "left").withColumn("body", F.when(F.col("body").isNull(), lost).otherwise(F.col("body")).cast("string"))
     first = lambda c: F.max(F.when(F.col("real"), F.col(c))).alias(c)
     whole = parts.groupBy("file", "owner").agg(*map(first, ("skip", "length", "record_id", "refers", "record_type", "named_digest")), F.sort_array(F.collect_list(F.struct("at", "body"))).alias("parts"))
     bytes_ = F.array_join(F.transform("parts", lambda p: p["body"]), VERSION).cast("binary")
