@@ -64,14 +64,35 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, words))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """``tokens array<string>, label string`` to rules ``need array<string>, verdict, confidence, support, rarest``.
+def merged_tokens(baskets: DataFrame) -> DataFrame:
+    """``row, items`` to ``item, tokens array<string>, count``: tokens that occur in exactly the same rows are one item, named by the first.
+
+    A token's rows are known by their number and two sums of hashes of their ids. Tasks sum first, so a token of all rows is a row a task.
+    """
+    each = baskets.select("row", F.explode("items").alias("token"))
+    sums = [F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    rows = each.groupBy("token").agg(F.count("*").alias("count"), *sums)
+    alike = rows.groupBy("count", "s1", "s2").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    return alike.select(F.get("tokens", F.lit(0)).alias("item"), "tokens", "count")
+
+
+def mine_lists(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """``tokens array<string>, label string`` to rules ``need array<array<string>>, verdict, confidence, support, rarest``.
+
+    A URL meets a rule if it has a token of each list; tokens of one list occur in exactly the same labelled rows, so they are one item
+    for the mining: a template whose URLs share many tokens has one item set, not one for each choice of them.
 
     Rows without tokens or label teach nothing, repeated rows count each, no rows give no rules. A rule is idle, and left
     out, if it needs one token more than another that is as sure of the same verdict.
     """
     known = labelled.where("tokens is not null and label is not null")
-    baskets = stored(known.select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("label"))))).alias("items")))
+    items = F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("label")))))
+    rows = stored(known.select(items.alias("items")).withColumn("row", F.monotonically_increasing_id()))
+    frequent = F.col("count") >= F.lit(support) * rows.count()
+    merged = stored(merged_tokens(rows.withColumn("items", F.filter("items", lambda t: ~t.startswith("=")))).where(frequent))
+    named = rows.select("row", F.explode("items").alias("token")).join(merged.select("item", F.explode("tokens").alias("token")), "token", "left")
+    named = named.withColumn("item", F.coalesce("item", F.when(F.col("token").startswith("="), F.col("token")))).where("item is not null")
+    baskets = stored(named.groupBy("row").agg(F.collect_set("item").alias("items")).select("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     verdict = F.get("consequent", F.lit(0))
     rules = model.associationRules.where(verdict.startswith("=") & ~F.exists("antecedent", lambda t: t.startswith("=")))
@@ -81,10 +102,23 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     surer = rules.select(F.col("need").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     idle = less.join(surer, "part").where("v = verdict and c >= confidence").select("need", "verdict").distinct()
     kept = rules.join(idle, ["need", "verdict"], "left_anti")
-    # how often each token occurs, among those that rules need
-    seen = stored(baskets.select(F.explode("items").alias("token")).groupBy("token").count())
-    rarest = kept.select("need", F.explode("need").alias("token")).join(seen, "token").groupBy("need").agg(F.min(F.struct("count", "token"))["token"].alias("rarest"))
-    return stored(kept.join(rarest, "need"))
+    kept = kept.withColumn("rule", F.xxhash64("need", "verdict"))
+    each = kept.select("rule", F.explode("need").alias("item")).join(merged, "item")
+    lists = each.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("count", "tokens"))).alias("lists"))
+    tokens_ = F.transform("lists", lambda x: x["tokens"])
+    return stored(kept.join(lists, "rule").select(tokens_.alias("need"), "verdict", "confidence", "support", F.get("lists", F.lit(0))["tokens"].alias("rarest"), F.transform("lists", lambda x: x["count"]).alias("counts")))
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """``need array<string>, verdict, confidence, support, rarest``: the rules of ``mine_lists``, one for each choice of tokens."""
+
+    def chosen(done: Column, one: Column) -> Column:
+        return F.flatten(F.transform(done, lambda need: F.transform(one["tokens"], lambda t: F.array_append(need, F.struct(one["count"].alias("count"), t.alias("token"))))))
+
+    none = F.array(F.array().cast("array<struct<count:bigint,token:string>>"))
+    each = mine_lists(labelled, support, confidence).withColumn("lists", F.arrays_zip(F.col("need").alias("tokens"), F.col("counts").alias("count")))
+    each = each.withColumn("one", F.explode(F.aggregate("lists", none, chosen)))
+    return each.select(F.sort_array(F.transform("one", lambda x: x["token"])).alias("need"), "verdict", "confidence", "support", F.array_min("one")["token"].alias("rarest"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_rows: int = MAX_ROWS, default: str = ALLOW) -> DataFrame:
@@ -101,11 +135,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_rows: int = MAX
     judged = stored(each.select("*", fitting(rules, F.col("host"), F.col("path"), named).alias("rule"), fitting(rules, F.col("host"), F.col("path"), lambda r: r.verdict).alias("label"), tokens(F.col("host"), F.col("path")).alias("tokens")))
     known = judged.where("label is not null")
     share = min(1.0, max_rows / max(known.count(), 1))
-    mined = mine(known.where(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    mined = mine_lists(known.where(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 20)) < int(share * (1 << 20))))
     open_ = judged.where("label is null").select("page_id", "host", "path", "tokens", F.explode("tokens").alias("rarest"))
     # beyond the bound a shuffle, in which a token that many URLs have is split
-    met = open_.join(F.broadcast(mined), "rarest") if mined.count() <= BROADCAST_RULES else skew_join(open_, mined, "rarest")
-    met = met.where(F.size(F.array_except("need", "tokens")) == 0)
+    index = stored(mined.withColumn("rarest", F.explode("rarest")))
+    met = open_.join(F.broadcast(index), "rarest") if index.count() <= BROADCAST_RULES else skew_join(open_, index, "rarest")
+    met = met.where(F.forall("need", lambda tokens: F.arrays_overlap(tokens, F.col("tokens"))))
     best = met.groupBy("page_id", "host", "path").agg(F.max(F.struct("confidence", "support", F.col("verdict").alias("verdict")))["verdict"].alias("found"))
     key = [F.xxhash64("page_id", "host", "path").alias("__k")]
     left = judged.select("*", *key)

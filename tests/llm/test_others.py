@@ -209,3 +209,35 @@ def test_embeddings(spark):
     assert wrong <= 2 and all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
     assert [plain[len(vs) + k].n_links for k in range(6)] == [0] * 6
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_urls_that_share_many_tokens(spark):
+    # one template of 25 tokens in 40 rows, another that shares a few of them
+    template = [f"p:t{i}" for i in range(25)]
+    rows = [([*template, f"p:x{i}"], "block") for i in range(40)] + [(["h:org", "p:t0"], "allow")] * 300 + [(["h:com"], "block")] * 60
+    got = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    single = {tuple(r.need) for r in got.collect()}
+    assert single == {(t,) for t in template[1:]} | {("h:org",), ("h:com",)}
+    lists = urlrules.mine_lists(spark.createDataFrame(rows, "tokens array<string>, label string")).collect()
+    assert len(lists) == 3
+
+
+def test_warc_read_with_other_splits(spark, tmp_path, monkeypatch):
+    # payloads that hold version lines: their bytes are read once more, when the files are split otherwise
+    pages = [(i, f"http://a/{i}", ("x" * (37 * i % 500) + warc.VERSION + f"WARC-Type: response {i}\r\n\r\n") * (1 + i % 3)) for i in range(60)]
+    path = str(tmp_path / "warc")
+    warc.write(warc.with_types(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)), path)
+    key, bodies, calls = "spark.sql.files.maxPartitionBytes", warc._bodies, []
+
+    def other_splits(spark_, path_):
+        calls.append(1)
+        spark_.conf.set(key, "5000" if len(calls) == 1 else "1700")
+        return bodies(spark_, path_)
+
+    monkeypatch.setattr(warc, "_bodies", other_splits)
+    try:
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(spark, path).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert len(calls) == 2
+    assert got == {i: (len(h.encode()), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in pages}
