@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock as K
+from ..functions import folds
 from ..functions import helpers as H
 from ..functions import text as X
 from .segments import flag_overlaps
@@ -49,7 +50,7 @@ def make_units(segments: DataFrame) -> DataFrame:
     alone = marked.where(~F.col("many")).select("rec_id", "stretch", F.lit(0).alias("at"), *fields)
     order = F.struct("start", "seg_idx", "n", F.struct(*fields).alias("u"))
     lists = marked.where("many").groupBy("rec_id", "stretch").agg(F.sort_array(F.collect_list(order)).alias("s"))
-    solved = lists.select("rec_id", "stretch", F.posexplode(H.resolve_overlaps(F.transform("s", lambda x: x["u"]))).alias("at", "u")).select("rec_id", "stretch", "at", "u.*")
+    solved = lists.select("rec_id", "stretch", F.posexplode(folds.without_overlaps(F.transform("s", lambda x: x["u"]))).alias("at", "u")).select("rec_id", "stretch", "at", "u.*")
     number = F.row_number().over(W.partitionBy("rec_id").orderBy("stretch", "at")) - 1
     return alone.unionByName(solved).withColumn("unit_idx", number).select("rec_id", "unit_idx", *fields)
 

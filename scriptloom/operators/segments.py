@@ -20,7 +20,11 @@ def clean_segments(raw: DataFrame, recordings: DataFrame) -> DataFrame:
 
     Rows that begin in the last half second (a closing phrase made up) and rows without text go.
     """
-    at = raw.join(recordings.select("rec_id", "offset", "total"), "rec_id")
+    return cleaned(raw.join(recordings.select("rec_id", "offset", "total"), "rec_id"))
+
+
+def cleaned(at: DataFrame) -> DataFrame:
+    """The rows of ``clean_segments``, of segments that have the columns ``offset`` and ``total`` already."""
     start, end = F.col("start") + F.col("offset"), F.least(F.col("end") + F.col("offset"), F.col("total"))
     at = at.withColumn("text", F.regexp_replace("text", f"^{C.WS}+|{C.WS}+$", ""))
     at = at.where((start < F.col("total") - 0.5) & (F.col("text") != ""))

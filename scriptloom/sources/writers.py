@@ -14,6 +14,10 @@ from ..functions import clock as K
 from ..functions import helpers as H
 from ..functions import text as X
 
+# fixed values: the words of a document's first line, which readers of it look for
+MODEL_FAMILY, NOTICE = "Whisper ", "machine transcript, please verify"
+# end of fixed values
+
 RATE = 16_000
 #: Samples in a row of PCM, at least those of one clip and its start within a row.
 CHUNK = 30 * RATE
@@ -24,6 +28,16 @@ def write_segments(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("overwrite").format(form).save(path)
 
 
+def write_bucketed(df: DataFrame, name: str, buckets: int, path: str | None = None, order: tuple[str, ...] = ("start", "seg_idx")) -> None:
+    """Replace the table ``name`` (external if ``path`` is given): a file for each bucket of recordings, sorted inside.
+
+    What reads it recording by recording (paragraphs, units, sections with their segments) needs no exchange then, and
+    a million recordings are ``buckets`` files.
+    """
+    writer = df.repartition(buckets, "rec_id").write.mode("overwrite").format("parquet").bucketBy(buckets, "rec_id").sortBy("rec_id", *order)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def _together(df: DataFrame, line: Column, order: list[str], by: str = "rec_id", between: str = "\n") -> DataFrame:
     item = F.struct(*order, line.alias("__line"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["__line"]), between)
@@ -66,7 +80,7 @@ def render_document(recordings: DataFrame, paragraphs: DataFrame, timestamps: bo
     line = F.concat(F.lit("("), K.stamp(F.col("start")), F.lit(") "), F.col("text")) if timestamps else F.col("text")
     body = _together(paragraphs, line, ["par_idx"]).withColumnRenamed("text", "body")
     name = F.element_at(F.split("source", "/"), -1)
-    head = F.concat_ws(" | ", name, K.stamp(F.col("duration_seconds")), F.concat(F.lit("Whisper "), F.col("model")), F.substring("created", 1, 10), F.lit("machine transcript, please verify"))
+    head = F.concat_ws(" | ", name, K.stamp(F.col("duration_seconds")), F.concat(F.lit(MODEL_FAMILY), F.col("model")), F.substring("created", 1, 10), F.lit(NOTICE))
     return recordings.join(body, "rec_id", "left").select("rec_id", F.concat_ws("\n", head, "body").alias("text"))
 
 
@@ -120,3 +134,30 @@ def cut_clips(pcm: DataFrame, clips: DataFrame, rate: int = RATE) -> DataFrame:
             yield samples.map(lambda s: H.wav_bytes(np.asarray(s, np.int16), rate))
 
     return enough.select("rec_id", "clip_idx", wav("samples").alias("wav"))
+
+
+def cut_parts(pcm: DataFrame, clips: DataFrame, rate: int = RATE, chunk: int = CHUNK) -> DataFrame:
+    """``rec_id, clip_idx, part_idx, data binary``: WAV files of clips of any length, in parts that follow one another.
+
+    The first part begins with the header, and a part holds the samples of one row of ``pcm`` at most (``chunk`` samples), so no row grows
+    with the clip. A clip that lacks more than a tenth of its samples, or any between two that are there, goes.
+    """
+    first, last = F.floor(K.millis(F.col("start")) * rate / 1000), F.floor(K.millis(F.col("end")) * rate / 1000)
+    asks = clips.select("rec_id", "clip_idx", first.alias("first"), last.alias("last")).where("last > first")
+    each = asks.withColumn("chunk_idx", F.explode(F.sequence(F.floor(F.col("first") / chunk), F.floor((F.col("last") - 1) / chunk))))
+    base = F.col("chunk_idx") * chunk
+    lo, hi = F.greatest(F.col("first") - base, F.lit(0)), F.least(F.col("last") - base, F.size("samples").cast("long"))
+    parts = each.join(pcm, ["rec_id", "chunk_idx"]).where(hi > lo).withColumn("samples", F.slice("samples", (lo + 1).cast("int"), (hi - lo).cast("int")))
+    sizes = parts.groupBy("rec_id", "clip_idx").agg(F.sum(F.size("samples")).alias("total"), F.min("chunk_idx").alias("from"), F.max(F.struct("chunk_idx", F.size("samples").alias("n"))).alias("z"), F.count("*").alias("rows"), F.min("first").alias("a"))
+    # without a gap: what is there reaches from the start to the last sample that is there
+    reach = F.col("z.chunk_idx") * chunk + F.when(F.col("rows") > 1, F.col("z.n")).otherwise(F.col("z.n") + F.greatest(F.col("a") - F.col("z.chunk_idx") * chunk, F.lit(0))) - F.col("a")
+    whole = sizes.where(F.col("total") == reach).select("rec_id", "clip_idx", "total", "from")
+    kept = parts.join(whole, ["rec_id", "clip_idx"]).where(F.col("total") >= 0.9 * (F.col("last") - F.col("first")))
+
+    @F.pandas_udf("binary")
+    def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for samples, total in batches:
+            yield pd.Series([(b"" if pd.isna(n) else H.wav_header(int(n), rate)) + np.asarray(s, "<i2").tobytes() for s, n in zip(samples, total, strict=True)])
+
+    head = F.when(F.col("chunk_idx") == F.col("from"), F.col("total").cast("double"))
+    return kept.select("rec_id", "clip_idx", (F.col("chunk_idx") - F.col("from")).cast("int").alias("part_idx"), encoded("samples", head).alias("data"))
