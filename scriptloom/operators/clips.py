@@ -32,27 +32,30 @@ def _along() -> WindowSpec:
 def make_units(segments: DataFrame) -> DataFrame:
     """Segments to ``rec_id, unit_idx, start, end, text, kind, prob, logprob``: words, or whole segments without usable words.
 
-    Overlaps are resolved inside stretches that touch; stretches of one unit need nothing.
+    Overlaps are resolved inside stretches that touch; stretches of one unit need nothing. One exchange by recording,
+    and none if the segments are bucketed by it.
     """
     kind = F.when(F.col("language") == "ar", "arabic").when(X.is_invented(F.col("text")), "invented").when(F.coalesce(F.size("words"), F.lit(0)) <= 0, "recovered").otherwise("word")
     of = segments.select("rec_id", "seg_idx", "start", "end", "text", "words", F.col("avg_logprob").alias("logprob"), kind.alias("kind"))
-    none = F.lit(None).cast("double")
-    whole = of.where("kind <> 'word'").select("rec_id", "seg_idx", F.lit(0).alias("n"), "start", "end", "text", "kind", none.alias("prob"), "logprob")
-    words = of.where("kind = 'word'").select("rec_id", "seg_idx", F.posexplode("words").alias("n", "w"), "kind", "logprob").where(F.trim("w.word") != "")
-    words = words.select("rec_id", "seg_idx", "n", "w.start", F.greatest("w.end", F.col("w.start") + 0.02).alias("end"), F.col("w.word").alias("text"), "kind", "w.prob", "logprob")
-    units = whole.unionByName(words)
-    along = W.partitionBy("rec_id").orderBy("start", "seg_idx", "n")
-    reach = F.max("end").over(along.rowsBetween(W.unboundedPreceding, -1))
-    apart = F.coalesce(F.col("start") >= reach + 0.02, F.lit(True))
-    marked = units.withColumn("apart", apart).withColumn("stretch", F.sum(F.col("apart").cast("int")).over(along))
-    marked = marked.withColumn("many", F.count("*").over(W.partitionBy("rec_id", "stretch")) > 1)
     fields = ["start", "end", "text", "kind", "prob", "logprob"]
-    alone = marked.where(~F.col("many")).select("rec_id", "stretch", F.lit(0).alias("at"), *fields)
-    order = F.struct("start", "seg_idx", "n", F.struct(*fields).alias("u"))
-    lists = marked.where("many").groupBy("rec_id", "stretch").agg(F.sort_array(F.collect_list(order)).alias("s"))
-    solved = lists.select("rec_id", "stretch", F.posexplode(folds.without_overlaps(F.transform("s", lambda x: x["u"]))).alias("at", "u")).select("rec_id", "stretch", "at", "u.*")
+
+    def unit(n, start: Column, end: Column, text: Column, prob: Column) -> Column:
+        return F.struct(n.alias("n"), F.struct(start.alias("start"), end.alias("end"), text.alias("text"), F.col("kind").alias("kind"), prob.alias("prob"), F.col("logprob").alias("logprob")).cast(folds.UNIT).alias("u"))
+
+    whole = F.array(unit(F.lit(0), F.col("start"), F.col("end"), F.col("text"), F.lit(None).cast("double")))
+    timed = F.transform("words", lambda w, i: unit(i, w["start"], F.greatest(w["end"], w["start"] + folds.LEAST), w["word"], w["prob"]))
+    words = F.filter(timed, lambda x: F.trim(x["u"]["text"]) != "")
+    units = of.select("rec_id", "seg_idx", F.inline(F.when(F.col("kind") == "word", words).otherwise(whole)))
+    along = W.partitionBy("rec_id").orderBy("u.start", "seg_idx", "n")
+    reach = F.max("u.end").over(along.rowsBetween(W.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("u.start") >= reach + folds.LEAST, F.lit(True))
+    marked = units.withColumn("stretch", F.sum(apart.cast("int")).over(along))
+    order = F.struct(F.col("u.start").alias("start"), "seg_idx", "n", "u")
+    lists = marked.groupBy("rec_id", "stretch").agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["u"]).alias("s"))
+    solved = F.when(F.size("s") > 1, folds.without_overlaps(F.col("s"))).otherwise(F.col("s"))
+    rows = lists.select("rec_id", "stretch", F.posexplode(solved).alias("at", "u"))
     number = F.row_number().over(W.partitionBy("rec_id").orderBy("stretch", "at")) - 1
-    return alone.unionByName(solved).withColumn("unit_idx", number).select("rec_id", "unit_idx", *fields)
+    return rows.withColumn("unit_idx", number).select("rec_id", "unit_idx", *(f"u.{f}" for f in fields))
 
 
 def _in_quiet(edges: DataFrame, quiet: DataFrame) -> DataFrame:

@@ -31,8 +31,7 @@ def write_segments(df: DataFrame, path: str, form: str = "parquet") -> None:
 def write_bucketed(df: DataFrame, name: str, buckets: int, path: str | None = None, order: tuple[str, ...] = ("start", "seg_idx")) -> None:
     """Replace the table ``name`` (external if ``path`` is given): a file for each bucket of recordings, sorted inside.
 
-    What reads it recording by recording (paragraphs, units, sections with their segments) needs no exchange then, and
-    a million recordings are ``buckets`` files.
+    What reads it recording by recording (paragraphs, units of clips) needs no exchange then, and a million recordings are ``buckets`` files.
     """
     writer = df.repartition(buckets, "rec_id").write.mode("overwrite").format("parquet").bucketBy(buckets, "rec_id").sortBy("rec_id", *order)
     (writer.option("path", path) if path else writer).saveAsTable(name)

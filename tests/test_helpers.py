@@ -5,6 +5,9 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from scriptloom.functions import folds
 from scriptloom.functions import helpers as H
 
 
@@ -28,12 +31,15 @@ def test_edit_counts_are_cheapest():
         assert hits + subs + dels == len(a) and hits + subs + ins == len(b)
 
 
-def test_repaired_times():
-    assert H._repaired([3240, 323, 3360]) == [3240, 3323, 3360]  # 05:23 for 55:23
-    assert H._repaired([10, 5]) == [10, 3605]
-    assert H._repaired([10, 5, 20]) == [10, 15, 20]  # nothing fits: half-way
-    assert H._repaired([90000, 5]) == [90000, 90001]
-    assert H._repaired([]) == []
+def test_repaired_times(spark):
+    def repaired(times):
+        return spark.createDataFrame([(times,)], "t array<double>").select(folds.repaired_times(F.col("t")).alias("t")).first().t
+
+    assert repaired([3240.0, 323.0, 3360.0]) == [3240, 3323, 3360]  # 05:23 for 55:23
+    assert repaired([10.0, 5.0]) == [10, 3605]
+    assert repaired([10.0, 5.0, 20.0]) == [10, 15, 20]  # nothing fits: half-way
+    assert repaired([90000.0, 5.0]) == [90000, 90001]
+    assert repaired([]) == []
 
 
 def test_best_cuts_beat_every_other_cut():
@@ -66,12 +72,15 @@ def unit(start, end, kind="word"):
     return {"start": start, "end": end, "text": f" {kind}", "kind": kind, "prob": 0.5, "logprob": -0.1}
 
 
-def test_overlaps():
-    small = H._without_overlaps([unit(0.0, 1.0), unit(0.8, 2.0)])
+def test_overlaps(spark):
+    def without_overlaps(units):
+        return spark.createDataFrame([(units,)], f"u array<{folds.UNIT}>").select(folds.without_overlaps(F.col("u")).alias("u")).first().u
+
+    small = without_overlaps([unit(0.0, 1.0), unit(0.8, 2.0)])
     assert [(u["start"], u["end"]) for u in small] == [(0.0, 0.9), (0.9, 2.0)]
-    large = H._without_overlaps([unit(0.0, 1.0), unit(0.2, 2.0, "recovered")])
+    large = without_overlaps([unit(0.0, 1.0), unit(0.2, 2.0, "recovered")])
     assert [(u["start"], u["end"], u["kind"], u["prob"], u["text"]) for u in large] == [(0.0, 2.0, "recovered", None, " word recovered")]
-    words = H._without_overlaps([unit(0.0, 1.0), unit(0.2, 2.0)])
+    words = without_overlaps([unit(0.0, 1.0), unit(0.2, 2.0)])
     assert len(words) == 2 and words[0]["end"] == words[1]["start"] == 0.6
 
 
