@@ -447,10 +447,19 @@ def _(seg):
     return out.select("rec_id", F.col("par_idx").cast("int").alias("par_idx"), T.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
-@on_segments("rebuild_documents")
+@on_segments(
+    "rebuild_documents",
+    PLAIN
+    + f""", r0 AS (SELECT rec_id, seg_idx, start_ds, end_ds, language, {_ruled("text")} AS text FROM pl), x AS (SELECT *, len(string_split(text, ' ')) AS m, row_number() OVER (PARTITION BY rec_id ORDER BY start_ds, seg_idx) AS k FROM r0),
+g AS (WITH RECURSIVE r AS (SELECT rec_id, k, m AS held, end_ds, language, 0 AS p FROM x WHERE k = 1
+  UNION ALL SELECT x.rec_id, x.k, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 15 OR r.held > 110 THEN x.m ELSE r.held + x.m END, x.end_ds, x.language, CASE WHEN x.language <> r.language OR x.start_ds - r.end_ds > 15 OR r.held > 110 THEN r.p + 1 ELSE r.p END FROM r JOIN x ON x.rec_id = r.rec_id AND x.k = r.k + 1) SELECT * FROM r),
+y AS (SELECT x.rec_id, g.p, min(x.start_ds) AS start_ds, string_agg(x.text, ' ' ORDER BY x.k) || CASE WHEN any_value(x.language) = 'ur' THEN '۔' ELSE '' END AS text FROM x JOIN g ON g.rec_id = x.rec_id AND g.k = x.k GROUP BY 1, 2),
+b AS (SELECT rec_id, string_agg('(' || {_STAMP.format("start_ds")} || ') ' || text, chr(10) ORDER BY p) AS body FROM y GROUP BY 1), m AS (SELECT rec_id, max(end_ds) AS total FROM s GROUP BY 1)
+SELECT rec_id, concat_ws(chr(10), rec_id || '.mp3 | ' || {_STAMP.format("total")} || ' | Whisper m | 2024-01-02 | machine transcript, please verify', body) AS text FROM m LEFT JOIN b USING (rec_id)""",
+)
 def _(seg):
     recs = X.recordings(seg).select("rec_id", F.concat(F.lit("/talks/"), "rec_id", F.lit(".mp3")).alias("source"), F.col("total").alias("duration_seconds"), F.lit("m").alias("model"), F.lit("2024-01-02T03:04").alias("created"))
-    return J.rebuild_documents(recs, seg, RULES)
+    return J.rebuild_documents(recs, plain(seg), RULES)
 
 
 # skipped speech
@@ -627,22 +636,34 @@ def _(seg):
     return out.select("rec_id", F.col("unit_idx").cast("long").alias("unit_idx"), cs("left").alias("left_cs"), cs("right").alias("right_cs"), cs("pause").alias("pause_cs"))
 
 
-@on_segments(
-    "speech_runs",
+_RUNS = (
     _EDGES
     + X.EXCLUDES
     + """, z AS (SELECT e.*, kind = 'arabic' OR EXISTS (SELECT 1 FROM ex WHERE ex.rec_id = e.rec_id AND e.start_ds < hi AND e.end_ds > lo) AS barrier, lead(start_ds) OVER (PARTITION BY rec_id ORDER BY unit_idx) AS nx FROM e),
 y AS (SELECT z.*, NOT barrier AND nx IS NOT NULL AND EXISTS (SELECT 1 FROM ex WHERE ex.rec_id = z.rec_id AND z.end_ds < hi AND z.nx > lo) AS gap FROM z),
 x AS (SELECT *, lag(barrier OR pause_ds >= 10 OR gap) OVER w AS pe, coalesce(lag(barrier OR gap) OVER w, FALSE) AS fo, gap OR (coalesce(lead(barrier) OVER w, FALSE) AND pause_ds < 10) AS ot FROM y WINDOW w AS (PARTITION BY rec_id ORDER BY unit_idx)),
-q AS (SELECT *, sum(CASE WHEN NOT barrier AND coalesce(pe, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY unit_idx) AS run_id FROM x)
-SELECT rec_id, run_id::BIGINT AS run_id, count(*) AS n, min(unit_idx) AS first, arg_min(fo, unit_idx) AS open_start, arg_max(ot, unit_idx) AS open_end FROM q WHERE NOT barrier GROUP BY 1, 2""",
+q AS (SELECT *, sum(CASE WHEN NOT barrier AND coalesce(pe, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY unit_idx) AS run_id FROM x)"""
 )
+
+
+@on_segments("speech_runs", _RUNS + " SELECT rec_id, run_id::BIGINT AS run_id, count(*) AS n, min(unit_idx) AS first, arg_min(fo, unit_idx) AS open_start, arg_max(ot, unit_idx) AS open_end FROM q WHERE NOT barrier GROUP BY 1, 2")
 def _(seg):
     runs, _ = CL.speech_runs(CL.word_edges(_units(seg)), X.excludes(seg))
     return runs.groupBy("rec_id", "run_id").agg(F.count("*").alias("n"), F.min("unit_idx").cast("long").alias("first"), F.first("open_start").alias("open_start"), F.first("open_end").alias("open_end"))
 
 
-@on_segments("trim_runs")
+@on_segments(
+    "trim_runs",
+    _RUNS
+    + """, t0 AS (SELECT q.*, coalesce(lag(pause_ds) OVER (PARTITION BY rec_id ORDER BY unit_idx), 10) AS before FROM q),
+r AS (SELECT rec_id, run_id, arg_min(fo, unit_idx) AS opens, arg_max(ot, unit_idx) AS stays, arg_min(before, unit_idx) AS before, min(start_ds) AS a, min(unit_idx) FILTER (WHERE pause_ds >= 2) AS head, arg_min(end_ds, unit_idx) FILTER (WHERE pause_ds >= 2) AS head_end FROM t0 WHERE NOT barrier GROUP BY 1, 2),
+fr AS (SELECT q.*, stays, coalesce(opens AND r.before < 2 AND head_end - a <= 15 AND unit_idx <= head, FALSE) AS front FROM q JOIN r USING (rec_id, run_id) WHERE NOT barrier),
+lu AS (SELECT rec_id, run_id, max(unit_idx) AS last_idx, arg_max(pause_ds, unit_idx) AS last_pause, arg_max(end_ds, unit_idx) AS last_end FROM fr WHERE NOT front GROUP BY 1, 2),
+tl AS (SELECT fr.rec_id, fr.run_id, max(unit_idx) AS tail FROM fr JOIN lu USING (rec_id, run_id) WHERE pause_ds >= 2 AND NOT front AND unit_idx < last_idx GROUP BY 1, 2),
+ts AS (SELECT fr.rec_id, fr.run_id, any_value(tail) AS tail, min(start_ds) AS tail_start FROM fr JOIN tl USING (rec_id, run_id) WHERE unit_idx > tail GROUP BY 1, 2),
+bk AS (SELECT fr.*, coalesce(stays AND last_pause < 2 AND last_end - tail_start <= 15 AND unit_idx > tail AND NOT front, FALSE) AS back FROM fr LEFT JOIN lu USING (rec_id, run_id) LEFT JOIN ts USING (rec_id, run_id))
+SELECT rec_id, run_id::BIGINT AS run_id, count(*) AS n FROM bk WHERE NOT front AND NOT back GROUP BY 1, 2 UNION ALL SELECT rec_id, -1, count(*) FROM (SELECT DISTINCT rec_id, run_id, front FROM bk WHERE front OR back) GROUP BY 1""",
+)
 def _(seg):
     runs, _ = CL.speech_runs(CL.word_edges(_units(seg)), X.excludes(seg))
     kept, dropped = CL.trim_runs(runs)
