@@ -670,10 +670,23 @@ def _(seg):
     return kept.groupBy("rec_id", "run_id").agg(F.count("*").alias("n")).unionByName(dropped.groupBy("rec_id").agg(F.count("*").alias("n")).withColumn("run_id", F.lit(-1).cast("long")))
 
 
-@on_segments("best_cuts")
+# Dynamic programming by recursion: a step adds the cheapest way to end a clip at the next word of every run.
+_CUTS = (
+    _RUNS
+    + """, li AS (SELECT rec_id, run_id, list(start_ds ORDER BY unit_idx) AS lo, list(end_ds ORDER BY unit_idx) AS hi, list(pause_ds ORDER BY unit_idx) AS pa, list(regexp_matches(text, '(۔|؟|!|\\?|\\.|۔»)$') ORDER BY unit_idx) AS st FROM q WHERE NOT barrier GROUP BY 1, 2),
+dp AS (WITH RECURSIVE d(rec_id, run_id, k, best, back) USING KEY (rec_id, run_id) AS (SELECT rec_id, run_id, 0, [0.0::DOUBLE], []::BIGINT[] FROM li UNION
+  SELECT rec_id, run_id, k + 1, list_append(best, m.c), list_append(back, -m.n) FROM (SELECT rec_id, run_id, k, best, back, list_min(list_transform(list_filter(generate_series(greatest(1, k - 79), k + 1), lambda i: i = k + 1 OR hi[k + 1] - lo[i] <= 300), lambda i: {
+    'c': ((CASE WHEN hi[k + 1] - lo[i] < 10 THEN 60 WHEN hi[k + 1] - lo[i] < 20 THEN 25 + (2 - (hi[k + 1] - lo[i])::DOUBLE / 10) * 10 WHEN hi[k + 1] - lo[i] < 50 THEN (5 - (hi[k + 1] - lo[i])::DOUBLE / 10) * 0.8::DOUBLE WHEN hi[k + 1] - lo[i] <= 100 THEN 0 WHEN hi[k + 1] - lo[i] <= 150 THEN ((hi[k + 1] - lo[i])::DOUBLE / 10 - 10) * 0.6::DOUBLE ELSE 100 + ((hi[k + 1] - lo[i])::DOUBLE / 10 - 15) * 10 END)::DOUBLE
+      + (CASE WHEN k + 1 = len(lo) THEN 0 WHEN pa[k + 1] >= 3 THEN CASE WHEN st[k + 1] THEN 0 ELSE 1 END WHEN pa[k + 1] >= 2 THEN CASE WHEN st[k + 1] THEN 2 ELSE 3 END WHEN pa[k + 1] >= 1 THEN CASE WHEN st[k + 1] THEN 6 ELSE 8 END ELSE 25 END)::DOUBLE) + best[i], 'n': -i})) AS m FROM d JOIN li USING (rec_id, run_id) WHERE k < len(lo))) SELECT * FROM d),
+wk AS (WITH RECURSIVE v AS (SELECT rec_id, run_id, back, back[k] AS i, k::BIGINT AS j FROM dp UNION ALL SELECT rec_id, run_id, back, back[i - 1], i - 1 FROM v WHERE i > 1) SELECT rec_id, run_id, i, j FROM v),
+cu AS (SELECT *, row_number() OVER (PARTITION BY rec_id, run_id ORDER BY i) - 1 AS cut FROM wk)"""
+)
+
+
+@on_segments("best_cuts", _CUTS + " SELECT rec_id, run_id::BIGINT AS run_id, cut, j - i + 1 AS n FROM cu")
 def _(seg):
     runs, _ = CL.speech_runs(CL.word_edges(_units(seg)), X.excludes(seg))
-    return CL.cut_runs(runs).groupBy("rec_id", "run_id", "cut").agg(F.count("*").alias("n"))
+    return CL.cut_runs(runs).groupBy("rec_id", "run_id", F.col("cut").cast("long").alias("cut")).agg(F.count("*").alias("n"))
 
 
 @on_segments("clip_stats", X.WORDS + " SELECT rec_id, seg_idx, string_agg(word, ' ' ORDER BY word_idx) AS text, sum((rec_id + 13*seg_idx + 7*word_idx) % 100)::BIGINT AS cents, FALSE AS recovered FROM w GROUP BY 1, 2")
