@@ -652,8 +652,7 @@ def _(seg):
     return runs.groupBy("rec_id", "run_id").agg(F.count("*").alias("n"), F.min("unit_idx").cast("long").alias("first"), F.first("open_start").alias("open_start"), F.first("open_end").alias("open_end"))
 
 
-@on_segments(
-    "trim_runs",
+_TRIMMED = (
     _RUNS
     + """, t0 AS (SELECT q.*, coalesce(lag(pause_ds) OVER (PARTITION BY rec_id ORDER BY unit_idx), 10) AS before FROM q),
 r AS (SELECT rec_id, run_id, arg_min(fo, unit_idx) AS opens, arg_max(ot, unit_idx) AS stays, arg_min(before, unit_idx) AS before, min(start_ds) AS a, min(unit_idx) FILTER (WHERE pause_ds >= 2) AS head, arg_min(end_ds, unit_idx) FILTER (WHERE pause_ds >= 2) AS head_end FROM t0 WHERE NOT barrier GROUP BY 1, 2),
@@ -661,8 +660,14 @@ fr AS (SELECT q.*, stays, coalesce(opens AND r.before < 2 AND head_end - a <= 15
 lu AS (SELECT rec_id, run_id, max(unit_idx) AS last_idx, arg_max(pause_ds, unit_idx) AS last_pause, arg_max(end_ds, unit_idx) AS last_end FROM fr WHERE NOT front GROUP BY 1, 2),
 tl AS (SELECT fr.rec_id, fr.run_id, max(unit_idx) AS tail FROM fr JOIN lu USING (rec_id, run_id) WHERE pause_ds >= 2 AND NOT front AND unit_idx < last_idx GROUP BY 1, 2),
 ts AS (SELECT fr.rec_id, fr.run_id, any_value(tail) AS tail, min(start_ds) AS tail_start FROM fr JOIN tl USING (rec_id, run_id) WHERE unit_idx > tail GROUP BY 1, 2),
-bk AS (SELECT fr.*, coalesce(stays AND last_pause < 2 AND last_end - tail_start <= 15 AND unit_idx > tail AND NOT front, FALSE) AS back FROM fr LEFT JOIN lu USING (rec_id, run_id) LEFT JOIN ts USING (rec_id, run_id))
-SELECT rec_id, run_id::BIGINT AS run_id, count(*) AS n FROM bk WHERE NOT front AND NOT back GROUP BY 1, 2 UNION ALL SELECT rec_id, -1, count(*) FROM (SELECT DISTINCT rec_id, run_id, front FROM bk WHERE front OR back) GROUP BY 1""",
+bk AS (SELECT fr.*, coalesce(stays AND last_pause < 2 AND last_end - tail_start <= 15 AND unit_idx > tail AND NOT front, FALSE) AS back FROM fr LEFT JOIN lu USING (rec_id, run_id) LEFT JOIN ts USING (rec_id, run_id))"""
+)
+
+
+@on_segments(
+    "trim_runs",
+    _TRIMMED
+    + """ SELECT rec_id, run_id::BIGINT AS run_id, count(*) AS n FROM bk WHERE NOT front AND NOT back GROUP BY 1, 2 UNION ALL SELECT rec_id, -1, count(*) FROM (SELECT DISTINCT rec_id, run_id, front FROM bk WHERE front OR back) GROUP BY 1""",
 )
 def _(seg):
     runs, _ = CL.speech_runs(CL.word_edges(_units(seg)), X.excludes(seg))
@@ -671,19 +676,16 @@ def _(seg):
 
 
 # Dynamic programming by recursion: a step adds the cheapest way to end a clip at the next word of every run.
-_CUTS = (
-    _RUNS
-    + """, li AS (SELECT rec_id, run_id, list(start_ds ORDER BY unit_idx) AS lo, list(end_ds ORDER BY unit_idx) AS hi, list(pause_ds ORDER BY unit_idx) AS pa, list(regexp_matches(text, '(۔|؟|!|\\?|\\.|۔»)$') ORDER BY unit_idx) AS st FROM q WHERE NOT barrier GROUP BY 1, 2),
+_CUTS = """, li AS (SELECT rec_id, run_id, list(start_ds ORDER BY unit_idx) AS lo, list(end_ds ORDER BY unit_idx) AS hi, list(pause_ds ORDER BY unit_idx) AS pa, list(regexp_matches(text, '(۔|؟|!|\\?|\\.|۔»)$') ORDER BY unit_idx) AS st FROM {0} GROUP BY 1, 2),
 dp AS (WITH RECURSIVE d(rec_id, run_id, k, best, back) USING KEY (rec_id, run_id) AS (SELECT rec_id, run_id, 0, [0.0::DOUBLE], []::BIGINT[] FROM li UNION
-  SELECT rec_id, run_id, k + 1, list_append(best, m.c), list_append(back, -m.n) FROM (SELECT rec_id, run_id, k, best, back, list_min(list_transform(list_filter(generate_series(greatest(1, k - 79), k + 1), lambda i: i = k + 1 OR hi[k + 1] - lo[i] <= 300), lambda i: {
+  SELECT rec_id, run_id, k + 1, list_append(best, m.c), list_append(back, -m.n) FROM (SELECT rec_id, run_id, k, best, back, list_min(list_transform(list_filter(generate_series(greatest(1, k - 79), k + 1), lambda i: i = k + 1 OR hi[k + 1] - lo[i] <= 300), lambda i: {{
     'c': ((CASE WHEN hi[k + 1] - lo[i] < 10 THEN 60 WHEN hi[k + 1] - lo[i] < 20 THEN 25 + (2 - (hi[k + 1] - lo[i])::DOUBLE / 10) * 10 WHEN hi[k + 1] - lo[i] < 50 THEN (5 - (hi[k + 1] - lo[i])::DOUBLE / 10) * 0.8::DOUBLE WHEN hi[k + 1] - lo[i] <= 100 THEN 0 WHEN hi[k + 1] - lo[i] <= 150 THEN ((hi[k + 1] - lo[i])::DOUBLE / 10 - 10) * 0.6::DOUBLE ELSE 100 + ((hi[k + 1] - lo[i])::DOUBLE / 10 - 15) * 10 END)::DOUBLE
-      + (CASE WHEN k + 1 = len(lo) THEN 0 WHEN pa[k + 1] >= 3 THEN CASE WHEN st[k + 1] THEN 0 ELSE 1 END WHEN pa[k + 1] >= 2 THEN CASE WHEN st[k + 1] THEN 2 ELSE 3 END WHEN pa[k + 1] >= 1 THEN CASE WHEN st[k + 1] THEN 6 ELSE 8 END ELSE 25 END)::DOUBLE) + best[i], 'n': -i})) AS m FROM d JOIN li USING (rec_id, run_id) WHERE k < len(lo))) SELECT * FROM d),
+      + (CASE WHEN k + 1 = len(lo) THEN 0 WHEN pa[k + 1] >= 3 THEN CASE WHEN st[k + 1] THEN 0 ELSE 1 END WHEN pa[k + 1] >= 2 THEN CASE WHEN st[k + 1] THEN 2 ELSE 3 END WHEN pa[k + 1] >= 1 THEN CASE WHEN st[k + 1] THEN 6 ELSE 8 END ELSE 25 END)::DOUBLE) + best[i], 'n': -i}})) AS m FROM d JOIN li USING (rec_id, run_id) WHERE k < len(lo))) SELECT * FROM d),
 wk AS (WITH RECURSIVE v AS (SELECT rec_id, run_id, back, back[k] AS i, k::BIGINT AS j FROM dp UNION ALL SELECT rec_id, run_id, back, back[i - 1], i - 1 FROM v WHERE i > 1) SELECT rec_id, run_id, i, j FROM v),
 cu AS (SELECT *, row_number() OVER (PARTITION BY rec_id, run_id ORDER BY i) - 1 AS cut FROM wk)"""
-)
 
 
-@on_segments("best_cuts", _CUTS + " SELECT rec_id, run_id::BIGINT AS run_id, cut, j - i + 1 AS n FROM cu")
+@on_segments("best_cuts", _RUNS + _CUTS.format("q WHERE NOT barrier") + " SELECT rec_id, run_id::BIGINT AS run_id, cut, j - i + 1 AS n FROM cu")
 def _(seg):
     runs, _ = CL.speech_runs(CL.word_edges(_units(seg)), X.excludes(seg))
     return CL.cut_runs(runs).groupBy("rec_id", "run_id", F.col("cut").cast("long").alias("cut")).agg(F.count("*").alias("n"))
@@ -734,9 +736,21 @@ def _(seg):
     return out.select("rec_id", "clip_idx", *(has(v).alias(k) for k, v in starts.items()))
 
 
-@on_segments("build_clips")
+@on_segments(
+    "build_clips",
+    _TRIMMED
+    + _CUTS.format("bk WHERE NOT front AND NOT back")
+    + """, ix AS (SELECT bk.*, before, row_number() OVER (PARTITION BY bk.rec_id, bk.run_id ORDER BY unit_idx) AS kx FROM bk JOIN (SELECT rec_id, unit_idx, before FROM t0) USING (rec_id, unit_idx) WHERE NOT front AND NOT back),
+cl AS (SELECT cu.rec_id, cu.run_id, cut, arg_min(unit_idx, kx) = 0 AS begins, 10 * arg_min(start_ds, kx) AS a, arg_min(before, kx) AS before, 10 * arg_max(end_ds, kx) AS z, arg_max(pause_ds, kx) AS pause, string_agg(text, ' ' ORDER BY kx) AS text FROM cu JOIN ix ON ix.rec_id = cu.rec_id AND ix.run_id = cu.run_id AND kx BETWEEN i AND j GROUP BY 1, 2, 3),
+tt AS (SELECT rec_id, 10 * max(end_ds) AS total FROM s GROUP BY 1), cp AS (SELECT rec_id, greatest(0, a - CASE WHEN begins THEN 5 ELSE least(5, 5 * before) END) AS a, least(total, z + least(5, 5 * pause)) AS z, text, NOT begins AND before = 0 AS tight_start, pause = 0 AS tight_end FROM cl JOIN tt USING (rec_id)),
+ck AS (SELECT rec_id, coalesce((SELECT max(10 * hi) FROM ex WHERE ex.rec_id = cp.rec_id AND 10 * lo < a AND a < 10 * hi), a) AS a, coalesce((SELECT min(10 * lo) FROM ex WHERE ex.rec_id = cp.rec_id AND 10 * lo < z AND z < 10 * hi), z) AS z, text, tight_start, tight_end FROM cp)
+SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY a, z, text) - 1 AS clip_idx, (10 * a)::BIGINT AS start_ms, (10 * z)::BIGINT AS end_ms, text, tight_start, tight_end FROM ck WHERE z - a >= 100""",
+)
 def _(seg):
-    return CL.build_clips(X.with_words(seg), X.recordings(seg), X.excludes(seg), RULES)[0].drop("tight")
+    spoken = X.with_words(seg).withColumn("language", F.when(F.col("seg_idx") % 9 == 4, "ar").otherwise("ur"))
+    out = CL.build_clips(spoken, X.recordings(seg), X.excludes(seg))[0]
+    has = lambda side: F.array_contains("tight", side).alias(f"tight_{side}")
+    return out.select("rec_id", F.col("clip_idx").cast("long").alias("clip_idx"), K.millis(F.col("start")).alias("start_ms"), K.millis(F.col("end")).alias("end_ms"), "text", has("start"), has("end"))
 
 
 @on_segments("clip_summary")
