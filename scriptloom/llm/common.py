@@ -71,17 +71,29 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def release(*tables: DataFrame | None) -> None:
-    """Delete tables that ``stored`` wrote and nothing reads any more; other tables, and None, are left alone."""
+    """Delete tables that ``stored`` wrote and nothing reads any more; other tables, and None, are left alone.
+
+    A round of jobs has ended then, so the driver gives back what it used for them.
+    """
+    spark = None
     for df in tables:
         if path := getattr(df, "_scratch", None):
-            _delete(df.sparkSession, path)
+            spark = df.sparkSession
+            _delete(spark, path)
+    if spark:
+        give_back(spark)
 
 
-def give_back() -> None:
-    """Return memory that this Python process has freed to the system, as far as its C library can."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return memory that this Python process has freed to the system, as far as its C library can; with ``spark``, that of the driver's JVM too.
+
+    The JVM otherwise lets its heap grow to the limit over many jobs, though plans and results of those that ended are garbage.
+    """
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 BATCH_ROWS = 1000
