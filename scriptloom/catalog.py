@@ -165,12 +165,12 @@ def _(seg):
 
 @on_segments(
     "filter_recovered",
-    """, q AS (SELECT rec_id, seg_idx, start_ds, text, string_split(text, ' ') AS ws FROM s WHERE seg_idx % 4 = 3 AND seg_idx % 30 <= 24 AND avg_logprob >= -0.9),
+    """, q AS (SELECT rec_id, seg_idx, start_ds, text, string_split(text, ' ') AS ws FROM s WHERE seg_idx % 30 <= 24 AND avg_logprob * 1.25 >= -1.0),
 k AS (SELECT rec_id, seg_idx, start_ds, ws, list_filter(generate_series(0, len(ws) - 1), lambda i: start_ds + 4*i + 1.5 >= start_ds + 7.2 AND start_ds + 4*i + 1.5 <= start_ds + 50.2) AS ix FROM q)
 SELECT rec_id, seg_idx AS region_idx, start_ds + 4 * ix[1] AS start_ds, start_ds + 4 * ix[len(ix)] + 3 AS end_ds, array_to_string(list_transform(ix, lambda i: ws[i + 1]), '') AS text FROM k WHERE len(ix) > 0""",
 )
 def _(seg):
-    at = X.with_words(seg).where("seg_idx % 4 = 3 and avg_logprob >= -0.9")
+    at = X.with_words(seg).withColumn("avg_logprob", F.col("avg_logprob") * 1.25)  # from 0 to beyond the limit
     local = F.transform("words", lambda w: F.struct((w["start"] - F.col("start") + 1).alias("start"), (w["end"] - F.col("start") + 1).alias("end"), w["word"].alias("word"), w["prob"].alias("prob")))
     pieces = at.select("rec_id", F.col("seg_idx").alias("region_idx"), F.lit(0).alias("piece_idx"), (F.col("start") - 1).alias("clip_start"), "text", "avg_logprob", (F.col("seg_idx") % 30 / 10).alias("compression_ratio"), local.alias("words"))
     regions = at.select("rec_id", F.col("seg_idx").alias("region_idx"), (F.col("start") + 0.72).alias("start"), (F.col("start") + 5.02).alias("end"), F.lit(1e9).alias("total"))
@@ -328,6 +328,11 @@ def _(seg):
     return WR.render_rules(_rules(seg))
 
 
+@on_segments("render_vocabulary", _VOCAB + " SELECT word AS line FROM vc")
+def _(seg):
+    return WR.render_vocabulary(_vocabulary(seg))
+
+
 @on_segments("learn_rules")
 def _(seg):
     rules, _ = J.learn(X.lines(seg), seg.withColumn("text", F.translate("text", "s", "z")))
