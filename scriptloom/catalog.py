@@ -5,10 +5,13 @@ Results carry whole tenths of a second where times are compared, never rounded f
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -832,14 +835,23 @@ def _(seg):
 # sources, sinks, state
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """At the end of the driver's Python, if its JVM is still there."""
+    with suppress(Py4JError, OSError):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share; it goes when the driver's Python ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
 
 def _write_files(spark: SparkSession, seg: DataFrame) -> str:
