@@ -182,3 +182,24 @@ def test_numbers_as_bytes():
     values = np.array([0, 1, 127, 128, 300, 16_383, 16_384, 2**31, 2**40 + 5])
     assert search.unpack_numbers(search.pack_numbers(values)).tolist() == values.tolist()
     assert search.unpack_numbers(search.pack_numbers(values[:0])).tolist() == []
+
+
+def test_language_scores_take_the_whole_text(spark):
+    from scriptloom.llm import langid
+
+    long = "the of and then there " * 400
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the of and", "en"), ("der die und", "de"), (long, "en"), ("und die der " * 300, "de"), ("the die", "en"), (None, "de"), ("12", None), ("Über und the", "de")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learned(docs)
+    for r in langid.predict(docs, model).collect():
+        total = np.zeros(len(model.langs))
+        for buckets, begins in langid._grams([r.text or ""]):
+            for b in buckets[begins[0] : begins[1]]:
+                total += model.weight[b >> model.shift].astype(float)
+        total += model.prior
+        share = np.exp(total - total.max())
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == model.langs[int(total.argmax())]
+            assert abs(r.score - (share / share.sum()).max()) < 1e-9
