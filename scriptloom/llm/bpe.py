@@ -318,7 +318,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int =
     # the driver keeps a file of it, not the value
     words = spark.sparkContext.broadcast(_dictionary(frequent.select("piece", encode(F.col("piece")).alias("ids")), tokens))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(tokens))
-    give_back(spark)
+    give_back()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
