@@ -4,10 +4,16 @@ A logistic regression on hashed words and beginnings of words. For each labelled
 its copies with the group's term swapped for others are compared with its own, beginnings of the terms included, and
 training penalises any change of the score: ``mean((w·(x' - x))²)``. What a text says of a group may still count; which
 group it names may not.
+
+Corpora in which hardly any labelled text names a group would leave that penalty empty. So the fit also makes a copy of each
+labelled text that mentions a group after it, by a term that a hash of the text picks, and compares that copy with the text
+itself and with those that mention the other groups of the kind: a mention alone, of whichever group, may not count either.
+Copies are used by the penalty only; what the labels say is learned from the texts as they are.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,12 +96,13 @@ def _word_parts(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 Kinds = tuple[tuple[str, ...], ...]
 
 
-def features(labelled: DataFrame, terms: Kinds = IDENTITY_TERMS) -> DataFrame:
-    """``text, toxic`` to ``toxic, on array<int>, swaps array<int>``.
+def features(labelled: DataFrame, terms: Kinds = IDENTITY_TERMS, mentions: bool = False) -> DataFrame:
+    """``text, toxic`` to ``toxic, on array<int>, swaps array<int>``; a null text is an empty one.
 
     on: buckets of the words and their beginnings. swaps: for each identity term in the text and each other of its kind,
     the number of features that go, of those that come, then these buckets, one swap after another. What other words of
-    the text keep on neither goes nor comes.
+    the text keep on neither goes nor comes. With ``mentions`` each text, an empty one too, also has the changes of a copy
+    that mentions a group after it: from no mention to this one, and from this one to the others of its kind.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +111,13 @@ def features(labelled: DataFrame, terms: Kinds = IDENTITY_TERMS) -> DataFrame:
         codes = dict(zip(names, Words([t.encode() for t in names]).hashes(), strict=True))
         others = {int(codes[t]): (parts[t], [parts[o] for o in kind if o != t]) for kind in terms for t in kind}
         listed = np.array(sorted(others), np.uint64)
+        nothing = np.empty(0, np.int64)
+
+        def change(gone: np.ndarray, new: np.ndarray, rest: np.ndarray) -> list:
+            lost = np.setdiff1d(np.setdiff1d(gone, new), rest)
+            won = np.setdiff1d(np.setdiff1d(new, gone), rest)
+            return [[len(lost), len(won)], lost, won]
+
         for batch in batches:
             on, swaps = [], []
             for _, texts in chunks(batch.column("text")):
@@ -115,21 +129,22 @@ def features(labelled: DataFrame, terms: Kinds = IDENTITY_TERMS) -> DataFrame:
                 hit = np.unique(doc[named])
                 for d, part in enumerate(np.split(bucket, np.searchsorted(of, np.arange(1, len(texts))))):
                     on.append(part.astype(np.int32))
-                    if d not in hit:
-                        swaps.append(np.empty(0, np.int32))
-                        continue
-                    alone = Words([texts[d]])
-                    own = alone.hashes()
-                    at, every = _word_parts(alone, own)
                     out = []
-                    for code in np.unique(own[np.isin(own, listed)]):
-                        gone, come = others[int(code)]
-                        rest = np.unique(every[own[at] != code])
+                    if d in hit:
+                        alone = Words([texts[d]])
+                        own = alone.hashes()
+                        at, every = _word_parts(alone, own)
+                        for code in np.unique(own[np.isin(own, listed)]):
+                            gone, come = others[int(code)]
+                            rest = np.unique(every[own[at] != code])
+                            for new in come:
+                                out += change(gone, new, rest)
+                    if mentions and names:
+                        said, come = others[int(codes[names[zlib.crc32(texts[d]) % len(names)]])]
+                        out += change(nothing, said, part)
                         for new in come:
-                            lost = np.setdiff1d(np.setdiff1d(gone, new), rest)
-                            won = np.setdiff1d(np.setdiff1d(new, gone), rest)
-                            out += [[len(lost), len(won)], lost, won]
-                    swaps.append(np.concatenate(out).astype(np.int32))
+                            out += change(said, new, part)
+                    swaps.append(np.concatenate(out).astype(np.int32) if out else nothing.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(on, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.int32()))], ["toxic", "on", "swaps"])
 
     return short_batches(labelled).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(extract, "toxic int, on array<int>, swaps array<int>")
@@ -206,13 +221,13 @@ def _only(found: DataFrame, scale: np.ndarray) -> DataFrame:
     return found.mapInArrow(keep, "toxic int, on array<int>, swaps array<int>")
 
 
-def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS, terms: Kinds = IDENTITY_TERMS) -> Model:
+def fit(labelled: DataFrame, fairness: float = FAIRNESS, steps: int = STEPS, terms: Kinds = IDENTITY_TERMS, mentions: bool = False) -> Model:
     """Learn from ``text, toxic`` (0/1), all of it: the caller bounds the rows. Without rows every score is 0.5.
 
     Features are counted in Spark; the driver gets those alone that stand out from chance. ``terms``: the kinds of terms
-    to swap. A fairness of 0 learns without the penalty.
+    to swap, and to mention with ``mentions``. A fairness of 0 learns without the penalty.
     """
-    found = stored(features(labelled.where("toxic in (0, 1)"), terms))
+    found = stored(features(labelled.where("toxic in (0, 1)"), terms, mentions))
     n, positive = found.agg(F.count("*"), F.sum("toxic")).first()
     if not n:
         return Model(np.zeros(DIM), 0.0)
@@ -253,7 +268,7 @@ def learned(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, terms:
     share = min(1.0, max_rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # about max_rows rows of two numbers, whatever the input
-    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), terms=terms)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), terms=terms, mentions=True)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
