@@ -744,23 +744,60 @@ def _(seg):
     return out.select("rec_id", "clip_idx", *(has(v).alias(k) for k, v in starts.items()))
 
 
-@on_segments(
-    "build_clips",
+def _built(seg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    spoken = X.with_words(seg).withColumn("language", F.when(F.col("seg_idx") % 9 == 4, "ar").otherwise("ur"))
+    return CL.build_clips(spoken, X.recordings(seg), X.excludes(seg))
+
+
+# Clips with the pauses beside them, ``ck``: hundredths of seconds.
+_BUILT = (
     _TRIMMED
     + _CUTS.format("bk WHERE NOT front AND NOT back")
     + """, ix AS (SELECT bk.*, before, row_number() OVER (PARTITION BY bk.rec_id, bk.run_id ORDER BY unit_idx) AS kx FROM bk JOIN (SELECT rec_id, unit_idx, before FROM t0) USING (rec_id, unit_idx) WHERE NOT front AND NOT back),
 cl AS (SELECT cu.rec_id, cu.run_id, cut, arg_min(unit_idx, kx) = 0 AS begins, 10 * arg_min(start_ds, kx) AS a, arg_min(before, kx) AS before, 10 * arg_max(end_ds, kx) AS z, arg_max(pause_ds, kx) AS pause, string_agg(text, ' ' ORDER BY kx) AS text FROM cu JOIN ix ON ix.rec_id = cu.rec_id AND ix.run_id = cu.run_id AND kx BETWEEN i AND j GROUP BY 1, 2, 3),
 tt AS (SELECT rec_id, 10 * max(end_ds) AS total FROM s GROUP BY 1), cp AS (SELECT rec_id, greatest(0, a - CASE WHEN begins THEN 5 ELSE least(5, 5 * before) END) AS a, least(total, z + least(5, 5 * pause)) AS z, text, NOT begins AND before = 0 AS tight_start, pause = 0 AS tight_end FROM cl JOIN tt USING (rec_id)),
-ck AS (SELECT rec_id, coalesce((SELECT max(10 * hi) FROM ex WHERE ex.rec_id = cp.rec_id AND 10 * lo < a AND a < 10 * hi), a) AS a, coalesce((SELECT min(10 * lo) FROM ex WHERE ex.rec_id = cp.rec_id AND 10 * lo < z AND z < 10 * hi), z) AS z, text, tight_start, tight_end FROM cp)
-SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY a, z, text) - 1 AS clip_idx, (10 * a)::BIGINT AS start_ms, (10 * z)::BIGINT AS end_ms, text, tight_start, tight_end FROM ck WHERE z - a >= 100""",
+ck AS (SELECT rec_id, coalesce((SELECT max(10 * hi) FROM ex WHERE ex.rec_id = cp.rec_id AND 10 * lo < a AND a < 10 * hi), a) AS a, coalesce((SELECT min(10 * lo) FROM ex WHERE ex.rec_id = cp.rec_id AND 10 * lo < z AND z < 10 * hi), z) AS z, text, tight_start, tight_end FROM cp)"""
 )
+
+
+@on_segments("build_clips", _BUILT + " SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY a, z, text) - 1 AS clip_idx, (10 * a)::BIGINT AS start_ms, (10 * z)::BIGINT AS end_ms, text, tight_start, tight_end FROM ck WHERE z - a >= 100")
 def _(seg):
-    spoken = X.with_words(seg).withColumn("language", F.when(F.col("seg_idx") % 9 == 4, "ar").otherwise("ur"))
-    out = CL.build_clips(spoken, X.recordings(seg), X.excludes(seg))[0]
+    out = _built(seg)[0]
     has = lambda side: F.array_contains("tight", side).alias(f"tight_{side}")
     return out.select("rec_id", F.col("clip_idx").cast("long").alias("clip_idx"), K.millis(F.col("start")).alias("start_ms"), K.millis(F.col("end")).alias("end_ms"), "text", has("start"), has("end"))
 
 
+# What is left out, with its kind: hundredths of seconds.
+_LEFT_OUT = (
+    _BUILT
+    + """, lf AS (SELECT rec_id, a, z, 'short' AS kind, text FROM ck WHERE z - a < 100
+UNION ALL SELECT rec_id, 10 * start_ds, 10 * end_ds, CASE WHEN kind = 'arabic' THEN 'arabic' ELSE 'excluded' END, trim(text) FROM z WHERE barrier
+UNION ALL SELECT rec_id, 10 * arg_min(start_ds, unit_idx), 10 * arg_max(end_ds, unit_idx), 'trimmed', string_agg(trim(text), ' ' ORDER BY unit_idx) FROM bk WHERE front OR back GROUP BY rec_id, run_id, front)"""
+)
+
+
+@on_segments("left_out", _LEFT_OUT + " SELECT rec_id, (10 * a)::BIGINT AS start_ms, (10 * z)::BIGINT AS end_ms, kind, text FROM lf")
+def _(seg):
+    names = {CL.LEFT_ARABIC: "arabic", CL.LEFT_EXCLUDED: "excluded", CL.LEFT_TRIMMED: "trimmed"}
+    kind = F.when(F.col("reason").startswith("too short"), "short")
+    for reason, name in names.items():
+        kind = kind.when(F.col("reason") == reason, name)
+    return _built(seg)[1].select("rec_id", K.millis(F.col("start")).alias("start_ms"), K.millis(F.col("end")).alias("end_ms"), kind.alias("kind"), "text")
+
+
+@on_segments(
+    "clip_totals",
+    _LEFT_OUT
+    + """, ct AS (SELECT rec_id, count(*) AS clips, sum((10 * (z - a))::BIGINT)::BIGINT AS ms, count(*) FILTER (WHERE tight_start OR tight_end) AS flagged FROM ck WHERE z - a >= 100 GROUP BY 1), lc AS (SELECT rec_id, count(*) AS left_out FROM lf GROUP BY 1)
+SELECT rec_id, coalesce(clips, 0) AS clips, coalesce(ms, 0)::BIGINT AS ms, coalesce(flagged, 0) AS flagged, coalesce(left_out, 0) AS left_out FROM ct FULL JOIN lc USING (rec_id)""",
+)
+def _(seg):
+    """The summary with the tight ends alone to check."""
+    clips, left = _built(seg)
+    out = CL.clip_summary(clips.withColumn("review", F.col("tight")), left)
+    return out.select("rec_id", "clips", F.round(F.col("minutes") * 60000).cast("long").alias("ms"), "flagged", "left_out")
+
+
 @on_segments("clip_summary")
 def _(seg):
     return J.make_clips(X.with_words(seg), X.recordings(seg), X.excludes(seg))[2]
