@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
-@pytest.mark.parametrize("name", ["paragraphs", "section_pairs", "select_rules", "widen_regions", "speech_runs", "normalize", "quiet_runs"])
+@pytest.mark.parametrize("name", ["paragraphs", "section_pairs", "select_rules", "widen_regions", "speech_runs", "normalize", "quiet_runs", "left_out", "clip_totals"])
 def test_query(spark, name):
     con = duckdb.connect()
     for table in ("documents", "embeddings", "conversations"):
