@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding (operator 5).
 
-The merges are folded over the bytes of distinct pieces by Spark's higher-order functions with the ranks as a literal;
-what a piece becomes is then looked up for all its places. A state is the piece's parts, each a number of its id, its place
+The merges are folded over the bytes of distinct pieces by Spark's higher-order functions with the ranks in a broadcast
+row; what a piece becomes is then looked up for all its places. A state is the piece's parts, each a number of its id, its place
 and the rank that it and its right neighbour would merge to; one step merges the leftmost pair of the lowest rank, which
 is the least number, and looks up the two pairs that this makes. Pieces of over ``LONG`` bytes, for which copying the state at each step would take quadratic
 time, are merged with a heap in the task that holds them.
@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 from functools import cached_property
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, short_batches, stored, table
+from .common import give_back, release, short_batches, stored, table
 
 #: Bounds of the dictionary of frequent pieces that is sent to all tasks.
 MAX_PIECES = 500_000
@@ -89,22 +88,27 @@ RANK_AT = ID_BITS + PLACE_BITS
 NONE = 1 << ID_BITS
 
 
-def encoder(tokens: list[bytes]) -> Callable[[Column], Column]:
-    """A function from a piece (1 to LONG bytes, no token as a whole) to its ids: the fold, with the ranks as literals that stand in the plan once."""
+def encoder(spark: SparkSession, tokens: list[bytes]) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that turns a column, lists of pieces (1 to LONG bytes, no token as a whole), into lists of their ids: the fold.
+
+    The ranks are one row that is broadcast. As a literal they would stand, megabytes each time, in every description of
+    a plan that the driver keeps. Each row takes a copy of them along, so a row should hold many pieces.
+    """
     one, two = merge_tables(tokens)
     known = {t: i for i, t in enumerate(tokens)}
     letters = [known[bytes([b])] for b in range(256)]
     firsts = [known.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-    literal = F.from_json(F.lit(json.dumps({"one": one, "two": two, "letters": letters, "firsts": firsts})), "one array<bigint>, two array<bigint>, letters array<bigint>, firsts array<bigint>")
+    lists = {"__one": one, "__two": two, "__letters": letters, "__firsts": firsts}
+    ranks = F.broadcast(spark.createDataFrame(pa.table({k: pa.array([x], pa.list_(pa.int64())) for k, x in lists.items()})))
     low_bits = lambda c, n: c.bitwiseAND(F.lit((1 << n) - 1))
 
-    def folded(piece: Column, tables: Column) -> Column:
+    def folded(piece: Column, first: Column, second: Column, of_byte: Column, of_two: Column) -> Column:
         def packed(left: Column, right: Column, place_and_id: Column) -> Column:
             """A part, with the rank that the ids left and right merge to; NONE if either is null."""
 
             def found(key: Column) -> Column:
-                a = F.get(tables["one"], (key % len(one)).cast("int"))
-                b = F.get(tables["two"], (key % len(two)).cast("int"))
+                a = F.get(first, (key % len(one)).cast("int"))
+                b = F.get(second, (key % len(two)).cast("int"))
                 return F.when(F.shiftright(a, ID_BITS) == key, low_bits(a, ID_BITS)).when(F.shiftright(b, ID_BITS) == key, low_bits(b, ID_BITS)).otherwise(F.lit(NONE).cast("bigint"))
 
             return F.shiftleft(_let(F.shiftleft(left, ID_BITS).bitwiseOR(right), found), RANK_AT).bitwiseOR(place_and_id)
@@ -129,13 +133,18 @@ def encoder(tokens: list[bytes]) -> Callable[[Column], Column]:
         codes = F.transform(F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), ""), F.ascii)
 
         def begun(codes: Column) -> Column:
-            rank = lambda c, i: F.coalesce(F.get(tables["firsts"], c * 256 + F.get(codes, i + 1)), F.lit(NONE).cast("bigint"))
-            return F.transform(codes, lambda c, i: F.shiftleft(rank(c, i), RANK_AT).bitwiseOR(F.shiftleft(i.cast("bigint"), ID_BITS)).bitwiseOR(F.get(tables["letters"], c)))
+            rank = lambda c, i: F.coalesce(F.get(of_two, c * 256 + F.get(codes, i + 1)), F.lit(NONE).cast("bigint"))
+            return F.transform(codes, lambda c, i: F.shiftleft(rank(c, i), RANK_AT).bitwiseOR(F.shiftleft(i.cast("bigint"), ID_BITS)).bitwiseOR(F.get(of_byte, c)))
 
         rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(piece) - 1, F.lit(1)))
         return F.aggregate(rounds, _let(codes, begun), step, lambda parts: F.transform(parts, lambda x: low_bits(x, ID_BITS).cast("int")))
 
-    return lambda piece: _let(literal, lambda tables: folded(piece, tables))
+    def encode(rows: DataFrame, column: str) -> DataFrame:
+        ids = lambda *tables: F.transform(column, lambda piece: folded(piece, *tables))
+        bound = _let(F.col("__one"), lambda a: _let(F.col("__two"), lambda b: _let(F.col("__letters"), lambda c: _let(F.col("__firsts"), lambda d: ids(a, b, c, d)))))
+        return rows.crossJoin(ranks).withColumn(column, bound).drop(*lists)
+
+    return encode
 
 
 def heap_merged(piece: bytes, known: dict[bytes, int]) -> list[int]:
@@ -180,7 +189,7 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.n
 
 
 class Dictionary:
-    """Pieces and their ids: the tokens that are text, then ``pieces`` that are none; after them each id by itself."""
+    """Pieces and their ids: the tokens that are text, then ``pieces`` that are none."""
 
     def __init__(self, pieces: pa.Array, ids: pa.ListArray, tokens: list[bytes]):
         text, whole = [], []
@@ -192,9 +201,9 @@ class Dictionary:
         other = pc.invert(pc.is_in(pieces, value_set=known))
         ids = ids.filter(other)
         self.pieces = pa.concat_arrays([known, pieces.filter(other)])
-        sizes = np.concatenate((np.ones(len(text), np.int64), np.diff(ids.offsets.to_numpy()), np.ones(len(tokens), np.int64)))
+        sizes = np.concatenate((np.ones(len(text), np.int64), np.diff(ids.offsets.to_numpy())))
         self.offsets = np.concatenate(([0], np.cumsum(sizes)))
-        self.ids = np.concatenate((whole, ids.flatten().to_numpy(), np.arange(len(tokens)))).astype("<u4")
+        self.ids = np.concatenate((whole, ids.flatten().to_numpy())).astype("<u4")
 
 
 class Vocabulary:
@@ -211,75 +220,78 @@ class Vocabulary:
         return {t: i for i, t in enumerate(self.tokens)}
 
 
-#: Texts that are looked up at once have about so many pieces, those that are digested at once fewer: their bytes are indexed.
-RUN, DIGEST_RUN = 1 << 19, 1 << 16
+#: A run, whose texts share a list of distinct pieces, has at least so many pieces, or 64 times the bytes, but for the last of a task; texts that are digested at once have fewer.
+RUN, DIGEST_RUN = 1 << 20, 1 << 16
+#: Runs in a file: a reader of columns holds those of one file at once.
+FILE_RUNS = 4
+#: Rows that the frequent pieces are dealt to for the fold.
+SHARES = 64
+RUNS = "doc_ids array<long>, counts array<int>, codes array<int>, pieces array<string>"
+LOOKED_UP = "doc_ids array<long>, counts array<int>, codes array<int>, places array<int>, rare array<string>, long array<array<int>>"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _runs(lists: pa.ListArray, size: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about ``size`` pieces together; a longer row is a run of its own."""
-    ends, lo = lists.offsets.to_numpy().astype(np.int64), 0
-    while lo < len(lists):
+def _parts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Parts of rows with about ``size`` pieces together; a longer row is a part of its own."""
+    lo = 0
+    while lo < len(ends) - 1:
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + size, "right")) - 1)
         yield lo, hi
         lo = hi
 
 
-def _codes(lists: pa.ListArray, words: Dictionary, vocabulary: Vocabulary) -> tuple[pa.ListArray, pa.ListArray]:
-    """Of each text, its pieces as places in the dictionary; those that aren't in it as -1, -2, ..., and what they are.
+def _row(names: str, *columns: pa.Array) -> pa.RecordBatch:
+    """One row of lists."""
+    names = [c.split()[0] for c in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names)
 
-    Long pieces that aren't in it stand as the places of their ids.
-    """
-    flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-    ends -= ends[0]
-    at = pc.index_in(flat, value_set=words.pieces)
-    rare = at.is_null().to_numpy(zero_copy_only=False)
-    code = at.fill_null(0).to_numpy().copy()
-    long = np.flatnonzero(rare & (pc.binary_length(flat).to_numpy(zero_copy_only=False) > LONG))
-    if len(long):
-        ids = [heap_merged(flat[int(i)].as_py().encode(), vocabulary.known) for i in long]
-        size = np.ones(len(code), np.int64)
-        size[long] = [len(x) for x in ids]
-        places = np.concatenate(([0], np.cumsum(size)))
-        code, rare = np.repeat(code, size), np.repeat(rare, size)
-        for i, x in zip(long, ids, strict=True):
-            code[places[i] : places[i + 1]] = np.array(x) + len(words.pieces)
-            rare[places[i] : places[i + 1]] = False
-        short = np.ones(len(flat), bool)
-        short[long] = False
-        ends, others = places[ends], flat.filter(pc.and_(at.is_null(), pa.array(short)))
-    else:
-        others = flat.filter(at.is_null())
-    before = np.concatenate(([0], np.cumsum(rare)))
-    first = np.repeat(before[ends[:-1]], np.diff(ends))
-    code[rare] = -1 - (before[:-1] - first)[rare]
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code.astype(np.int32))), pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), others)
-
-
-def _digests(doc_ids: pa.Array, codes: pa.ListArray, rare: pa.ListArray, words: Dictionary, vocabulary: Vocabulary) -> pa.RecordBatch:
-    """rare: for each text, the ids of each piece that isn't in the dictionary."""
-    ends = codes.offsets.to_numpy().astype(np.int64)
-    at = codes.flatten().to_numpy().astype(np.int64)
-    ends -= ends[0]
-    own, base = rare.flatten(), rare.offsets.to_numpy().astype(np.int64)
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, pieces`` to runs: of each text the number of its pieces, and all pieces as places in the run's list of distinct ones."""
+
+    def run(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lists = pa.concat_arrays([b.column("pieces") for b in held])
+        coded = lists.flatten().dictionary_encode()
+        return _row(RUNS, pa.concat_arrays([b.column("doc_id") for b in held]), pc.list_value_length(lists), coded.indices, coded.dictionary)
+
+    held, size = [], 0
+    for batch in batches:
+        for lo, hi in _parts(batch.column("pieces").offsets.to_numpy().astype(np.int64), RUN):
+            held.append(batch.slice(lo, hi - lo))
+            flat = held[-1].column("pieces").flatten()
+            size += max(len(flat), flat.nbytes >> 6)
+            if size >= RUN:
+                yield run(held)
+                held, size = [], 0
+    if held:
+        yield run(held)
+
+
+def _places(pieces: pa.Array, words: Dictionary, vocabulary: Vocabulary) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Of distinct pieces their places in the dictionary, or -1, -2, ... if they aren't in it; what these are; and the ids of the long ones, which come after the others."""
+    at = pc.index_in(pieces, value_set=words.pieces)
+    missing, long = at.is_null().to_numpy(zero_copy_only=False), pc.greater(pc.binary_length(pieces), LONG).to_numpy(zero_copy_only=False)
+    places, rare, late = at.fill_null(0).to_numpy().copy(), np.flatnonzero(missing & ~long), np.flatnonzero(missing & long)
+    places[np.concatenate((rare, late))] = -1 - np.arange(len(rare) + len(late))
+    merged = [heap_merged(pieces[int(i)].as_py().encode(), vocabulary.known) for i in late]
+    return pa.array(places), pieces.take(pa.array(rare)), pa.array(merged, pa.list_(pa.int32()))
+
+
+def _digests(doc_ids: pa.Array, counts: np.ndarray, codes: np.ndarray, places: np.ndarray, own: pa.ListArray, words: Dictionary, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """own: the ids of each piece of the run that isn't in the dictionary."""
     own_offsets = own.offsets.to_numpy().astype(np.int64)
-    own_ids = own.flatten().to_numpy().astype("<u4")
-    # two lookups, of frequent and of rare pieces, put together in the order of the pieces
-    where = np.where(at < 0, np.repeat(base[:-1] - base[0], np.diff(ends)) - 1 - at, at)
-    is_rare = at < 0
-    size = np.where(is_rare, 0, words.offsets[np.where(is_rare, 0, where) + 1] - words.offsets[np.where(is_rare, 0, where)])
-    size[is_rare] = np.diff(own_offsets)[where[is_rare]]
-    places = np.concatenate(([0], np.cumsum(size)))
-    ids = np.empty(places[-1], "<u4")
-    known = np.repeat(~is_rare, size)
-    ids[known] = _gather(words.ids, words.offsets, where[~is_rare])[0]
-    ids[~known] = _gather(own_ids, own_offsets - own_offsets[0], where[is_rare])[0] if is_rare.any() else ids[:0]
-    bounds = places[ends]
-    data, spots = vocabulary.decode(ids)
-    rows = range(len(codes))
-    id_digests = [hashlib.sha256(ids[bounds[i] : bounds[i + 1]].tobytes()).hexdigest() for i in rows]
-    digests = [hashlib.sha256(data[spots[bounds[i]] : spots[bounds[i + 1]]].tobytes()).hexdigest() for i in rows]
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(bounds)), pa.array(id_digests), pa.array(digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    ids = np.concatenate((words.ids, own.flatten().to_numpy().astype("<u4")))
+    offsets = np.concatenate((words.offsets, words.offsets[-1] + own_offsets[1:] - own_offsets[0]))
+    distinct, begin = _gather(ids, offsets, np.where(places < 0, len(words.offsets) - 2 - places, places).astype(np.int64))
+    ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    for lo, hi in _parts(ends, DIGEST_RUN):
+        ids, at = _gather(distinct, begin, codes[ends[lo] : ends[hi]])
+        bounds = at[ends[lo : hi + 1] - ends[lo]]
+        data, spots = vocabulary.decode(ids)
+        rows = range(hi - lo)
+        id_digests = [hashlib.sha256(ids[bounds[i] : bounds[i + 1]].tobytes()).hexdigest() for i in rows]
+        digests = [hashlib.sha256(data[spots[bounds[i]] : spots[bounds[i + 1]]].tobytes()).hexdigest() for i in rows]
+        yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _least_count(counted: DataFrame, pieces: int, size: int) -> int:
@@ -296,43 +308,52 @@ def _least_count(counted: DataFrame, pieces: int, size: int) -> int:
 
 
 def _dictionary(coded: DataFrame, tokens: list[bytes]) -> Dictionary:
+    """From rows ``pieces, ids`` of lists."""
     got = coded.toArrow()
-    pieces, ids = (pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("piece", "ids"))
+    kinds = pa.string(), pa.list_(pa.int32())
+    pieces, ids = (pa.concat_arrays([x.flatten().cast(kind) for x in got.column(c).chunks] or [pa.array([], kind)]) for c, kind in zip(("pieces", "ids"), kinds, strict=True))
     return Dictionary(pieces, ids, tokens)
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, max_pieces: int = MAX_PIECES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: its text encoded, and the ids decoded again.
 
-    The most frequent pieces are folded once and sent to all tasks, as many as the bounds allow; the rare ones are folded
-    where they occur. Both give the same ids, so the bounds are of speed and memory alone, and no text is shuffled.
+    Each text is cut once; about a thousand texts are a run that keeps its distinct pieces once. The pieces that most runs
+    hold are folded once and sent to all tasks, as many as the bounds allow; the rare ones are folded once in each run.
+    Both give the same ids, so the bounds are of speed and memory alone, and no text is shuffled.
     A null text is empty: no tokens, digests of nothing. Repeated rows give as many rows; other columns play no part.
     """
     spark = docs.sparkSession
     tokens = read_ranks(rank_file)
-    encode = encoder(tokens)
+    encode = encoder(spark, tokens)
     split = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     cut = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), split.alias("pieces"))
-    counted = stored(cut.select(F.explode("pieces").alias("piece")).where(F.octet_length("piece") <= LONG).groupBy("piece").agg(F.count("*").alias("count")))
+    runs = stored(cut.mapInArrow(gather, RUNS), FILE_RUNS)
+    counted = stored(runs.select(F.explode("pieces").alias("piece")).where(F.octet_length("piece") <= LONG).groupBy("piece").agg(F.count("*").alias("count")))
     frequent = counted.where(F.col("count") >= _least_count(counted, max_pieces, max_bytes))
+    shares = frequent.groupBy(F.pmod(F.xxhash64("piece"), F.lit(SHARES))).agg(F.collect_list("piece").alias("pieces"))
     # the driver keeps a file of it, not the value
-    words = spark.sparkContext.broadcast(_dictionary(frequent.select("piece", encode(F.col("piece")).alias("ids")), tokens))
+    words = spark.sparkContext.broadcast(_dictionary(encode(shares.select("pieces", F.col("pieces").alias("ids")), "ids"), tokens))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(tokens))
+    release(counted)
     give_back()
 
+    def lists(batch: pa.RecordBatch, *names: str) -> Iterator[list[pa.Array]]:
+        for i in range(len(batch)):
+            yield [batch.column(c)[i].values for c in names]
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _runs(batch.column("pieces"), RUN):
-                run = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([run.column("doc_id"), *_codes(run.column("pieces"), words.value, vocabulary.value)], ["doc_id", "codes", "rare"])
+            for *kept, pieces in lists(batch, "doc_ids", "counts", "codes", "pieces"):
+                yield _row(LOOKED_UP, *kept, *_places(pieces, words.value, vocabulary.value))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _runs(batch.column("codes"), DIGEST_RUN):
-                yield _digests(*(c.slice(lo, hi - lo) for c in batch.columns), words.value, vocabulary.value)
+            for doc_ids, counts, codes, places, own in lists(batch, "doc_ids", "counts", "codes", "places", "own"):
+                yield from _digests(doc_ids, counts.to_numpy(), codes.to_numpy(), places.to_numpy(), own, words.value, vocabulary.value)
 
-    coded = cut.mapInArrow(look_up, "doc_id long, codes array<int>, rare array<string>")
-    return coded.withColumn("rare", F.transform("rare", encode)).mapInArrow(digest, RESULT)
+    coded = encode(runs.mapInArrow(look_up, LOOKED_UP), "rare")
+    return coded.select("doc_ids", "counts", "codes", "places", F.concat("rare", "long").alias("own")).mapInArrow(digest, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

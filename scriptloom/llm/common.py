@@ -61,10 +61,13 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{_run_dir(spark, shared_dir(spark))}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder as Parquet and read it again: lineage ends here, and lost executors cost no recomputation."""
+def stored(df: DataFrame, file_rows: int = 0) -> DataFrame:
+    """Write to the shared folder as Parquet and read it again: lineage ends here, and lost executors cost no recomputation.
+
+    file_rows: for rows that are large, the most in a file, which is then compressed harder; 0 for no limit.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", file_rows).option("compression", "zstd") if file_rows else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

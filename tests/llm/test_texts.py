@@ -116,6 +116,30 @@ def test_bpe(spark, bound):
     assert bpe.round_trip(table(spark, rows).limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_bpe_plan_is_small(spark):
+    """Ranks as a literal made each description of a plan that the driver keeps 12 million characters long."""
+    import public_tokenizers as P
+
+    got = bpe.round_trip(table(spark, [(1, "some zzzqqqxxx words")]), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert len(got._jdf.queryExecution().toString()) < 100_000
+
+
+def test_bpe_runs(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "RUN", 6)
+    texts = [["a", "b"], [], ["b", "b", "c", "a"], ["d"], ["e"] * 9, [], ["a"], ["x" * 1000], ["a", "f"]]
+    kinds = pa.schema([("doc_id", pa.int64()), ("pieces", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([t for _, t in part], kinds.field(1).type)], schema=kinds) for part in (list(enumerate(texts))[:5], list(enumerate(texts))[5:])]
+    runs = [r for b in bpe.gather(batches) for r in b.to_pylist()]
+    assert len(runs) > 2 and all(len(set(r["pieces"])) == len(r["pieces"]) for r in runs)
+    back = []
+    for r in runs:
+        flat = iter(r["pieces"][c] for c in r["codes"])
+        back += [(i, [next(flat) for _ in range(n)]) for i, n in zip(r["doc_ids"], r["counts"], strict=True)]
+    assert back == list(enumerate(texts))
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
